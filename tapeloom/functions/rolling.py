@@ -10,80 +10,93 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 
-def by_code(*keys: str, order: str | tuple[str, ...] = "trade_date") -> WindowSpec:
-    order = (order,) if isinstance(order, str) else order
-    return Window.partitionBy(*(keys or ("code",))).orderBy(*order)
+def add(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add SQL-text columns in one projection; text keeps plan building cheap for the many
+    expressions of a feature set."""
+    return df.selectExpr("*", *[f"{e} as {n}" for n, e in columns.items()])
+
+
+def pick(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    return df.selectExpr(*keys, *[f"{e} as {n}" for n, e in columns.items()])
+
+
+def at_least(x: str, low: float) -> str:
+    """Lower clamp that keeps NULL (``greatest`` would replace it)."""
+    return f"case when {x} < {low} then {low}D else {x} end"
 
 
 class Clock:
-    """Row-clock expressions over one window spec, so all of them share a single sort."""
+    """Row-clock expressions over one partition and order, so all of them share a sort."""
+
+    def __init__(self, keys: str = "code", order: str = "trade_date"):
+        self.spec = f"partition by {keys} order by {order}"
+
+    def over(self, frame: str = "") -> str:
+        return f"over ({self.spec} {frame})"
+
+    def trailing(self, n: int) -> str:
+        return self.over(f"rows between {n - 1} preceding and current row")
 
-    def __init__(self, *keys: str, order: str | tuple[str, ...] = "trade_date"):
-        self.w = by_code(*keys, order=order)
+    @property
+    def so_far(self) -> str:
+        return self.over("rows between unbounded preceding and current row")
 
-    def trailing(self, n: int) -> WindowSpec:
-        return self.w.rowsBetween(-(n - 1), 0)
+    @property
+    def before(self) -> str:
+        return self.over("rows between unbounded preceding and 1 preceding")
 
     @property
-    def so_far(self) -> WindowSpec:
-        return self.w.rowsBetween(Window.unboundedPreceding, 0)
+    def whole(self) -> str:
+        return self.over("rows between unbounded preceding and unbounded following")
 
-    def lag(self, c: Column | str, k: int = 1, default=None) -> Column:
-        return F.lag(c, k, default).over(self.w)
+    def lag(self, x: str, k: int = 1) -> str:
+        return f"lag({x}, {k}) {self.over()}"
 
-    def rn(self) -> Column:
-        return F.row_number().over(self.w)
+    def rn(self) -> str:
+        return f"row_number() {self.over()}"
 
-    def roll(self, fn, c: Column | str, n: int, min_rows: int | None = None) -> Column:
+    def roll(self, fn: str, x: str, n: int, min_rows: int | None = None) -> str:
         """``fn`` over the last n rows; NULL until ``min_rows`` (default n) values exist."""
-        c = F.col(c) if isinstance(c, str) else c
         need = n if min_rows is None else min_rows
-        value = fn(c).over(self.trailing(n))
-        return value if need <= 1 else F.when(F.count(c).over(self.trailing(n)) >= need, value)
+        value = f"{fn}({x}) {self.trailing(n)}"
+        return value if need <= 1 else f"(case when count({x}) {self.trailing(n)} >= {need} then {value} end)"
 
-    def mean(self, c, n, min_rows=None) -> Column:
-        return self.roll(F.avg, c, n, min_rows)
+    def mean(self, x, n, min_rows=None) -> str:
+        return self.roll("avg", x, n, min_rows)
 
-    def std(self, c, n, min_rows=None) -> Column:
-        return self.roll(F.stddev_pop, c, n, min_rows)
+    def std(self, x, n, min_rows=None) -> str:
+        return self.roll("stddev_pop", x, n, min_rows)
 
-    def total(self, c, n, min_rows=None) -> Column:
-        return self.roll(F.sum, c, n, min_rows)
+    def total(self, x, n, min_rows=None) -> str:
+        return self.roll("sum", x, n, min_rows)
 
-    def max(self, c, n, min_rows=None) -> Column:
-        return self.roll(F.max, c, n, min_rows)
+    def max(self, x, n, min_rows=None) -> str:
+        return self.roll("max", x, n, min_rows)
 
-    def min(self, c, n, min_rows=None) -> Column:
-        return self.roll(F.min, c, n, min_rows)
+    def min(self, x, n, min_rows=None) -> str:
+        return self.roll("min", x, n, min_rows)
 
-    def corr(self, x: Column | str, y: Column | str, n: int, min_rows: int | None = None) -> Column:
+    def corr(self, x: str, y: str, n: int, min_rows: int | None = None) -> str:
         """Pearson correlation over complete pairs; a constant side gives NULL, not an error."""
-        x = F.col(x) if isinstance(x, str) else x
-        y = F.col(y) if isinstance(y, str) else y
-        both = x.isNotNull() & y.isNotNull()
-        px, py = F.when(both, x), F.when(both, y)
+        both = f"{x} is not null and {y} is not null"
+        px, py = f"case when {both} then {x} end", f"case when {both} then {y} end"
         w = self.trailing(n)
-        value = F.try_divide(
-            F.covar_pop(px, py).over(w), F.stddev_pop(px).over(w) * F.stddev_pop(py).over(w)
+        need = n if min_rows is None else min_rows
+        return (
+            f"case when count({px}) {w} >= {need} then try_divide(covar_pop({px}, {py}) {w}, "
+            f"stddev_pop({px}) {w} * stddev_pop({py}) {w}) end"
         )
-        return F.when(F.count(px).over(w) >= (n if min_rows is None else min_rows), value)
 
-    def streak(self, flag: Column, cap: int) -> Column:
-        """Length of the run of true flags ending here, capped: the cap also bounds the frame."""
-        rn = self.rn()
-        last_false = F.max(F.when(~F.coalesce(flag, F.lit(False)), rn))
-        # rows before the first one count as false, so rn itself is the longest possible run
-        return F.least(rn - F.coalesce(last_false.over(self.so_far), F.lit(0)), F.lit(cap))
+    def streak(self, flag: str, rn: str) -> str:
+        """Length of the run of true flags ending at this row (``rn`` is the row number)."""
+        return f"{rn} - coalesce(max(case when not {flag} then {rn} end) {self.so_far}, 0)"
 
-    def rows_since(self, flag: Column, cap: int) -> Column:
+    def rows_since(self, flag: str, rn: str, cap: int) -> str:
         """Rows since the flag was last true; ``cap`` when never or longer ago."""
-        rn = self.rn()
-        last_true = F.max(F.when(flag, rn)).over(self.so_far)
-        return F.least(F.coalesce(rn - last_true, F.lit(cap)), F.lit(cap))
+        return f"least(coalesce({rn} - max(case when {flag} then {rn} end) {self.so_far}, {cap}), {cap})"
 
 
 def span_alpha(span: int) -> float:
@@ -98,10 +111,6 @@ def _block_rows(alphas: list[float]) -> int:
     return max(1, min(256, int(460.0 / -math.log1p(-strongest))))
 
 
-def _affine(weight: str, value: str):
-    return lambda acc, end: end[weight] * acc + end[value]
-
-
 def with_ewm(
     df: DataFrame,
     series: dict[str, tuple[str, float]],
@@ -121,44 +130,31 @@ def with_ewm(
     """
     if not series:
         return df
+    names, have = ", ".join(keys), list(df.columns)
     size = _block_rows([a for _, a in series.values()])
-    base = by_code(*keys, order=order)
-    df = df.withColumn("_rn", F.row_number().over(base))
-    df = df.withColumn("_blk", F.floor((F.col("_rn") - 1) / size))
-    w = Window.partitionBy(*keys).orderBy("_blk", order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    in_block = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    scratch = ["_rn", "_blk"]
-
-    prev = {f"_p{i}": F.max(F.when(F.col(src).isNotNull(), F.col("_rn"))).over(before)
-            for i, (src, _) in enumerate(series.values())}
-    df = df.withColumns(prev)
+    df = add(df, {"_rn": Clock(names, order).rn()})
+    df = add(df, {"_blk": f"cast((_rn - 1) div {size} as int)"})
+    t = Clock(names, f"_blk, {order}")
+    block = Clock(f"{names}, _blk", order).so_far
 
+    seen = {f"_p{i}": f"max(case when {src} is not null then _rn end) {t.before}"
+            for i, (src, _) in enumerate(series.values())}
+    df = add(df, seen)
     step = {}
     for i, (src, alpha) in enumerate(series.values()):
-        x, seen = F.col(src), F.col(f"_p{i}")
-        decay = F.pow(F.lit(1.0 - alpha), (F.col("_rn") - seen).cast("double"))
-        step[f"_d{i}"] = F.when(x.isNotNull() & seen.isNotNull(), decay / (decay + alpha)).otherwise(1.0)
-        step[f"_g{i}"] = F.when(x.isNull(), 0.0).when(seen.isNull(), x.cast("double")).otherwise(
-            x * alpha / (decay + alpha)
+        w = f"power({1.0 - alpha!r}D, _rn - _p{i})"
+        step[f"_d{i}"] = f"case when {src} is null or _p{i} is null then 1.0D else {w} / ({w} + {alpha!r}D) end"
+        step[f"_g{i}"] = (
+            f"case when {src} is null then 0.0D when _p{i} is null then double({src}) "
+            f"else {src} * {alpha!r}D / ({w} + {alpha!r}D) end"
         )
-    df = df.withColumns(step)
-    df = df.withColumns({f"_w{i}": F.exp(F.sum(F.ln(f"_d{i}")).over(in_block)) for i in range(len(series))})
-    df = df.withColumns(
-        {f"_l{i}": F.col(f"_w{i}") * F.sum(F.col(f"_g{i}") / F.col(f"_w{i}")).over(in_block)
-         for i in range(len(series))}
-    )
-    closes = F.col("_rn") % size == 0
-    ends = F.collect_list(
-        F.when(closes, F.struct(*[F.col(f"_{c}{i}") for i in range(len(series)) for c in "wl"]))
-    ).over(before)
-    df = df.withColumn("_ends", ends)
+    df = add(df, step)
+    df = add(df, {f"_w{i}": f"exp(sum(ln(_d{i})) {block})" for i in range(len(series))})
+    df = add(df, {f"_l{i}": f"_w{i} * sum(_g{i} / _w{i}) {block}" for i in range(len(series))})
+    closing = ", ".join(f"'w{i}', _w{i}, 'l{i}', _l{i}" for i in range(len(series)))
+    df = add(df, {"_ends": f"collect_list(case when _rn % {size} = 0 then named_struct({closing}) end) {t.before}"})
     out = {}
-    for i, name in enumerate(series):
-        carry = F.aggregate("_ends", F.lit(0.0), _affine(f"_w{i}", f"_l{i}"))
-        known = F.col(f"_p{i}").isNotNull() | F.col(series[name][0]).isNotNull()
-        out[name] = F.when(known, F.col(f"_w{i}") * carry + F.col(f"_l{i}"))
-    scratch += [f"_{c}{i}" for i in range(len(series)) for c in "pdgwl"] + ["_ends"]
-    return df.withColumns(out).drop(*scratch)
+    for i, (name, (src, _)) in enumerate(series.items()):
+        carry = f"aggregate(_ends, 0.0D, (y, e) -> e.w{i} * y + e.l{i})"
+        out[name] = f"case when _p{i} is not null or {src} is not null then _w{i} * {carry} + _l{i} end"
+    return pick(df, have, out)

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from tapeloom.functions.columns import null_if
-from tapeloom.functions.rolling import Clock, span_alpha, with_ewm
-from tapeloom.operators.features import true_range
+from tapeloom.functions.rolling import Clock, add, span_alpha, with_ewm
+from tapeloom.operators.features import stochastic, true_range
 
 Factor = Callable[[DataFrame], DataFrame]
 REGISTRY: dict[str, Factor] = {}
@@ -25,86 +23,77 @@ def factor(name: str):
     return add
 
 
-def _change(t: Clock, c: str, n: int) -> Column:
-    return F.try_divide(F.col(c), t.lag(c, n)) - 1
+def _change(t: Clock, x: str, n: int) -> str:
+    return f"(try_divide({x}, {t.lag(x, n)}) - 1)"
 
 
 @factor("momentum")
 def momentum(df, n: int = 20):
-    return df.withColumn("momentum", _change(Clock(), "close", n))
+    return add(df, {"momentum": _change(Clock(), "close", n)})
 
 
 @factor("reversal")
 def reversal(df, n: int = 5):
-    return df.withColumn("reversal", -_change(Clock(), "close", n))
+    return add(df, {"reversal": "-" + _change(Clock(), "close", n)})
 
 
 @factor("volume_momentum")
 def volume_momentum(df, n: int = 20):
     t = Clock()
-    return df.withColumn("volume_momentum", _change(t, "close", n) * F.signum(_change(t, "volume", n)))
+    return add(df, {"volume_momentum": f"{_change(t, 'close', n)} * signum({_change(t, 'volume', n)})"})
 
 
 @factor("rsi")
 def rsi(df, n: int = 14):
     """Wilder RSI; the first change counts as zero, NULL for the first n-1 rows, 100 without losses."""
     t = Clock()
-    delta = F.coalesce(F.col("close") - t.lag("close"), F.lit(0.0))
-    df = df.withColumns({
-        "_up": F.when(delta > 0, delta).otherwise(0.0), "_dn": F.when(delta < 0, -delta).otherwise(0.0), "_i": t.rn(),
-    })
+    delta = f"coalesce(close - {t.lag('close')}, 0)"
+    df = add(df, {"_up": f"double(greatest({delta}, 0))", "_dn": f"double(greatest(-({delta}), 0))", "_i": t.rn()})
     df = with_ewm(df, {"_au": ("_up", 1 / n), "_ad": ("_dn", 1 / n)})
-    usual = 100 - 100 / (1 + F.try_divide(F.col("_au"), null_if(F.col("_ad"), 0.0)))
-    value = F.when(F.col("_ad") == 0, 100.0).otherwise(usual)
-    return df.withColumn("rsi", F.when(F.col("_i") >= n, value)).drop("_up", "_dn", "_i", "_au", "_ad")
+    value = "case when _ad = 0 then 100 else 100 - 100 / (1 + try_divide(_au, _ad)) end"
+    return add(df, {"rsi": f"case when _i >= {n} then {value} end"}).drop("_up", "_dn", "_i", "_au", "_ad")
 
 
 @factor("ma")
 def ma(df, n: int = 20):
     mean = Clock().mean("close", n)
-    return df.withColumn("ma", F.try_divide(F.col("close") - mean, mean))
+    return add(df, {"ma": f"try_divide(close - {mean}, {mean})"})
 
 
 @factor("macd")
 def macd(df, fast: int = 12, slow: int = 26, signal: int = 9):
     """Line, signal and their difference; each average is NULL until its span is filled."""
-    t = Clock()
-    df = df.withColumn("_i", t.rn())
+    df = add(df, {"_i": Clock().rn()})
     df = with_ewm(df, {"_f": ("close", span_alpha(fast)), "_s": ("close", span_alpha(slow))})
-    df = df.withColumn("macd_line", F.when(F.col("_i") >= slow, F.col("_f") - F.col("_s")))
-    df = with_ewm(df, {"_sig": ("macd_line", span_alpha(signal))})
-    df = df.withColumn("macd_signal", F.when(F.col("_i") >= slow + signal - 1, F.col("_sig")))
-    return df.withColumn("macd", F.col("macd_line") - F.col("macd_signal")).drop("_i", "_f", "_s", "_sig")
+    df = with_ewm(add(df, {"macd_line": f"case when _i >= {slow} then _f - _s end"}), {"_sig": ("macd_line", span_alpha(signal))})
+    df = add(df, {"macd_signal": f"case when _i >= {slow + signal - 1} then _sig end"})
+    return add(df, {"macd": "macd_line - macd_signal"}).drop("_i", "_f", "_s", "_sig")
 
 
 @factor("boll")
 def boll(df, n: int = 20, width: float = 2.0):
     t = Clock()
     mid, dev = t.mean("close", n), t.std("close", n)
-    df = df.withColumns({"boll_upper": mid + width * dev, "boll_mid": mid, "boll_lower": mid - width * dev})
-    span = F.col("boll_upper") - F.col("boll_lower")
-    return df.withColumn("boll", F.try_divide(F.col("close") - F.col("boll_lower"), span))
+    df = add(df, {"boll_upper": f"{mid} + {width}D * {dev}", "boll_mid": mid, "boll_lower": f"{mid} - {width}D * {dev}"})
+    return add(df, {"boll": "try_divide(close - boll_lower, boll_upper - boll_lower)"})
 
 
 @factor("atr")
 def atr(df, n: int = 14):
     """Wilder ATR: 0 before row n, the plain mean of the first n ranges there, then recursive."""
     t = Clock()
-    df = df.withColumns({"_tr": true_range(F.col("high"), F.col("low"), t.lag("close")), "_i": t.rn()})
-    df = df.withColumn(
-        "_seeded", F.when(F.col("_i") == n, t.mean("_tr", n, 1)).when(F.col("_i") > n, F.col("_tr"))
-    )
+    df = add(df, {"_tr": true_range(t), "_i": t.rn()})
+    df = add(df, {"_seeded": f"case when _i = {n} then {t.mean('_tr', n, 1)} when _i > {n} then _tr end"})
     df = with_ewm(df, {"_atr": ("_seeded", 1 / n)})
-    return df.withColumn("atr", F.coalesce("_atr", F.lit(0.0))).drop("_tr", "_i", "_seeded", "_atr")
+    return add(df, {"atr": "coalesce(_atr, 0)"}).drop("_tr", "_i", "_seeded", "_atr")
 
 
 @factor("kdj")
 def kdj(df, n: int = 9, smooth: int = 3):
     """3K - 2D where D is a plain moving average of K."""
     t = Clock()
-    low, high = t.min("low", n), t.max("high", n)
-    df = df.withColumn("_k", 100 * F.try_divide(F.col("close") - low, high - low))
-    return df.withColumn("kdj", 3 * F.col("_k") - 2 * t.mean("_k", smooth)).drop("_k")
+    df = add(df, {"_k": stochastic(t, "high", "low", "close", n)})
+    return add(df, {"kdj": f"3 * _k - 2 * {t.mean('_k', smooth)}"}).drop("_k")
 
 
 def _ratio_factor(name: str, direct: str | None, invert: bool, top: str, bottom: str):
@@ -113,12 +102,12 @@ def _ratio_factor(name: str, direct: str | None, invert: bool, top: str, bottom:
     def fn(df: DataFrame) -> DataFrame:
         have = set(df.columns)
         if direct in have:
-            c = F.try_divide(F.lit(1.0), F.col(direct)) if invert else F.col(direct)
+            c = f"try_divide(1.0D, {direct})" if invert else direct
         elif {top, bottom} <= have:
-            c = F.try_divide(F.col(top), F.col(bottom))
+            c = f"try_divide({top}, {bottom})"
         else:
-            c = F.lit(None).cast("double")
-        return df.withColumn(f"{name}_factor", c)
+            c = "cast(null as double)"
+        return add(df, {f"{name}_factor": c})
 
     return factor(name)(fn)
 

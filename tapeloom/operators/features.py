@@ -10,17 +10,15 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.functions.columns import at_least, clamp, log_ratio, null_if
-from tapeloom.functions.rolling import Clock, span_alpha, with_ewm
+from tapeloom.functions.rolling import Clock, add, at_least, pick, span_alpha, with_ewm
 
 DECISION_HOUR = 22
 LIMIT_UP = math.log(1.095)
-EPS = 1e-9
 
-Stage = Callable[[Clock], dict[str, Column]]
+Stage = Callable[[Clock], dict[str, str]]
 
 
 @dataclass(frozen=True)
@@ -40,151 +38,151 @@ class FeatureSource:
 
 
 def _price(t: Clock):
-    c = F.col("close")
     return {
-        "ret_1d": log_ratio(c, t.lag("close", 1)),
-        "ret_5d": log_ratio(c, t.lag("close", 5)),
-        "ret_20d": log_ratio(c, t.lag("close", 20)),
-        "range_pct": F.try_divide(F.col("high") - F.col("low"), c),
-        "gap": F.try_divide(F.col("open") - t.lag("close"), t.lag("close")),
+        "ret_1d": f"ln(try_divide(close, {t.lag('close')}))",
+        "ret_5d": f"ln(try_divide(close, {t.lag('close', 5)}))",
+        "ret_20d": f"ln(try_divide(close, {t.lag('close', 20)}))",
+        "range_pct": "try_divide(high - low, close)",
+        "gap": f"try_divide(open - {t.lag('close')}, {t.lag('close')})",
     }
 
 
 def _averages(t: Clock):
-    c = F.col("close")
     ma5, ma20, ma60 = (t.mean("close", n) for n in (5, 20, 60))
     return {
-        "ma5_dev": F.try_divide(c, ma5) - 1,
-        "ma20_dev": F.try_divide(c, ma20) - 1,
-        "ma60_dev": F.try_divide(c, ma60) - 1,
-        "ma_short_long": F.try_divide(ma5, ma20) - 1,
+        "ma5_dev": f"try_divide(close, {ma5}) - 1",
+        "ma20_dev": f"try_divide(close, {ma20}) - 1",
+        "ma60_dev": f"try_divide(close, {ma60}) - 1",
+        "ma_short_long": f"try_divide({ma5}, {ma20}) - 1",
     }
 
 
 def _volume(t: Clock):
-    v = F.col("volume")
     return {
-        "vol_z20": F.try_divide(v - t.mean("volume", 20), t.std("volume", 20)),
-        "vol_ratio_5": F.try_divide(v, t.mean("volume", 5)),
+        "vol_z20": f"try_divide(volume - {t.mean('volume', 20)}, {t.std('volume', 20)})",
+        "vol_ratio_5": f"try_divide(volume, {t.mean('volume', 5)})",
         "vol_ret_corr20": t.corr("ret_1d", "volume", 20),
     }
 
 
-def true_range(high: Column, low: Column, previous_close: Column) -> Column:
+def true_range(t: Clock, high: str = "high", low: str = "low", close: str = "close") -> str:
     """Largest of the three spans; the first row has only high - low."""
-    return F.greatest(high - low, F.abs(high - previous_close), F.abs(low - previous_close))
+    before = t.lag(close)
+    return f"greatest({high} - {low}, abs({high} - {before}), abs({low} - {before}))"
 
 
-def add_gain_loss(t: Clock, close: str) -> dict[str, Column]:
-    delta = F.col(close) - t.lag(close)
-    return {"_gain": at_least(delta, 0.0), "_loss": at_least(-delta, 0.0)}
+def gain_loss(t: Clock, close: str) -> dict[str, str]:
+    delta = f"({close} - {t.lag(close)})"
+    return {"_gain": at_least(delta, 0.0), "_loss": at_least(f"-{delta}", 0.0)}
 
 
-def raw_stochastic(t: Clock, high: str, low: str, close: str, n: int) -> Column:
+def stochastic(t: Clock, high: str, low: str, close: str, n: int) -> str:
     lowest, highest = t.min(low, n), t.max(high, n)
-    return F.try_divide(F.col(close) - lowest, highest - lowest) * 100
+    return f"try_divide({close} - {lowest}, {highest} - {lowest}) * 100"
 
 
 def _technical_inputs(df: DataFrame) -> DataFrame:
     """Recursive averages on forward-adjusted prices, two passes for the nested ones."""
     t = Clock()
     if "close_qfq" not in df.columns:
-        df = df.withColumns({f"{c}_qfq": F.col(c) for c in ("high", "low", "close")})
-    df = df.withColumns({
-        **add_gain_loss(t, "close_qfq"),
-        "_rsv": raw_stochastic(t, "high_qfq", "low_qfq", "close_qfq", 9),
-        "_tr": true_range(F.col("high_qfq"), F.col("low_qfq"), t.lag("close_qfq")),
+        df = add(df, {f"{c}_qfq": c for c in ("high", "low", "close")})
+    df = add(df, {
+        **gain_loss(t, "close_qfq"),
+        "_rsv": stochastic(t, "high_qfq", "low_qfq", "close_qfq", 9),
+        "_tr": true_range(t, "high_qfq", "low_qfq", "close_qfq"),
     })
     df = with_ewm(df, {
         "_ag": ("_gain", 1 / 12), "_al": ("_loss", 1 / 12),
         "_e12": ("close_qfq", span_alpha(12)), "_e26": ("close_qfq", span_alpha(26)),
         "_k": ("_rsv", 1 / 3), "_atr": ("_tr", 1 / 14),
     })
-    df = df.withColumn("_dif", F.col("_e12") - F.col("_e26"))
+    df = add(df, {"_dif": "_e12 - _e26"})
     return with_ewm(df, {"_dea": ("_dif", span_alpha(9)), "_dd": ("_k", 1 / 3)})
 
 
-def relative_strength(gain: Column, loss: Column) -> Column:
+def relative_strength(gain: str, loss: str) -> str:
     """RSI from averaged gain and loss: 100 when nothing was lost, 50 without information."""
-    usual = 100 - F.try_divide(F.lit(100.0), 1 + F.try_divide(gain, null_if(loss, 0.0)))
-    return F.coalesce(F.when((loss == 0) & (gain > 0), 100.0).otherwise(usual), F.lit(50.0))
+    return (
+        f"case when {loss} = 0 and {gain} > 0 then 100.0D "
+        f"else coalesce(100 - 100 / (1 + try_divide({gain}, {loss})), 50.0D) end"
+    )
 
 
 def _technical(_: Clock):
-    c = F.col("close_qfq")
     return {
-        "rsi12": relative_strength(F.col("_ag"), F.col("_al")) / 100 - 0.5,
-        "macd_hist_norm": F.try_divide(2 * (F.col("_dif") - F.col("_dea")), c),
-        "kdj_j": (3 * F.col("_k") - 2 * F.col("_dd")) / 100 - 0.5,
-        "atr14_pct": F.try_divide(F.col("_atr"), c),
+        "rsi12": f"({relative_strength('_ag', '_al')}) / 100 - 0.5D",
+        "macd_hist_norm": "try_divide(2 * (_dif - _dea), close_qfq)",
+        "kdj_j": "(3 * _k - 2 * _dd) / 100 - 0.5D",
+        "atr14_pct": "try_divide(_atr, close_qfq)",
     }
 
 
 def _fundamental(_: Clock):
     return {
-        "pe_log": F.log1p(at_least(F.col("pe_ttm"), 0.0)),
-        "pb_log": F.log1p(at_least(F.col("pb"), 0.0)),
-        "turnover": F.col("turnover_rate"),
-        "mv_log": F.ln(at_least(F.col("total_mv"), 1.0)),
+        "pe_log": f"log1p({at_least('pe_ttm', 0.0)})",
+        "pb_log": f"log1p({at_least('pb', 0.0)})",
+        "turnover": "turnover_rate",
+        "mv_log": f"ln({at_least('total_mv', 1.0)})",
     }
 
 
 def _flow(_: Clock):
-    sm, md, lg, elg = (F.coalesce(f"buy_{s}_amount", F.lit(0.0)) for s in ("sm", "md", "lg", "elg"))
+    sm, md, lg, elg = (f"coalesce(buy_{s}_amount, 0)" for s in ("sm", "md", "lg", "elg"))
     return {
-        "inflow_pct": F.try_divide(F.col("net_mf_amount"), F.col("total_mv")),
-        "big_ratio": F.try_divide(lg + elg, lg + elg + sm + md),
+        "inflow_pct": "try_divide(net_mf_amount, total_mv)",
+        "big_ratio": f"try_divide({lg} + {elg}, {lg} + {elg} + {sm} + {md})",
     }
 
 
 def _limit_flags(t: Clock):
-    limit = F.coalesce(F.col("ret_1d") >= LIMIT_UP, F.lit(False))
-    return {"_limit": limit, "_up": F.coalesce(F.col("ret_1d") > 0, F.lit(False)), "_n": t.rn()}
+    return {
+        "_limit": f"coalesce(ret_1d >= {LIMIT_UP!r}D, false)",
+        "_up": "coalesce(ret_1d > 0, false)",
+        "_n": t.rn(),
+    }
 
 
 def _limits(t: Clock):
-    hit = F.col("_limit").cast("double")
-    n = F.col("_n")
-    last_hit = F.max(F.when(F.col("_limit"), n)).over(t.so_far)
-    last_down = F.coalesce(F.max(F.when(~F.col("_up"), n)).over(t.so_far), F.lit(0))
-    flat = (F.col("open") == F.col("high")) & (F.col("high") == F.col("low")) & (F.col("low") == F.col("close"))
+    hit = "double(_limit)"
     return {
-        "days_since_limit": F.least(F.coalesce(n - last_hit, F.lit(60)), F.lit(60)) / 60.0,
-        "n_limits_20d": t.total(hit, 20, 1) / 20.0,
-        "n_limits_60d": t.total(hit, 60, 1) / 60.0,
+        "days_since_limit": f"{t.rows_since('_limit', '_n', 60)} / 60",
+        "n_limits_20d": f"{t.total(hit, 20, 1)} / 20",
+        "n_limits_60d": f"{t.total(hit, 60, 1)} / 60",
         "max_ret_20d": t.max("ret_1d", 20, 1),
-        "consecutive_up": F.least(n - last_down, F.lit(10)) / 10.0,
-        "is_yi_zi": (F.coalesce(flat, F.lit(False)) & F.col("_limit")).cast("double"),
+        "consecutive_up": f"least({t.streak('_up', '_n')}, 10) / 10",
+        "is_yi_zi": "double(coalesce(open = high and high = low and low = close, false) and _limit)",
     }
 
 
-def _self_z(t: Clock, name: str) -> Column:
-    return (F.col(name) - t.mean(name, 60, 20)) / (t.std(name, 60, 20) + EPS)
+def _self_z(t: Clock, x: str) -> str:
+    return f"({x} - {t.mean(x, 60, 20)}) / ({t.std(x, 60, 20)} + 1e-9D)"
 
 
 def _scale(t: Clock):
     vola = t.std("ret_1d", 60, 20)
     return {
-        "circ_mv_log": F.ln(at_least(F.col("circ_mv"), 1.0)),
+        "circ_mv_log": f"ln({at_least('circ_mv', 1.0)})",
         "circ_mv_z_self60": _self_z(t, "circ_mv"),
         "turnover_ma20": t.mean("turnover_rate", 20, 5),
         "turnover_self_z60": _self_z(t, "turnover_rate"),
         "vola_60d": vola,
-        "vola_ratio_20_60": t.std("ret_1d", 20, 5) / (vola + EPS),
+        "vola_ratio_20_60": f"{t.std('ret_1d', 20, 5)} / ({vola} + 1e-9D)",
     }
 
 
 def _price_volume(t: Clock):
     return {
-        "price_vol_match5": F.col("ret_5d") * F.tanh(F.col("vol_ratio_5") - 1),
-        "inflow_5d_sum": F.try_divide(t.total("net_mf_amount", 5, 2), F.col("circ_mv")),
+        "price_vol_match5": "ret_5d * tanh(vol_ratio_5 - 1)",
+        "inflow_5d_sum": f"try_divide({t.total('net_mf_amount', 5, 2)}, circ_mv)",
         "vol_ret_corr60": t.corr("ret_1d", "volume", 60, 20),
     }
 
 
 def _news(t: Clock):
-    flag = F.col("_mentioned").cast("double")
-    return {"news_mentioned_t": flag, "news_mentioned_t1": F.coalesce(t.lag(flag), F.lit(0.0))}
+    return {
+        "news_mentioned_t": "double(_mentioned)",
+        "news_mentioned_t1": f"coalesce({t.lag('double(_mentioned)')}, 0)",
+    }
 
 
 PRICE = FeatureSource("price", ("ret_1d", "ret_5d", "ret_20d", "range_pct", "gap"), (_price,))
@@ -252,15 +250,14 @@ def compute_features(panel: DataFrame, sources: tuple[FeatureSource, ...] = MARK
         if s.prepare is not None:
             df = s.prepare(df)
         for stage in s.stages:
-            df = df.withColumns(stage(t))
+            df = add(df, stage(t))
         missing = set(s.columns) - set(df.columns)
         if missing or set(s.columns) & before:
             raise ValueError(f"source {s.name} does not produce what it declares: {sorted(missing)}")
-    out = []
-    for s in sources:
-        for c in s.columns:
-            out.append((t.lag(c, s.shift_rows) if s.shift_rows else F.col(c)).cast("double").alias(c))
-    return df.select("code", "trade_date", *out)
+    out = {
+        c: f"double({t.lag(c, s.shift_rows) if s.shift_rows else c})" for s in sources for c in s.columns
+    }
+    return pick(df, ["code", "trade_date"], out)
 
 
 def zscore_by_day(
@@ -273,13 +270,10 @@ def zscore_by_day(
     computing the features a second time for a statistics join. Pass ``keys`` with the asset
     class in front to score several classes separately.
     """
-    from pyspark.sql import Window
-
-    day = Window.partitionBy(*keys)
+    day = f"over (partition by {', '.join(keys)})"
 
     def z(c):
-        x = F.col(c)
-        raw = F.try_divide(x - F.avg(x).over(day), F.stddev_samp(x).over(day))
-        return clamp(F.coalesce(raw, F.lit(0.0)), -clip, clip)
+        raw = f"coalesce(try_divide({c} - avg({c}) {day}, stddev_samp({c}) {day}), 0)"
+        return f"double(case when {raw} > {clip} then {clip} when {raw} < -{clip} then -{clip} else {raw} end)"
 
-    return feats.withColumns({c: z(c) for c in columns})
+    return pick(feats, [c for c in feats.columns if c not in columns], {c: z(c) for c in columns})

@@ -8,9 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.functions.columns import null_if
-from tapeloom.functions.rolling import Clock, span_alpha, with_ewm
-from tapeloom.operators.features import add_gain_loss, raw_stochastic, true_range
+from tapeloom.functions.rolling import Clock, add, pick, span_alpha, with_ewm
+from tapeloom.operators.features import gain_loss, stochastic, true_range
 
 
 @dataclass(frozen=True)
@@ -23,12 +22,12 @@ class Indicator:
 
 
 def _ma(n: int):
-    return lambda df, t: df.withColumn(f"ma{n}", t.mean("close", n))
+    return lambda df, t: add(df, {f"ma{n}": t.mean("close", n)})
 
 
 def _ma20_prev(df, t):
-    df = df.withColumn("_ma20", t.mean("close", 20))
-    return df.withColumn("ma20_prev", t.lag("_ma20")).drop("_ma20")
+    df = add(df, {"_ma20": t.mean("close", 20)})
+    return add(df, {"ma20_prev": t.lag("_ma20")}).drop("_ma20")
 
 
 def ema(n: int):
@@ -37,33 +36,28 @@ def ema(n: int):
 
 def _macd(df, t):
     df = with_ewm(df, {"_fast": ("close", span_alpha(12)), "_slow": ("close", span_alpha(26))})
-    df = df.withColumn("dif", F.col("_fast") - F.col("_slow"))
-    df = with_ewm(df, {"dea": ("dif", span_alpha(9))})
-    return df.withColumn("hist", 2 * (F.col("dif") - F.col("dea"))).drop("_fast", "_slow")
+    df = with_ewm(add(df, {"dif": "_fast - _slow"}), {"dea": ("dif", span_alpha(9))})
+    return add(df, {"hist": "2 * (dif - dea)"}).drop("_fast", "_slow")
 
 
 def _rsi(df, t):
-    df = df.withColumns(add_gain_loss(t, "close"))
-    df = with_ewm(df, {"_ag": ("_gain", 1 / 14), "_al": ("_loss", 1 / 14)})
-    ratio = F.try_divide(F.col("_ag"), null_if(F.col("_al"), 0.0))
-    return df.withColumn("rsi14", 100 - 100 / (1 + ratio)).drop("_gain", "_loss", "_ag", "_al")
+    df = with_ewm(add(df, gain_loss(t, "close")), {"_ag": ("_gain", 1 / 14), "_al": ("_loss", 1 / 14)})
+    return add(df, {"rsi14": "100 - 100 / (1 + try_divide(_ag, _al))"}).drop("_gain", "_loss", "_ag", "_al")
 
 
 def _kdj(df, t):
-    df = df.withColumn("_rsv", raw_stochastic(t, "high", "low", "close", 9))
-    df = with_ewm(df, {"k": ("_rsv", 1 / 3)})
-    df = with_ewm(df, {"d": ("k", 1 / 3)})
-    return df.withColumn("j", 3 * F.col("k") - 2 * F.col("d")).drop("_rsv")
+    df = add(df, {"_rsv": stochastic(t, "high", "low", "close", 9)})
+    df = with_ewm(with_ewm(df, {"k": ("_rsv", 1 / 3)}), {"d": ("k", 1 / 3)})
+    return add(df, {"j": "3 * k - 2 * d"}).drop("_rsv")
 
 
 def _boll(df, t):
     mid, dev = t.mean("close", 20), t.std("close", 20)
-    return df.withColumns({"boll_up": mid + 2 * dev, "boll_mid": mid, "boll_dn": mid - 2 * dev})
+    return add(df, {"boll_up": f"{mid} + 2 * {dev}", "boll_mid": mid, "boll_dn": f"{mid} - 2 * {dev}"})
 
 
 def _atr(df, t):
-    df = df.withColumn("_tr", true_range(F.col("high"), F.col("low"), t.lag("close")))
-    return with_ewm(df, {"atr14": ("_tr", 1 / 14)}).drop("_tr")
+    return with_ewm(add(df, {"_tr": true_range(t)}), {"atr14": ("_tr", 1 / 14)}).drop("_tr")
 
 
 REGISTRY: dict[str, Indicator] = {
@@ -79,7 +73,7 @@ REGISTRY: dict[str, Indicator] = {
         Indicator("KDJ", ("k", "d", "j"), _kdj, subplot=True),
         Indicator("BOLL", ("boll_up", "boll_mid", "boll_dn"), _boll),
         Indicator("ATR14", ("atr14",), _atr, subplot=True),
-        Indicator("VOL", ("vol",), lambda df, t: df.withColumn("vol", F.col("volume")), subplot=True),
+        Indicator("VOL", ("vol",), lambda df, t: add(df, {"vol": "volume"}), subplot=True),
     )
 }
 
@@ -93,7 +87,7 @@ def add_indicators(bars: DataFrame, names: list[str], shift: bool = False) -> Da
         df = spec.compute(df, t)
         added += spec.outputs
     if shift:
-        df = df.withColumns({c: t.lag(c) for c in added})
+        df = pick(df, bars.columns, {c: t.lag(c) for c in added})
     return df
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions.rolling import Clock, add
+
 PRICES = ("open", "high", "low", "close")
 KEY = ["code", "trade_date"]
 
@@ -43,12 +45,10 @@ def _factor_ratio(f: Column, anchor: Column) -> Column:
 def attach_forward_adjusted(panel: DataFrame) -> DataFrame:
     """Add ``*_qfq`` prices: price times factor over the code's latest known factor; a missing
     factor leaves the price as it is."""
-    whole = Window.partitionBy("code").orderBy("trade_date").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    latest = F.last("adj_factor", ignorenulls=True).over(whole)
-    panel = panel.withColumn("_ratio", _factor_ratio(F.col("adj_factor"), latest))
-    return panel.withColumns({f"{c}_qfq": F.col(c) * F.col("_ratio") for c in PRICES}).drop("_ratio")
+    t = Clock()
+    latest = f"last(adj_factor, true) {t.whole}"
+    panel = add(panel, {"_ratio": f"coalesce(try_divide(adj_factor, {latest}), 1)"})
+    return add(panel, {f"{c}_qfq": f"{c} * _ratio" for c in PRICES}).drop("_ratio")
 
 
 def adjust_prices(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.functions.columns import r6
+from tapeloom.functions.rolling import pick
 from tapeloom.operators import factors as fac
 from tapeloom.operators import features as feat
 from tapeloom.operators import indicators as ind
@@ -43,6 +43,11 @@ def digits(c: str) -> int:
     return 3 if c in COARSE else 6
 
 
+def rounded(df, cols, date="trade_date", places=lambda c: 6):
+    """Report columns rounded; adding 0.0 turns -0.0 into 0.0."""
+    return pick(df, ["code", date], {c: f"round({c}, {places(c)}) + 0.0D" for c in cols})
+
+
 def shown(cols, lag: bool = True, src: str = "f") -> str:
     body = ", ".join(
         f"round({'lag(' + c + ') over w' if lag else c}, {digits(c)}) + 0.0 as {c}" for c in cols
@@ -135,12 +140,21 @@ GROUPS = {
 }
 
 
+PANEL_COLS = ["open", "high", "low", "close", "volume", "amount", "pe_ttm", "pb", "turnover_rate", "total_mv", "circ_mv",
+              "buy_sm_amount", "buy_md_amount", "buy_lg_amount", "buy_elg_amount", "net_mf_amount", "adj_factor"]
+
+
+@query("panel_join", f"{shown(PANEL_COLS, lag=False, src='panel')}", "panel")
+def panel_join(m):
+    return rounded(m.joined_panel, PANEL_COLS)
+
+
 def _group_query(name, source, sql):
     @query(f"feature_{name}", f"with {sql} {shown(source.columns)}", "panel")
     def run(m, source=source, name=name):
         panel = attach_forward_adjusted(m.panel) if name == "technical" else m.panel
         out = feat.compute_features(panel, (source,))
-        return out.select("code", "trade_date", *[r6(c).alias(c) for c in source.columns])
+        return rounded(out, source.columns, "trade_date")
 
 
 for _name, (_source, _sql) in GROUPS.items():
@@ -197,14 +211,14 @@ def all_features(m):
 @query("features_all", f"with {ALL_FEATURES_SQL} select code, trade_date, "
        + ", ".join(f"round({c}, 6) + 0.0 as {c}" for c in feat.FEATURES) + " from feats", "panel industry news_raw")
 def features_all(m):
-    return all_features(m).select("code", "trade_date", *[r6(c).alias(c) for c in feat.FEATURES])
+    return rounded(all_features(m), feat.FEATURES)
 
 
 @query("features_zscore", f"with {ALL_FEATURES_SQL} select code, trade_date, "
        + ", ".join(z_sql(c) for c in feat.FEATURES) + " from feats", "panel industry news_raw")
 def features_zscore(m):
     z = feat.zscore_by_day(all_features(m), feat.FEATURES)
-    return z.select("code", "trade_date", *[r6(c, z_digits(c)).alias(c) for c in feat.FEATURES])
+    return rounded(z, feat.FEATURES, "trade_date", z_digits)
 
 
 # --- indicators ---------------------------------------------------------------
@@ -230,13 +244,13 @@ f as (select code, trade_date, ma5, ma20, ma60, lag(ma20) over w as ma20_prev, e
 @query("indicators", f"with {INDICATORS_SQL} {shown(IND_COLS, lag=False)}", "bars")
 def indicators(m):
     out = ind.add_indicators(m.bars, list(ind.REGISTRY))
-    return out.select("code", "trade_date", *[r6(c, digits(c)).alias(c) for c in IND_COLS])
+    return rounded(out, IND_COLS, "trade_date", digits)
 
 
 @query("indicators_shifted", f"with {INDICATORS_SQL} {shown(['dif', 'dea', 'rsi14', 'boll_mid'])}", "bars")
 def indicators_shifted(m):
     out = ind.add_indicators(m.bars, ["MACD", "RSI14", "BOLL"], shift=True)
-    return out.select("code", "trade_date", *[r6(c, digits(c)).alias(c) for c in ["dif", "dea", "rsi14", "boll_mid"]])
+    return rounded(out, ["dif", "dea", "rsi14", "boll_mid"], "trade_date", digits)
 
 
 for _p, _end in {
@@ -250,7 +264,7 @@ for _p, _end in {
       round(sum(volume), 6) as volume from bars group by 1, 2""", "bars")
     def resampled(m, p=_p):
         out = ind.resample(m.bars, p)
-        return out.select("code", "period_end", *[r6(c).alias(c) for c in ("open", "high", "low", "close", "volume")])
+        return rounded(out, ("open", "high", "low", "close", "volume"), "period_end")
 
 
 # --- factors ------------------------------------------------------------------
@@ -269,7 +283,7 @@ f as (select code, trade_date, close / lag(close, 20) over w - 1 as momentum, -(
 @query("factors_trend", f"with {TREND_SQL} {shown(TREND, lag=False)}", "bars")
 def factors_trend(m):
     out = fac.add_factors(m.bars, ["momentum", "reversal", "volume_momentum", "ma", "boll", "kdj"])
-    return out.select("code", "trade_date", *[r6(c, digits(c)).alias(c) for c in TREND])
+    return rounded(out, TREND, "trade_date", digits)
 
 
 RECURSIVE = ["rsi", "macd_line", "macd_signal", "macd", "atr"]
@@ -289,7 +303,7 @@ f as (select code, trade_date, case when i >= 14 then case when ad = 0 then 100
 @query("factors_recursive", f"with {RECURSIVE_SQL} {shown(RECURSIVE, lag=False)}", "bars")
 def factors_recursive(m):
     out = fac.add_factors(m.bars, ["rsi", "macd", "atr"])
-    return out.select("code", "trade_date", *[r6(c, digits(c)).alias(c) for c in RECURSIVE])
+    return rounded(out, RECURSIVE, "trade_date", digits)
 
 
 @query("factors_value", """select code, trade_date, round(1.0 / nullif(pe, 0), 6) as pe_factor,
@@ -304,4 +318,4 @@ def factors_value(m):
     )
     names = ["pe", "pb", "ps", "dividend_yield", "roe"]
     out = fac.add_factors(df, names)
-    return out.select("code", "trade_date", *[r6(f"{n}_factor").alias(f"{n}_factor") for n in names])
+    return rounded(out, [f"{n}_factor" for n in names], "trade_date")

@@ -16,6 +16,20 @@ def nation_code(c) -> F.Column:
     return F.concat(F.lit("N"), F.lpad(F.col(c).cast("string"), 2, "0"))
 
 
+def _factor() -> F.Column:
+    return F.when(F.day("trade_date") != 13, 1.0 + 0.1 * (F.year("trade_date") - 1995))
+
+
+def _basic() -> dict[str, F.Column]:
+    return {
+        "pe_ttm": F.when(F.day("trade_date") % 7 != 0, F.col("close") / 100.0 - 5.0),
+        "pb": F.col("close") / 1000.0,
+        "turnover_rate": F.col("volume") / 10.0,
+        "total_mv": F.col("amount"),
+        "circ_mv": F.col("amount") * 0.7,
+    }
+
+
 class Market:
     """Lazy market tables over one data folder; each property is only a plan."""
 
@@ -31,52 +45,51 @@ class Market:
         li = self.table("lineitem")
         return li.join(sup, li.l_suppkey == sup.s_suppkey).withColumn("code", nation_code("s_nationkey"))
 
-    @cached_property
-    def bars(self) -> DataFrame:
-        px = F.col("l_extendedprice") / F.col("l_quantity")
+    def _bars(self, more=None) -> DataFrame:
         seq = trade_sequence(
-            "l_shipdate",
-            [("l_orderkey", 13), ("l_linenumber", 2), ("l_partkey", 11), ("l_suppkey", 11)],
+            "l_shipdate", [("l_orderkey", 13), ("l_linenumber", 2)], [("l_partkey", 11), ("l_suppkey", 11)]
         )
         return bars_from_trades(
-            self.trades, F.col("code"), week_start(F.col("l_shipdate")), px,
-            F.col("l_quantity"), F.col("l_extendedprice"), seq,
+            self.trades, F.col("code"), week_start(F.col("l_shipdate")),
+            F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), F.col("l_extendedprice"),
+            F.expr(seq), more,
         )
 
     @cached_property
-    def moneyflow(self) -> DataFrame:
+    def bars(self) -> DataFrame:
+        return self._bars()
+
+    def _flow_terms(self) -> dict[str, F.Column]:
         q, x = F.col("l_quantity"), F.col("l_extendedprice")
-        bought = F.col("l_returnflag") != "R"
-
-        def size(cond, name):
-            return F.round(F.sum(F.when(bought & cond, x).otherwise(0.0)), 2).alias(name)
-
-        return (
-            self.trades.where(F.col("l_orderkey") % 11 != 0)
-            .groupBy("code", week_start(F.col("l_shipdate")).alias("trade_date"))
-            .agg(
-                size(q <= 12, "buy_sm_amount"),
-                size((q > 12) & (q <= 25), "buy_md_amount"),
-                size((q > 25) & (q <= 40), "buy_lg_amount"),
-                size(q > 40, "buy_elg_amount"),
-                F.round(F.sum(F.when(bought, x).otherwise(-2 * x)), 2).alias("net_mf_amount"),
-            )
+        counted, bought = F.col("l_orderkey") % 11 != 0, F.col("l_returnflag") != "R"
+
+        def size(cond):
+            return F.when(counted, F.when(bought & cond, x).otherwise(0.0))
+
+        return {
+            "buy_sm_amount": size(q <= 12), "buy_md_amount": size((q > 12) & (q <= 25)),
+            "buy_lg_amount": size((q > 25) & (q <= 40)), "buy_elg_amount": size(q > 40),
+            "net_mf_amount": F.when(counted, F.when(bought, x).otherwise(-2 * x)),
+        }
+
+    @cached_property
+    def moneyflow(self) -> DataFrame:
+        keyed = self.trades.where(F.col("l_orderkey") % 11 != 0).select(
+            "code", week_start(F.col("l_shipdate")).alias("trade_date"),
+            *[c.alias(n) for n, c in self._flow_terms().items()],
+        )
+        return keyed.groupBy("code", "trade_date").agg(
+            *[F.round(F.sum(n), 2).alias(n) for n in self._flow_terms()]
         )
 
     @cached_property
     def adj_factor(self) -> DataFrame:
-        factor = F.when(F.day("trade_date") != 13, 1.0 + 0.1 * (F.year("trade_date") - 1995))
-        return self.bars.select("code", "trade_date", factor.alias("adj_factor"))
+        return self.bars.select("code", "trade_date", _factor().alias("adj_factor"))
 
     @cached_property
     def daily_basic(self) -> DataFrame:
         return self.bars.where(F.day("trade_date") != 20).select(
-            "code", "trade_date",
-            F.when(F.day("trade_date") % 7 != 0, F.col("close") / 100.0 - 5.0).alias("pe_ttm"),
-            (F.col("close") / 1000.0).alias("pb"),
-            (F.col("volume") / 10.0).alias("turnover_rate"),
-            F.col("amount").alias("total_mv"),
-            (F.col("amount") * 0.7).alias("circ_mv"),
+            "code", "trade_date", *[c.alias(n) for n, c in _basic().items()]
         )
 
     @cached_property
@@ -149,7 +162,17 @@ class Market:
         )
 
     @cached_property
-    def panel(self) -> DataFrame:
+    def joined_panel(self) -> DataFrame:
+        """The panel from four separate tables."""
         from tapeloom.operators.panel import build_panel
 
         return build_panel(self.bars, self.daily_basic, self.moneyflow, self.adj_factor)
+
+    @cached_property
+    def panel(self) -> DataFrame:
+        """The same panel in one pass: here all four tables come from the same trades."""
+        wide = self._bars(self._flow_terms())
+        return wide.withColumns({
+            **{n: F.when(F.day("trade_date") != 20, c) for n, c in _basic().items()},
+            "adj_factor": _factor(),
+        })
