@@ -6,13 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pearson(x: str, y: str) -> Column:
-    """Group correlation over complete pairs; NULL when either side is constant."""
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    px, py = F.when(both, F.col(x)), F.when(both, F.col(y))
-    return F.try_divide(F.covar_pop(px, py), F.stddev_pop(px) * F.stddev_pop(py))
-
-
 def average_rank(c: Column | str, keys: list[str]) -> Column:
     """Rank with ties sharing their mean rank, inside a group bounded by its key
     (one row per instrument and date)."""
@@ -52,4 +45,4 @@ def score_bucket(scored: DataFrame, score: str, pieces: int = 64) -> Column:
     a scalar subquery, so the plan stays lazy and the driver sees nothing."""
     probs = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
     cuts = scored.select(F.percentile_approx(score, probs, F.lit(1000)).alias("cuts")).scalar()
-    return F.size(F.filter(cuts, lambda c: c < F.col(score)))
+    return F.array_position(F.sort_array(F.array_append(cuts, F.col(score))), F.col(score))

@@ -144,9 +144,9 @@ PANEL_COLS = ["open", "high", "low", "close", "volume", "amount", "pe_ttm", "pb"
               "buy_sm_amount", "buy_md_amount", "buy_lg_amount", "buy_elg_amount", "net_mf_amount", "adj_factor"]
 
 
-@query("panel_join", f"{shown(PANEL_COLS, lag=False, src='panel')}", "panel")
+@query("panel_join", f"select code, trade_date, {', '.join(PANEL_COLS)} from panel", "panel")
 def panel_join(m):
-    return rounded(m.joined_panel, PANEL_COLS)
+    return m.joined_panel.select("code", "trade_date", *PANEL_COLS)
 
 
 def _group_query(name, source, sql):
