@@ -42,7 +42,7 @@ def with_views(sql: str, views: str) -> str:
         need(v)
     ctes = [f"{v} as ({VIEWS[v][1].strip()})" for v in wanted]
     body = sql.strip()
-    if body.lower().startswith("with "):
-        body = body[5:]
-        return "with " + ",\n".join([*ctes, body])
+    for opening in ("with recursive ", "with "):
+        if body.lower().startswith(opening):
+            return opening + ",\n".join([*ctes, body[len(opening):]])
     return ("with " + ",\n".join(ctes) + "\n" if ctes else "") + body

@@ -9,7 +9,7 @@ from tapeloom.functions.columns import r6
 from tapeloom.operators import features as feat
 from tapeloom.operators import panel as pan
 from tapeloom.operators import sync
-from tapeloom.plans.feature_queries import PRICE, W, rounded, z_sql
+from tapeloom.plans.feature_queries import PRICE, W, z_sql
 from tapeloom.plans.registry import query
 from tapeloom.schemas import RECORDS, conform, normalize_ohlcv
 from tapeloom.sources import tables as tab
@@ -246,7 +246,7 @@ def stale_codes(m):
 def _adj_sql(fn: str, how: str) -> str:
     return f"""with j as (select b.*, a.adj_factor from bars b {how} join (select * from adj_factor where year(trade_date) <> 1999) a using (code, trade_date)),
       k as (select *, coalesce(adj_factor / {fn}(adj_factor ignore nulls) over (partition by code order by trade_date rows between unbounded preceding and unbounded following), 1) as q from j)
-      select code, trade_date, round(open * q, 4) as open, round(high * q, 4) as high, round(low * q, 4) as low, round(close * q, 4) as close from k"""
+      select code, trade_date, open * q as open, high * q as high, low * q as low, close * q as close from k"""
 
 
 for _name, _mode, _fn, _how in (("adjust_qfq", "qfq", "last_value", "left"), ("adjust_hfq", "hfq", "first_value", "left"), ("adjust_vendor", "qfq", "last_value", "inner")):
@@ -254,14 +254,14 @@ for _name, _mode, _fn, _how in (("adjust_qfq", "qfq", "last_value", "left"), ("a
     @query(_name, _adj_sql(_fn, _how), "bars adj_factor")
     def adjusted(m, mode=_mode, how=_how):
         f = m.adj_factor.where(F.year("trade_date") != 1999)
-        return rounded(pan.adjust_prices(m.bars, f, mode, how == "left"), ["open", "high", "low", "close"], places=lambda c: 4)
+        return pan.adjust_prices(m.bars, f, mode, how == "left").select("code", "trade_date", "open", "high", "low", "close")
 
 
 @query("load_klines_adjusted", """with w as (select * from bars where code = 'N07' and trade_date between date '1998-01-01' and date '2000-12-31'), j as (select w.*, adj_factor from w left join adj_factor using (code, trade_date)),
-  k as (select *, coalesce(adj_factor / last_value(adj_factor ignore nulls) over (order by trade_date rows between unbounded preceding and unbounded following), 1) as q from j) select code, trade_date, round(close * q, 4) as close from k""", "bars adj_factor")
+  k as (select *, coalesce(adj_factor / last_value(adj_factor ignore nulls) over (order by trade_date rows between unbounded preceding and unbounded following), 1) as q from j) select code, trade_date, close * q as close from k""", "bars adj_factor")
 def load_klines_adjusted(m):
     raw = tab.load(m.bars, "N07", "1998-01-01", "2000-12-31")
-    return rounded(pan.adjust_prices(raw, m.adj_factor, "qfq"), ["close"], places=lambda c: 4)
+    return pan.adjust_prices(raw, m.adj_factor, "qfq").select("code", "trade_date", "close")
 
 
 FACTS = """facts as (select code, max(trade_date) + 30 as ann_date, sum(volume) as revenue from bars group by code, date_trunc('quarter', trade_date))"""
