@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tapeloom.plans import audit_queries, feature_queries, news_queries, portfolio_queries, research_queries, table_queries  # noqa: F401
+from tapeloom.plans import audit_queries, feature_queries, news_queries, portfolio_queries, research_queries, stream_queries, table_queries  # noqa: F401
 from tapeloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
