@@ -13,13 +13,48 @@ import math
 from pyspark.sql import DataFrame
 
 
+def _window_calls(text: str) -> list[str]:
+    """The ``fn(args) over (spec)`` parts of an expression, found by matching parentheses."""
+    out, at = [], text.find(") over (")
+    while at >= 0:
+        depth, start = 0, at
+        while True:
+            depth += {")": 1, "(": -1}.get(text[start], 0)
+            if depth == 0:
+                break
+            start -= 1
+        while start > 0 and (text[start - 1].isalnum() or text[start - 1] == "_"):
+            start -= 1
+        depth, end = 1, at + len(") over (")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        out.append(text[start:end])
+        at = text.find(") over (", end)
+    return out
+
+
+def _shared_windows(columns: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
+    """Window calls used more than once get a column of their own: Spark evaluates every
+    occurrence of a window call separately."""
+    calls = [c for e in columns.values() for c in _window_calls(e)]
+    shared = {c: f"_h{i}" for i, c in enumerate(dict.fromkeys(c for c in calls if calls.count(c) > 1))}
+    for call, name in shared.items():
+        columns = {n: e.replace(call, name) for n, e in columns.items()}
+    return {name: call for call, name in shared.items()}, columns
+
+
 def add(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Add SQL-text columns in one projection; text keeps plan building cheap for the many
-    expressions of a feature set."""
-    return df.selectExpr("*", *[f"{e} as {n}" for n, e in columns.items()])
+    """Add SQL-text columns; text keeps plan building cheap for the many expressions of a
+    feature set, and repeated window calls are computed once."""
+    return pick(df, df.columns, columns)
 
 
 def pick(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """The key columns and the SQL-text columns."""
+    shared, columns = _shared_windows(columns)
+    if shared:
+        df = df.selectExpr("*", *[f"{call} as {name}" for name, call in shared.items()])
     return df.selectExpr(*keys, *[f"{e} as {n}" for n, e in columns.items()])
 
 
@@ -28,6 +63,12 @@ def at_least(x: str, low: float) -> str:
     return f"case when {x} < {low} then {low}D else {x} end"
 
 
+def block_clock(df: DataFrame) -> Clock:
+    """The clock whose sort the frame already has: by kept EWM blocks, else by date."""
+    kept = [c for c in df.columns if c.startswith("_blk")]
+    return Clock(order=f"{kept[0]}, _rn") if kept else Clock()
+
+
 class Clock:
     """Row-clock expressions over one partition and order, so all of them share a sort."""
 
@@ -116,6 +157,7 @@ def with_ewm(
     series: dict[str, tuple[str, float]],
     keys: tuple[str, ...] = ("code",),
     order: str = "trade_date",
+    keep: bool = False,
 ) -> DataFrame:
     """Add exponentially weighted means, ``{new column: (input column, alpha)}``.
 
@@ -126,16 +168,20 @@ def with_ewm(
     short blocks; inside a block the recursion is a running sum of values divided by the
     running weight product (which cannot underflow within one block), and the value carried
     into a block is a fold over the few closing values of earlier blocks. Every step is a
-    window over the same partition and sort, evaluated in the JVM in linear time.
+    window over the same partition and sort, evaluated in the JVM in linear time. With ``keep``
+    the row number and block stay in the frame; later calls and windows then reuse the sort.
     """
     if not series:
         return df
     names, have = ", ".join(keys), list(df.columns)
     size = _block_rows([a for _, a in series.values()])
-    df = add(df, {"_rn": Clock(names, order).rn()})
-    df = add(df, {"_blk": f"cast((_rn - 1) div {size} as int)"})
-    t = Clock(names, f"_blk, {order}")
-    block = Clock(f"{names}, _blk", order).so_far
+    blk = f"_blk{size}"
+    if "_rn" not in have:
+        df = add(df, {"_rn": Clock(names, order).rn()})
+    if blk not in have:
+        df = add(df, {blk: f"cast((_rn - 1) div {size} as int)"})
+    t = Clock(names, f"{blk}, _rn")
+    block = Clock(f"{names}, {blk}", "_rn").so_far
 
     seen = {f"_p{i}": f"max(case when {src} is not null then _rn end) {t.before}"
             for i, (src, _) in enumerate(series.values())}
@@ -157,4 +203,6 @@ def with_ewm(
     for i, (name, (src, _)) in enumerate(series.items()):
         carry = f"aggregate(_ends, 0.0D, (y, e) -> e.w{i} * y + e.l{i})"
         out[name] = f"case when _p{i} is not null or {src} is not null then _w{i} * {carry} + _l{i} end"
+    if keep:
+        have += [c for c in ("_rn", blk) if c not in have]
     return pick(df, have, out)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.functions.rolling import Clock, add, at_least, pick, span_alpha, with_ewm
+from tapeloom.functions.rolling import Clock, add, at_least, block_clock, pick, span_alpha, with_ewm
 
 DECISION_HOUR = 22
 LIMIT_UP = math.log(1.095)
@@ -23,14 +23,15 @@ Stage = Callable[[Clock], dict[str, str]]
 
 @dataclass(frozen=True)
 class FeatureSource:
-    """A group of features. ``stages`` run in order and may read columns of earlier stages
-    and sources; ``prepare`` may add columns to the whole panel first."""
+    """A group of features. Stage n of all sources runs as one projection and may read what
+    earlier stages of any source made, so few window operators carry all of them.
+    ``recursion`` adds columns that need recursive averages, after the stages."""
 
     name: str
     columns: tuple[str, ...]
     stages: tuple[Stage, ...]
     cutoff_hour: int = 23
-    prepare: Callable[[DataFrame], DataFrame] | None = None
+    recursion: Callable[[DataFrame], DataFrame] | None = None
 
     @property
     def shift_rows(self) -> int:
@@ -61,10 +62,13 @@ def _volume(t: Clock):
     return {
         "vol_z20": f"try_divide(volume - {t.mean('volume', 20)}, {t.std('volume', 20)})",
         "vol_ratio_5": f"try_divide(volume, {t.mean('volume', 5)})",
-        "vol_ret_corr20": t.corr("ret_1d", "volume", 20),
     }
 
 
+def _volume_return(t: Clock):
+    return {"vol_ret_corr20": t.corr("ret_1d", "volume", 20)}
+
+
 def true_range(t: Clock, high: str = "high", low: str = "low", close: str = "close") -> str:
     """Largest of the three spans; the first row has only high - low."""
     before = t.lag(close)
@@ -81,23 +85,30 @@ def stochastic(t: Clock, high: str, low: str, close: str, n: int) -> str:
     return f"try_divide({close} - {lowest}, {highest} - {lowest}) * 100"
 
 
-def _technical_inputs(df: DataFrame) -> DataFrame:
-    """Recursive averages on forward-adjusted prices, two passes for the nested ones."""
-    t = Clock()
-    if "close_qfq" not in df.columns:
-        df = add(df, {f"{c}_qfq": c for c in ("high", "low", "close")})
-    df = add(df, {
+def _technical_inputs(t: Clock):
+    return {
+        "_rn": t.rn(),
         **gain_loss(t, "close_qfq"),
         "_rsv": stochastic(t, "high_qfq", "low_qfq", "close_qfq", 9),
         "_tr": true_range(t, "high_qfq", "low_qfq", "close_qfq"),
-    })
+    }
+
+
+def _technical(df: DataFrame) -> DataFrame:
+    """Recursive averages on forward-adjusted prices, two passes for the nested ones."""
     df = with_ewm(df, {
         "_ag": ("_gain", 1 / 12), "_al": ("_loss", 1 / 12),
         "_e12": ("close_qfq", span_alpha(12)), "_e26": ("close_qfq", span_alpha(26)),
         "_k": ("_rsv", 1 / 3), "_atr": ("_tr", 1 / 14),
-    })
+    }, keep=True)
     df = add(df, {"_dif": "_e12 - _e26"})
-    return with_ewm(df, {"_dea": ("_dif", span_alpha(9)), "_dd": ("_k", 1 / 3)})
+    df = with_ewm(df, {"_dea": ("_dif", span_alpha(9)), "_dd": ("_k", 1 / 3)}, keep=True)
+    return add(df, {
+        "rsi12": f"({relative_strength('_ag', '_al')}) / 100 - 0.5D",
+        "macd_hist_norm": "try_divide(2 * (_dif - _dea), close_qfq)",
+        "kdj_j": "(3 * _k - 2 * _dd) / 100 - 0.5D",
+        "atr14_pct": "try_divide(_atr, close_qfq)",
+    })
 
 
 def relative_strength(gain: str, loss: str) -> str:
@@ -108,15 +119,6 @@ def relative_strength(gain: str, loss: str) -> str:
     )
 
 
-def _technical(_: Clock):
-    return {
-        "rsi12": f"({relative_strength('_ag', '_al')}) / 100 - 0.5D",
-        "macd_hist_norm": "try_divide(2 * (_dif - _dea), close_qfq)",
-        "kdj_j": "(3 * _k - 2 * _dd) / 100 - 0.5D",
-        "atr14_pct": "try_divide(_atr, close_qfq)",
-    }
-
-
 def _fundamental(_: Clock):
     return {
         "pe_log": f"log1p({at_least('pe_ttm', 0.0)})",
@@ -134,12 +136,12 @@ def _flow(_: Clock):
     }
 
 
-def _limit_flags(t: Clock):
-    return {
-        "_limit": f"coalesce(ret_1d >= {LIMIT_UP!r}D, false)",
-        "_up": "coalesce(ret_1d > 0, false)",
-        "_n": t.rn(),
-    }
+def _limit_rows(t: Clock):
+    return {"_n": t.rn()}
+
+
+def _limit_flags(_: Clock):
+    return {"_limit": f"coalesce(ret_1d >= {LIMIT_UP!r}D, false)", "_up": "coalesce(ret_1d > 0, false)"}
 
 
 def _limits(t: Clock):
@@ -185,25 +187,29 @@ def _news(t: Clock):
     }
 
 
+def _none(_: Clock):
+    return {}
+
+
 PRICE = FeatureSource("price", ("ret_1d", "ret_5d", "ret_20d", "range_pct", "gap"), (_price,))
 AVERAGES = FeatureSource("averages", ("ma5_dev", "ma20_dev", "ma60_dev", "ma_short_long"), (_averages,))
-VOLUME = FeatureSource("volume", ("vol_z20", "vol_ratio_5", "vol_ret_corr20"), (_volume,))
+VOLUME = FeatureSource("volume", ("vol_z20", "vol_ratio_5", "vol_ret_corr20"), (_volume, _volume_return))
 TECHNICAL = FeatureSource(
-    "technical", ("rsi12", "macd_hist_norm", "kdj_j", "atr14_pct"), (_technical,), prepare=_technical_inputs
+    "technical", ("rsi12", "macd_hist_norm", "kdj_j", "atr14_pct"), (_technical_inputs,), recursion=_technical
 )
 FUNDAMENTAL = FeatureSource("fundamental", ("pe_log", "pb_log", "turnover", "mv_log"), (_fundamental,))
 FLOW = FeatureSource("money_flow", ("inflow_pct", "big_ratio"), (_flow,))
 LIMITS = FeatureSource(
     "limit_up",
     ("days_since_limit", "n_limits_20d", "n_limits_60d", "max_ret_20d", "consecutive_up", "is_yi_zi"),
-    (_limit_flags, _limits),
+    (_limit_rows, _limit_flags, _limits),
 )
 SCALE = FeatureSource(
     "scale",
     ("circ_mv_log", "circ_mv_z_self60", "turnover_ma20", "turnover_self_z60", "vola_60d", "vola_ratio_20_60"),
-    (_scale,),
+    (_none, _scale),
 )
-PRICE_VOLUME = FeatureSource("price_volume", ("price_vol_match5", "inflow_5d_sum", "vol_ret_corr60"), (_price_volume,))
+PRICE_VOLUME = FeatureSource("price_volume", ("price_vol_match5", "inflow_5d_sum", "vol_ret_corr60"), (_none, _price_volume))
 NEWS = FeatureSource("news", ("news_mentioned_t", "news_mentioned_t1"), (_news,), cutoff_hour=20)
 
 MARKET_SOURCES = (PRICE, AVERAGES, VOLUME, TECHNICAL, FUNDAMENTAL, FLOW, LIMITS, SCALE, PRICE_VOLUME)
@@ -242,18 +248,23 @@ def _resolve(sources: tuple[FeatureSource, ...]) -> list[FeatureSource]:
 
 def compute_features(panel: DataFrame, sources: tuple[FeatureSource, ...] = MARKET_SOURCES) -> DataFrame:
     """All feature columns of the sources, shifted by availability. Every window shares the
-    partition by code, so the panel is shuffled once; recursive averages add one local sort."""
-    t = Clock()
-    df = panel
-    for s in _resolve(sources):
-        before = set(df.columns)
-        if s.prepare is not None:
-            df = s.prepare(df)
-        for stage in s.stages:
-            df = add(df, stage(t))
+    partition by code, so the panel is shuffled once; recursive averages add one local sort,
+    which the final shift reuses."""
+    t, used, df = Clock(), _resolve(sources), panel
+    if any(s.recursion for s in used) and "close_qfq" not in df.columns:
+        df = add(df, {f"{c}_qfq": c for c in ("high", "low", "close")})
+    for level in range(max(len(s.stages) for s in used)):
+        made: dict[str, str] = {}
+        for s in used:
+            made.update(s.stages[level](t) if level < len(s.stages) else {})
+        if made:
+            df = add(df, made)
+    for s in used:
+        df = s.recursion(df) if s.recursion else df
         missing = set(s.columns) - set(df.columns)
-        if missing or set(s.columns) & before:
-            raise ValueError(f"source {s.name} does not produce what it declares: {sorted(missing)}")
+        if missing:
+            raise ValueError(f"source {s.name} does not produce {sorted(missing)}")
+    t = block_clock(df)
     out = {
         c: f"double({t.lag(c, s.shift_rows) if s.shift_rows else c})" for s in sources for c in s.columns
     }

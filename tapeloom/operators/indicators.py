@@ -81,14 +81,14 @@ REGISTRY: dict[str, Indicator] = {
 def add_indicators(bars: DataFrame, names: list[str], shift: bool = False) -> DataFrame:
     """Add the named indicators; with ``shift`` every one of them moves one row later."""
     t = Clock()
-    df, added = bars, []
+    df, added = add(bars, {"_rn": t.rn()}), []
     for name in names:
         spec = REGISTRY[name]
         df = spec.compute(df, t)
         added += spec.outputs
     if shift:
-        df = pick(df, bars.columns, {c: t.lag(c) for c in added})
-    return df
+        return pick(df, bars.columns, {c: t.lag(c) for c in added})
+    return df.drop("_rn")
 
 
 PERIODS = ("D", "W", "M", "Y")

@@ -15,6 +15,10 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .appName("tapeloom")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # a few rows per task still carry many window expressions each
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
+        # feature plans hold many small generated classes; keep them all compiled
+        .config("spark.sql.codegen.cache.maxEntries", "1000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
