@@ -259,12 +259,10 @@ for _p, _end in {
     "Y": "make_date(year(trade_date), 12, 31)",
 }.items():
 
-    @query(f"resample_{_p.lower()}", f"""select code, cast({_end} as date) as period_end, round(min_by(open, trade_date), 6) as open,
-      round(max(high), 6) as high, round(min(low), 6) as low, round(max_by(close, trade_date), 6) as close,
-      round(sum(volume), 6) as volume from bars group by 1, 2""", "bars")
+    @query(f"resample_{_p.lower()}", f"""select code, cast({_end} as date) as period_end, min_by(open, trade_date) as open,
+      max(high) as high, min(low) as low, max_by(close, trade_date) as close, sum(volume) as volume from bars group by 1, 2""", "bars")
     def resampled(m, p=_p):
-        out = ind.resample(m.bars, p)
-        return rounded(out, ("open", "high", "low", "close", "volume"), "period_end")
+        return ind.resample(m.bars, p)
 
 
 # --- factors ------------------------------------------------------------------

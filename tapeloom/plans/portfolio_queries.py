@@ -387,9 +387,9 @@ def portfolio(m):
     return p.select("account_id", "code", "shares", r6("avg_cost", 7).alias("avg_cost"), r6("total_amount", 2).alias("total_amount"), r6("total_fee", 4).alias("total_fee"), r6("total_cost", 4).alias("total_cost"))
 
 
-@query("latest_closes", "select code, round(max_by(close, trade_date), 6) as last_price, max(trade_date) as last_date from bars group by 1", "bars")
+@query("latest_closes", "select code, max_by(close, trade_date) as last_price, max(trade_date) as last_date from bars group by 1", "bars")
 def latest_closes(m):
-    return led.latest_closes(m.bars).withColumn("last_price", r6("last_price"))
+    return led.latest_closes(m.bars)
 
 
 HOLD = f"{EXEC}, lp as (select code, max_by(close, trade_date) as last_price from bars group by 1), hp as (select pf.*, last_price, shares * coalesce(last_price, 0) as market_value, shares * coalesce(last_price, 0) - total_cost as pnl from pf left join lp using (code))"

@@ -83,12 +83,12 @@ def month_windows(m):
 
 
 @query("dense_cube", f"""with {GRID}, x as (with {PRICE} select code, trade_date, {', '.join(f'lag({c}) over w as {c}' for c in PRICE_FEATS)} from f {W})
- select g.code, g.trade_date, g.day_idx, g.close is not null as traded, round(g.close, 6) as close,
+ select g.code, g.trade_date, g.day_idx, g.close is not null as traded, g.close,
  {', '.join(f'round(coalesce(x.{c}, 0), 6) + 0.0 as {c}' for c in PRICE_FEATS)} from grid g left join x using (code, trade_date)""", "panel calendar")
 def dense_cube(m):
     feats = feat.compute_features(m.bars, (feat.PRICE,))
     cube = cal.market_cube(m.bars.select("code", "trade_date", "close"), feats, PRICE_FEATS, m.calendar)
-    return cube.select("code", "trade_date", "day_idx", "traded", F.round("close", 6).alias("close"), *[r6(c).alias(c) for c in PRICE_FEATS])
+    return cube.select("code", "trade_date", "day_idx", "traded", "close", *[r6(c).alias(c) for c in PRICE_FEATS])
 
 
 @query("sequence_windows", f"""with {RETURNS} select * from (select code, trade_date, day_idx,

@@ -16,26 +16,24 @@ from tapeloom.sources import tables as tab
 from tapeloom.sources import vendor as ven
 
 
-@query("conform_record", """select case when day(trade_date) = 15 then '' else code end as code, trade_date, round(open, 6) as open, round(high, 6) as high, round(low, 6) as low,
-  round(close, 6) as close, volume, amount, null::double as pre_close, null::double as pct_change, null::double as turnover from bars""", "bars")
+@query("conform_record", """select case when day(trade_date) = 15 then '' else code end as code, trade_date, open, high, low,
+  close, volume, amount, null::double as pre_close, null::double as pct_change, null::double as turnover from bars""", "bars")
 def conform_record(m):
     raw = m.bars.select(
         F.when(F.day("trade_date") != 15, F.col("code")).alias("code"), F.date_format("trade_date", "yyyy-MM-dd'T'00:00:00").alias("trade_date"),
         "open", "high", "low", "close", "volume", "amount", F.lit("x").alias("extra"))
-    out = conform(raw, RECORDS["raw_daily"])
-    return out.withColumns({c: r6(c) for c in ("open", "high", "low", "close")})
+    return conform(raw, RECORDS["raw_daily"])
 
 
-@query("normalize_ohlcv", """select code, trade_date, round(open, 6) as open, round(high, 6) as high, round(low, 6) as low, round(close, 6) as close, volume, amount,
+@query("normalize_ohlcv", """select code, trade_date, open, high, low, close, volume, amount,
   null::double as pre_close, null::double as pct_change, null::double as turnover, null::double as adj_factor, year(trade_date) as yr from bars""", "bars")
 def normalize(m):
-    out = normalize_ohlcv(m.bars.withColumn("yr", F.year("trade_date").cast("bigint")))
-    return out.withColumns({c: r6(c) for c in ("open", "high", "low", "close")})
+    return normalize_ohlcv(m.bars.withColumn("yr", F.year("trade_date").cast("bigint")))
 
 
-@query("load_code_range", "select trade_date, round(close, 6) as close from bars where code = 'N05' and trade_date between date '1997-01-01' and date '1999-12-27'", "bars")
+@query("load_code_range", "select trade_date, close from bars where code = 'N05' and trade_date between date '1997-01-01' and date '1999-12-27'", "bars")
 def load_code_range(m):
-    return tab.load(m.bars, "N05", "1997-01-01", "1999-12-27", ["trade_date", "close"]).withColumn("close", r6("close"))
+    return tab.load(m.bars, "N05", "1997-01-01", "1999-12-27", ["trade_date", "close"])
 
 
 @query("date_ranges", "select code, min(trade_date) as first_date, max(trade_date) as last_date, count(*) as n from bars group by 1", "bars")
@@ -120,20 +118,19 @@ def run_deleted(m):
 
 # --- vendor frames -----------------------------------------------------------
 
-@query("vendor_daily", """select code, case when day(trade_date) = 7 then null else trade_date end as trade_date, round(open, 6) as open, round(high, 6) as high, round(low, 6) as low, round(close, 6) as close,
+@query("vendor_daily", """select code, case when day(trade_date) = 7 then null else trade_date end as trade_date, open, high, low, close,
   volume, null::double as amount, null::double as pre_close, null::double as pct_change, null::double as turnover, null::double as adj_factor from bars""", "bars")
 def vendor_daily(m):
     text = F.when(F.day("trade_date") == 7, F.lit("n/a")).otherwise(F.date_format("trade_date", "yyyyMMdd"))
     raw = m.bars.select(F.col("code").alias("ts_code"), text.alias("trade_date"), "open", "high", "low", "close", F.col("volume").alias("vol"))
-    out = ven.to_house(raw, ven.SPECS["raw_daily"])
-    return out.withColumns({c: r6(c) for c in ("open", "high", "low", "close")})
+    return ven.to_house(raw, ven.SPECS["raw_daily"])
 
 
-@query("chinese_headers", "select code, trade_date, round(close, 6) as close, volume, amount from bars", "bars")
+@query("chinese_headers", "select code, trade_date, close, volume, amount from bars", "bars")
 def chinese_headers(m):
     back = {v: k for k, v in ven.CHINESE_HEADERS.items() if v != "datetime"}
     raw = m.bars.withColumn("trade_date", F.col("trade_date").cast("string")).withColumnsRenamed({c: back[c] for c in m.bars.columns if c in back})
-    return ven.from_chinese_headers(raw).select("code", "trade_date", r6("close").alias("close"), "volume", "amount")
+    return ven.from_chinese_headers(raw).select("code", "trade_date", "close", "volume", "amount")
 
 
 @query("market_suffix", """select p_partkey, case when t like '6%' then concat(t, '.SH') when t like '0%' or t like '3%' then concat(t, '.SZ') when t like '4%' or t like '8%' then concat(t, '.BJ') else t end as code, t as ticker
