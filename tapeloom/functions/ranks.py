@@ -40,7 +40,7 @@ def running_totals(
     ).drop("_bucket", *[f"_o_{n}" for n in sums])
 
 
-def score_bucket(scored: DataFrame, score: str, pieces: int = 64) -> Column:
+def score_bucket(scored: DataFrame, score: str, pieces: int = 128) -> Column:
     """Index of the quantile range a score falls in. The cut points are one small array from
     a scalar subquery, so the plan stays lazy and the driver sees nothing."""
     probs = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])

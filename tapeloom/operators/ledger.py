@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,7 +72,8 @@ def execute_due_plans(plans: DataFrame, prices: DataFrame, balance: DataFrame, a
     date and plan id; an unaffordable plan is skipped and later cheaper ones may still run.
 
     Accounts that can pay for everything, decided by one aggregate, need no ordering. Only
-    accounts that run short are walked plan by plan; they arrive as sorted batches.
+    accounts that run short are walked plan by plan: their rows stream through in sorted
+    batches and only the remaining money is carried along, so no account is held in memory.
     """
     due = due_plans(plans, as_of).join(prices.select("code", "last_price"), "code").where("last_price > 0")
     cost = F.col("amount_per_run") * (1 + fee_rate)
@@ -80,7 +83,8 @@ def execute_due_plans(plans: DataFrame, prices: DataFrame, balance: DataFrame, a
     funded = due.join(funds, "account_id")
     rich = funded.where(F.col("balance") + EPS >= F.col("need")).select("plan_id", F.lit(True).alias("accepted"))
     short = funded.where(F.col("balance") + EPS < F.col("need")).select("account_id", "next_run_date", "plan_id", "total_cost", "balance")
-    walked = short.groupBy("account_id").applyInPandas(_walk, "plan_id string, accepted boolean")
+    ordered = short.repartition("account_id").sortWithinPartitions("account_id", "next_run_date", "plan_id")
+    walked = ordered.mapInPandas(_walk, "plan_id string, accepted boolean")
     df = due.join(rich.unionByName(walked), "plan_id")
     nxt = next_run_date(F.lit(as_of).cast("date"), F.col("frequency"))
     ok = F.col("accepted")
@@ -92,14 +96,17 @@ def execute_due_plans(plans: DataFrame, prices: DataFrame, balance: DataFrame, a
         F.when(ok & over, "STOPPED").otherwise(F.col("status")).alias("status"))
 
 
-def _walk(batch: pd.DataFrame) -> pd.DataFrame:
-    batch = batch.sort_values(["next_run_date", "plan_id"])
-    left, taken = float(batch["balance"].iloc[0]), []
-    for cost in batch["total_cost"]:
-        ok = left + EPS >= cost
-        left -= cost if ok else 0.0
-        taken.append(ok)
-    return pd.DataFrame({"plan_id": batch["plan_id"], "accepted": taken})
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    account, left = None, 0.0
+    for batch in batches:
+        taken = []
+        for who, cost, money in zip(batch["account_id"], batch["total_cost"], batch["balance"]):
+            if who != account:
+                account, left = who, money
+            ok = left + EPS >= cost
+            left -= cost if ok else 0.0
+            taken.append(ok)
+        yield pd.DataFrame({"plan_id": batch["plan_id"], "accepted": taken})
 
 
 # States a plan may move between.
