@@ -17,17 +17,20 @@ def connect(folder: str):
     return con
 
 
+PLACES = int(os.environ.get("ORACLE_PLACES", "6"))
+
+
 def _cell(v):
     if v is None:
         return ""
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else repr(round(v, 6) + 0.0)
+        return "nan" if math.isnan(v) else repr(round(v, PLACES) + 0.0)
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     if type(v).__name__ == "Decimal":
-        return repr(round(float(v), 6) + 0.0)
+        return repr(round(float(v), PLACES) + 0.0)
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(_cell(x) for x in v) + "]"
     return str(v)
