@@ -40,7 +40,7 @@ def lag_correlation(returns: DataFrame, lag: int) -> DataFrame:
 def top_followers(corr: DataFrame, k: int = 5) -> DataFrame:
     w = Window.partitionBy("leader").orderBy(F.col("corr").desc_nulls_last(), "follower")
     others = corr.where((F.col("leader") != F.col("follower")) & F.col("corr").isNotNull())
-    return others.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return others.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
 def contagion_lift(returns: DataFrame, n_days: DataFrame, threshold: float = 0.02, lag: int = 3) -> DataFrame:
@@ -83,7 +83,7 @@ def relay_targets(grid: DataFrame, followers: DataFrame, lookback: int = 5, peri
     by_ret = Window.partitionBy("day_idx").orderBy(F.col("ret").desc(), "code")
     up = Window.partitionBy("day_idx").orderBy("ret", "code")
     n = F.count(F.lit(1)).over(Window.partitionBy("day_idx"))
-    ranked = days.select("*", F.row_number().over(by_ret).alias("rank"), (F.row_number().over(up) - 1).alias("asc"), n.alias("n"))
+    ranked = days.select("*", F.row_number().over(by_ret).cast("bigint").alias("rank"), (F.row_number().over(up) - 1).alias("asc"), n.alias("n"))
     medians = ranked.where(F.col("asc") == F.floor(F.col("n") / 2)).select("day_idx", F.col("ret").alias("median"))
     leaders = ranked.where(F.col("rank") <= n_leaders).select("trade_date", "day_idx", "code", F.col("rank").alias("leader_rank"))
     cand = leaders.join(followers.select(F.col("leader").alias("code"), F.col("follower"), F.col("rank").alias("pos")), "code")
@@ -93,6 +93,6 @@ def relay_targets(grid: DataFrame, followers: DataFrame, lookback: int = 5, peri
     cold = F.coalesce("ret", F.lit(0.0)) < F.col("median")
     g = Window.partitionBy("day_idx")
     cand = cand.withColumn("cold", cold).withColumn("any_cold", F.max("cold").over(g)).where("cold or not any_cold")
-    picks = cand.withColumn("rank", F.row_number().over(g.orderBy("ord"))).where(F.col("rank") <= n_hold).select("trade_date", "day_idx", "code", "rank")
+    picks = cand.withColumn("rank", F.row_number().over(g.orderBy("ord")).cast("bigint")).where(F.col("rank") <= n_hold).select("trade_date", "day_idx", "code", "rank")
     bare = leaders.join(cand.select("day_idx").distinct(), "day_idx", "left_anti").where(F.col("leader_rank") <= n_hold)
     return picks.unionByName(bare.select("trade_date", "day_idx", "code", F.col("leader_rank").alias("rank")))

@@ -52,7 +52,7 @@ def weight_targets(signals: DataFrame, calendar: DataFrame, k: int = 10, period:
     """On every ``period``-th bar (from bar ``period`` on) the k largest weights, rescaled to 1."""
     df = with_day_idx(signals, calendar).where((F.col("day_idx") % period == 0) & (F.col("day_idx") + 1 >= period))
     w = Window.partitionBy("trade_date").orderBy(F.col("weight").desc(), "token_id")
-    top = df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top = df.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
     share = F.try_divide(F.col("weight"), F.sum("weight").over(Window.partitionBy("trade_date")))
     return top.select("trade_date", "day_idx", "token_id", "rank", share.alias("target"))
 
@@ -119,9 +119,9 @@ def hit_picks(
     df = df.where(F.col("day_idx") < last - 1).withColumn("ok", F.coalesce(ok, F.lit(False)))
     pool = df.where("ok") if peek else df
     w = Window.partitionBy("day_idx").orderBy(F.col("score").desc(), "code")
-    top = pool.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top = pool.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
     total = float(sum(sub_weights[:k]))
-    share = F.element_at(F.array(*[F.lit(x / total) for x in sub_weights[:k]]), F.col("rank"))
+    share = F.element_at(F.array(*[F.lit(x / total) for x in sub_weights[:k]]), F.col("rank").cast("int"))
     ret = F.when(F.col("ok"), F.try_divide(F.col("sell"), F.col("buy")) - 1).otherwise(0.0)
     per = top.select("trade_date", "day_idx", ret.alias("ret"), share.alias("share")).groupBy("trade_date", "day_idx").agg(
         (F.sum(F.col("ret") * F.col("share")) - cost).alias("r"), F.count_if(F.col("ret") >= hit).alias("hits"),

@@ -105,7 +105,7 @@ def score_candidates(
 
 def top_k(scored: DataFrame, k: int, group: list[str], score: str = "score", tie: str = "code") -> DataFrame:
     w = Window.partitionBy(*group).orderBy(F.col(score).desc(), F.col(tie))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
 def per_industry_top_k(
