@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeloom.llm.common import documents
+from tapeloom.llm.mixing import mix_sources
+from tapeloom.llm.oracle import MIXING_SQL, url_trust_sql
 from tapeloom.llm.token_counts import count_tokens
+from tapeloom.llm.url_trust import UrlRule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +30,27 @@ def tokenizer(name: str) -> str:
 @query
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(documents(spark, folder), tokenizer("byte_bpe_50k.json"), limit=512)
+
+
+@query
+def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(documents(spark, folder)).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+ORACLES["op5_source_mixing"] = MIXING_SQL
+
+URL_RULES = [
+    UrlRule("allow", "com", "/"),
+    UrlRule("block", "example.com", "/en/"),
+    UrlRule("allow", "www.example.com", "/en/"),
+    UrlRule("block", "net", "/es/"),
+    UrlRule("block", "net", "/fr/"),
+]
+
+
+@query
+def op10_url_trust(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{folder}/pages.parquet"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op10_url_trust"] = url_trust_sql(URL_RULES)
