@@ -60,3 +60,34 @@ select page_id, r.host, path, rule,
   coalesce(by_rule, case when coalesce(d.rank, 0) - coalesce(t.rank, 0) >= {threshold} then 'block' else 'allow' end) as verdict
 from ruled r left join trust_{steps} t on r.host = t.host left join distrust_{steps} d on r.host = d.host
 """
+
+
+QUALITY_SQL = r"""
+with docs as (
+  select row_number() over () as k, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from documents
+), windows as (
+  select k, p, array_to_string(words[p:p + 7], ' ') as w from (select k, words, unnest(range(1, len(words) - 6)) as p from docs)
+), twice as (
+  select k, p from windows qualify count(*) over (partition by k, w) > 1
+), covered as (
+  select k, count(distinct q) as n_repeat_words from (select k, unnest(range(p, p + 8)) as q from twice) group by k
+), counted as (
+  select doc_id, len(words)::bigint as n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::bigint as word_chars,
+    (length(text) - length(translate(text, '#*$%&|<>', '')))::bigint as n_symbols,
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+    len(lines) as n_lines, length(text) - length(translate(text, '!?', '')) as n_shouts,
+    len(list_filter(words, lambda w: strlen(w) > 1 and regexp_matches(w, '[A-Z]') and not regexp_matches(w, '[a-z]'))) as n_capitals,
+    len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) as n_stutters,
+    len(list_filter(words, lambda w: regexp_matches(w, '[A-Za-z\x{80}-\x{10FFFF}]'))) as n_lettered
+  from docs left join covered using (k)
+), based as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from counted
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not (
+    100 * n_symbols > 10 * n_words or 100 * n_dup_lines > 50 * n_lines or word_chars < 2 * n_words or word_chars > 14 * n_words
+    or 100 * n_shouts > 30 * n_words or 100 * n_stutters > 30 * n_words or 100 * n_capitals > 50 * n_words or 100 * n_lettered < 60 * n_words) as kept
+from based
+"""

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapeloom.llm.common import documents
 from tapeloom.llm.mixing import mix_sources
-from tapeloom.llm.oracle import MIXING_SQL, url_trust_sql
+from tapeloom.llm.oracle import MIXING_SQL, QUALITY_SQL, url_trust_sql
+from tapeloom.llm.quality_rules import judge_quality
 from tapeloom.llm.token_counts import count_tokens
 from tapeloom.llm.url_trust import UrlRule, judge_urls
 
@@ -54,3 +55,11 @@ def op10_url_trust(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op10_url_trust"] = url_trust_sql(URL_RULES)
+
+
+@query
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_quality(documents(spark, folder))
+
+
+ORACLES["op7_quality_rules"] = QUALITY_SQL
