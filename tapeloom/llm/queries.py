@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeloom.llm.common import documents
+from tapeloom.llm.common import documents, fold
+from tapeloom.llm.language_id import languages
 from tapeloom.llm.mixing import mix_sources
 from tapeloom.llm.oracle import MIXING_SQL, QUALITY_SQL, url_trust_sql
 from tapeloom.llm.quality_rules import judge_quality
@@ -63,3 +65,8 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op7_quality_rules"] = QUALITY_SQL
+
+
+@query
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return languages(documents(spark, folder), fold(F.col("doc_id"), 3, 1))
