@@ -11,6 +11,7 @@ from tapeloom.llm.common import documents, fold
 from tapeloom.llm.language_id import languages
 from tapeloom.llm.mixing import mix_sources
 from tapeloom.llm.oracle import MIXING_SQL, QUALITY_SQL, url_trust_sql
+from tapeloom.llm.packing import pack_documents
 from tapeloom.llm.quality_rules import judge_quality
 from tapeloom.llm.token_counts import count_tokens
 from tapeloom.llm.url_trust import UrlRule, judge_urls
@@ -70,3 +71,8 @@ ORACLES["op7_quality_rules"] = QUALITY_SQL
 @query
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return languages(documents(spark, folder), fold(F.col("doc_id"), 3, 1))
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(documents(spark, folder), tokenizer("word_bpe_49k.json"), capacity=2048, end=0)
