@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import documents, fold
+from tapeloom.llm.fingerprints import fingerprint_documents
 from tapeloom.llm.language_id import languages
 from tapeloom.llm.mixing import mix_sources
 from tapeloom.llm.oracle import MIXING_SQL, QUALITY_SQL, url_trust_sql
@@ -76,3 +77,8 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder), tokenizer("word_bpe_49k.json"), capacity=2048, end=0)
+
+
+@query
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint_documents(documents(spark, folder))
