@@ -114,9 +114,14 @@ def digests(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
         lowest = np.minimum(lowest[:-step], lowest[step:])
         step *= 2
     winners = lowest[_begins(real, WINDOW + REACH - 1)]
-    at = np.flatnonzero(np.bincount(winners & ((1 << 40) - 1)) >= POPULAR)
+    popular = np.bincount(winners & ((1 << 40) - 1))
+    at = np.flatnonzero(popular)
     sizes = np.fromiter(map(len, real), np.int64, len(real))
     owner = np.searchsorted(np.cumsum(sizes), at, side="right")
+    plain = np.ones(len(real), bool)  # where nothing stands out (periodic texts) all winners count
+    plain[owner[popular[at] >= POPULAR]] = False
+    kept = (popular[at] >= POPULAR) | plain[owner]
+    at, owner = at[kept], owner[kept]
     words = np.ascontiguousarray(data[at[:, None] + np.arange(WINDOW)]).view("<u8")
     h = np.zeros(len(at), np.uint64)
     for k in range(WINDOW // 8):

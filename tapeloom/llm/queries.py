@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import documents, fold
 from tapeloom.llm.fingerprints import fingerprint_documents
 from tapeloom.llm.language_id import languages
+from tapeloom.llm.lm_scoring import score_documents
 from tapeloom.llm.mixing import mix_sources
 from tapeloom.llm.oracle import MIXING_SQL, QUALITY_SQL, url_trust_sql
 from tapeloom.llm.packing import pack_documents
@@ -82,3 +83,8 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_documents(documents(spark, folder))
+
+
+@query
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(documents(spark, folder), fold(F.col("doc_id"), 7, 2))
