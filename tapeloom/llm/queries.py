@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.common import documents, fold
 from tapeloom.llm.fingerprints import fingerprint_documents
+from tapeloom.llm.jaccard_join import jaccard_join
 from tapeloom.llm.language_id import languages
 from tapeloom.llm.lm_scoring import score_documents
 from tapeloom.llm.mixing import mix_sources
@@ -88,3 +89,8 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(documents(spark, folder), fold(F.col("doc_id"), 7, 2))
+
+
+@query
+def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join(documents(spark, folder), width=4, percent=85)
