@@ -7,14 +7,18 @@ product.
    is the order of their hashes. The order decides work, never results.
 2. *Prefixes.* Sets whose similarity reaches the threshold share an n-gram among the first
    ``n - ceil(threshold * n) + 1`` of each, so only these columns are multiplied. A second scan
-   emits them; columns with a single class are dropped, and so are columns whose classes all meet
-   in one larger column.
-3. *Blocks.* The classes of a column, with their whole sets, form blocks of bounded weight, cut by
-   size band first (sets whose sizes differ by more than the threshold cannot link), so a column that
-   many classes share spreads over many tasks. Within a block the overlap counts accumulate over
-   slices of n-grams, and rows leave as soon as no pair of theirs can still reach
+   emits them; columns with a single class are dropped, and of columns with equal classes all but
+   one. The classes of a column are cut by size band first (sets whose sizes differ by more than
+   the threshold cannot link) and then into parts of bounded weight, so a column that many classes
+   share spreads over many tasks, one per pair of parts.
+3. *Bounds.* Each class carries a parity bitmap of its set (n / 2 to n bits). Sets differ in at least
+   as many n-grams as their bitmaps in bits, so a pair whose bitmaps differ more than
+   ``n_a + n_b - 2 * least overlap`` is discarded without a look at its sets; a class stays in a
+   column only if a pair of its does.
+4. *Blocks.* What stays is multiplied with whole sets: overlap counts accumulate over slices of
+   n-grams, and rows leave as soon as no pair of theirs can still reach the least overlap,
    ``threshold / (1 + threshold) * (n_a + n_b)``. What remains is compared in exact integers.
-4. *Components.* A block emits a spanning star per group and each class's number of links, not
+5. *Components.* A block emits a spanning star per group and each class's number of links, not
    its pairs; links that several columns show are counted in the first. Components come from
    large-star and small-star steps over the stars' edges.
 """
@@ -36,7 +40,7 @@ from tapeloom.llm.common import byte_texts, staged, text_slices
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 CACHE_WORDS = 400_000
 #: n-grams that a task sees once are told with this chance, and then count as that many.
-THINNED = 16
+THINNED = 4
 
 
 class WordHashes(dict):
@@ -70,6 +74,15 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     return np.unique(h)
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set in 64-bit words: per bit, whether an odd number of n-grams fall on it."""
+    words = 1
+    while 128 * words < len(found):
+        words *= 2
+    at = (found % np.uint64(64 * words)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * words) & 1).astype(np.uint8), bitorder="little").view("<u8")
+
+
 def digest(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
@@ -99,28 +112,29 @@ _HOT = np.dtype([("gram", np.uint64), ("heat", np.int64)])
 
 
 def first_scan(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Rows (hot=false, doc_id, key=class, n=set size) per document and rows (hot=true, key=n-gram,
+    """Rows (hot=false, doc_id, key=class, n=set size, bits=parity bitmap) per document and rows (hot=true, key=n-gram,
     n=estimated count among prefixes) for n-grams that may be frequent."""
     none = np.zeros(0, _HOT)
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, grams, held = set(), [], []
 
-        def told(keys, n, ids, hot):
-            return pa.RecordBatch.from_arrays([pa.array([hot] * len(keys)), ids if ids is not None else pa.nulls(len(keys), kind), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["hot", "doc_id", "key", "n"])
+        def told(keys, n, ids, bits):
+            return pa.RecordBatch.from_arrays([pa.array([bits is None] * len(keys)), ids, pa.array(keys, pa.int64()), pa.array(n, pa.int64()), bits or pa.nulls(len(keys), pa.binary())], ["hot", "doc_id", "key", "n", "bits"])
 
         kind = None
         for batch in text_slices(batches):
             kind = batch.column("doc_id").type
-            keys, sizes = [], []
+            keys, sizes, bits = [], [], []
             for text in byte_texts(batch):
                 found = shingles(text, width)
                 keys.append(digest(found))
                 sizes.append(len(found))
+                bits.append(parity(found).tobytes())
                 if keys[-1] not in seen:
                     seen.add(keys[-1])
                     held.append(prefix(found, percent, none))
-            yield told(keys, sizes, batch.column("doc_id"), False)
+            yield told(keys, sizes, batch.column("doc_id"), pa.array(bits, pa.binary()))
             if sum(map(len, held)) > 2_000_000:
                 grams.append(_counted(held))
                 held = []
@@ -130,13 +144,13 @@ def first_scan(docs: DataFrame, width: int, percent: int) -> DataFrame:
             u, at = np.unique(u, return_inverse=True)
             n = np.bincount(at, np.concatenate([g[1] for g in grams]), len(u)).astype(np.int64)
             salt = np.uint64(xxhash.xxh3_64_intdigest(str(sorted(seen)[:1])))
-            once = ((u ^ salt) * _MIX[1]) >> np.uint64(60) == 0
+            once = ((u ^ salt) * _MIX[1]) >> np.uint64(62) == 0
             keep = (n > 1) | once
             u, n = u[keep], np.where(n > 1, n, THINNED)[keep]
-            yield told(u.view(np.int64), n, None, True)
+            yield told(u.view(np.int64), n, pa.nulls(len(u), kind), None)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scanned, f"hot boolean, doc_id {kind}, key long, n long")
+    return docs.select("doc_id", "text").mapInArrow(scanned, f"hot boolean, doc_id {kind}, key long, n long, bits binary")
 
 
 def _counted(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,16 +180,111 @@ def prefix_entries(docs: DataFrame, width: int, percent: int, hot) -> DataFrame:
 
 
 def open_columns(entries: DataFrame) -> DataFrame:
-    """The entries (gram, class, n) of columns that must be multiplied: two classes at least, one
-    column of those with equal classes, none whose classes all have the same larger column."""
-    mark = F.xxhash64("class")
-    columns = entries.groupBy("gram").agg(F.count("*").alias("d"), F.sum(mark.bitwiseAND((1 << 40) - 1)).alias("classes"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi")
-    columns = staged(columns.groupBy("d", "classes", "lo", "hi").agg(F.min("gram").alias("gram")).select("gram", "d"), "columns")
-    kept = staged(entries.join(columns, "gram").distinct(), "entries")
-    widest = kept.groupBy("class").agg(F.max(F.struct("d", "gram")).alias("widest"))
-    shared = kept.join(widest, "class").groupBy("gram").agg(F.min("widest").alias("lo"), F.max("widest").alias("hi"))
+    """The entries (gram, class, n) of columns with two classes at least; of columns with equal classes
+    one. An entry may come more than once."""
+    mark = F.xxhash64("class").bitwiseAND((1 << 40) - 1)
+    columns = entries.groupBy("gram").agg(F.count("*").alias("d"), F.sum(mark).alias("classes"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi")
+    columns = columns.groupBy("d", "classes", "lo", "hi").agg(F.min("gram").alias("gram")).select("gram")
+    return staged(entries.join(columns, "gram"), "open")
+
+
+def seats(opened: DataFrame, percent: int, weight: int) -> DataFrame:
+    """(seat, gram, side, class, n): every class of a column in the seats that let it meet all others it
+    may link with. A seat is a pair of parts of at most ``weight`` n-grams or so, of one size band (side 2
+    where a part meets itself, else 0 and 1) or of two adjacent ones."""
+    banded = opened.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("long"))
+    load = banded.groupBy("gram", "band").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / weight)).cast("int").alias("k"))
+    near = load.select("gram", F.col("band").alias("at"), F.col("k").alias("parts"))
+    own = F.pmod(F.xxhash64("class", "gram"), F.col("k")).cast("int")
+    home = banded.join(load, ["gram", "band"]).select("gram", "class", "n", "band", own.alias("own"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("at"))
+    met = home.join(near, ["gram", "at"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    lower = (F.col("band") < F.col("at")) | ((F.col("band") == F.col("at")) & (F.col("own") <= F.col("other")))
+    same = (F.col("band") == F.col("at")) & (F.col("own") == F.col("other"))
+    first, second = F.struct("band", F.col("own").cast("long")), F.struct("at", F.col("other").cast("long"))
+    return met.select(
+        F.when(lower, F.xxhash64("gram", first, second)).otherwise(F.xxhash64("gram", second, first)).alias("seat"), "gram",
+        F.when(same, 2).when(lower, 0).otherwise(1).alias("side"), "class", "n",
+    )
+
+
+def _pairs(sizes: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of positions inside each of the consecutive runs of these sizes, in portions."""
+    starts = np.cumsum(sizes) - sizes
+    for d in np.unique(sizes[sizes > 1]):
+        runs = starts[sizes == d]
+        i, j = np.triu_indices(int(d), 1)
+        step = max(1, limit // len(i))
+        for at in range(0, len(runs), step):
+            part = runs[at : at + step, None]
+            yield (part + i).ravel(), (part + j).ravel()
+
+
+def bounded_seats(placed: DataFrame, percent: int) -> DataFrame:
+    """The rows of (seat, gram, side, class, n, bits) that have a pair within the bitmaps' bound."""
+
+    def kept(seat, side, key, n, bits) -> np.ndarray:
+        words = np.fromiter(map(len, bits), np.int64, len(bits)) // 8
+        own: dict[int, np.ndarray] = {}
+        slot = np.zeros(len(bits), np.int64)
+        for w in np.unique(words):
+            at = np.flatnonzero(words == w)
+            slot[at] = np.arange(len(at))
+            own[w] = np.frombuffer(b"".join(bits[k] for k in at), "<u8").reshape(len(at), w)
+        cuts = np.flatnonzero(np.concatenate([[True], seat[1:] != seat[:-1], [True]]))
+        stays = np.zeros(len(bits), bool)
+        for i, j in _pairs(np.diff(cuts)):
+            fits = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (key[i] != key[j]) & ((side[i] == 2) | (side[i] != side[j]))
+            i, j = i[fits], j[fits]
+            swap = words[i] < words[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)  # i has the longer bitmap
+            total = n[i] + n[j]
+            most = total - 2 * -(-percent * total // (100 + percent))
+            for w in np.unique(words[j]):
+                for v in (w, 2 * w):
+                    at = np.flatnonzero((words[j] == w) & (words[i] == v))
+                    for k in range(0, len(at), max(1, 4_000_000 // v)):
+                        p = at[k : k + max(1, 4_000_000 // v)]
+                        a = own[v][slot[i[p]]]
+                        a = a if v == w else a[:, :w] ^ a[:, w:]
+                        good = p[np.bitwise_count(a ^ own[w][slot[j[p]]]).sum(1, dtype=np.int64) <= most[p]]
+                        stays[i[good]] = True
+                        stays[j[good]] = True
+        return stays
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # rows of the last seat, which may go on
+        for batch in _with_end(batches):
+            rows = pa.Table.from_batches([b for b in (rest, batch) if b is not None]).combine_chunks().to_batches() if rest is not None or batch is not None else []
+            if not rows:
+                continue
+            rows = rows[0]
+            seat = rows.column("seat").to_numpy()
+            end = len(seat) if batch is None else int(np.searchsorted(seat, seat[-1]))
+            done, rest = rows.slice(0, end), rows.slice(end)
+            if end:
+                col = lambda c: done.column(c).to_numpy()
+                stays = kept(col("seat"), col("side"), col("class"), col("n"), done.column("bits").to_pylist())
+                yield done.filter(pa.array(stays)).select(["seat", "gram", "side", "class", "n"])
+
+    ordered = placed.repartition("seat").sortWithinPartitions("seat")
+    return ordered.mapInArrow(bounded, "seat long, gram long, side int, class long, n long").distinct()
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    for batch in batches:
+        if batch.num_rows:
+            yield batch
+    yield None
+
+
+def needed_columns(kept: DataFrame) -> DataFrame:
+    """``kept`` (seat, gram, ..) without columns whose classes all have the same larger column."""
+    pairs = kept.select("gram", "class").distinct()
+    pairs = pairs.join(pairs.groupBy("gram").agg(F.count("*").alias("d")), "gram")
+    widest = pairs.groupBy("class").agg(F.max(F.struct("d", "gram")).alias("widest"))
+    shared = pairs.join(widest, "class").groupBy("gram").agg(F.min("widest").alias("lo"), F.max("widest").alias("hi"))
     needed = shared.filter((F.col("lo") != F.col("hi")) | (F.col("lo.gram") == F.col("gram"))).select("gram")
-    return staged(kept.join(needed, "gram").select("gram", "class", "n"), "open")
+    return kept.join(needed, "gram")
 
 
 def block_links(sets: list[np.ndarray], percent: int, slice_grams: int = 4096) -> tuple[np.ndarray, np.ndarray]:
@@ -219,42 +328,23 @@ def block_links(sets: list[np.ndarray], percent: int, slice_grams: int = 4096) -
     return live[i], live[j]
 
 
-def link_classes(opened: DataFrame, sets: DataFrame, percent: int, weight: int) -> DataFrame:
-    """(class, other, links): per block a star's edges (other is null in rows that only carry a count)
-    and each class's links to documents, ``sets`` being (class, copies, grams)."""
-    band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("long")
-    banded = opened.withColumn("band", band)
-    load = banded.groupBy("gram", "band").agg(F.sum("n").alias("load"))
-    home = banded.join(load.select("gram", "band", F.greatest(F.lit(1), F.ceil(F.col("load") / weight)).cast("int").alias("k")), ["gram", "band"])
-    up = load.select("gram", (F.col("band") - 1).alias("band"), F.greatest(F.lit(1), F.ceil(F.col("load") / weight)).cast("int").alias("k_up"))
-    down = load.select("gram", (F.col("band") + 1).alias("band"), F.greatest(F.lit(1), F.ceil(F.col("load") / weight)).cast("int").alias("k_down"))
-    home = home.join(up, ["gram", "band"], "left").join(down, ["gram", "band"], "left").withColumn("own", F.pmod(F.xxhash64("class", "gram"), F.col("k")))
-    part = lambda a, i, b, j: F.struct(a.alias("band_a"), i.cast("int").alias("part_a"), b.alias("band_b"), j.cast("int").alias("part_b"))
-    b, own = F.col("band"), F.col("own")
-    seq = lambda k: F.sequence(F.lit(0), k - 1)
-    blocks = F.concat(
-        F.transform(seq(F.col("k")), lambda j: part(b, F.least(own, j), b, F.greatest(own, j))),
-        F.when(F.col("k_up").isNotNull(), F.transform(seq(F.col("k_up")), lambda j: part(b, own, b + 1, j))).otherwise(F.array()),
-        F.when(F.col("k_down").isNotNull(), F.transform(seq(F.col("k_down")), lambda j: part(b - 1, j, b, own))).otherwise(F.array()),
-    )
-    seats = home.select("gram", "class", "band", "own", F.explode(blocks).alias("block"))
-    columns = opened.groupBy("class").agg(F.sort_array(F.collect_set("gram")).alias("columns"))  # at most a set's prefix
-    rows = seats.join(sets.join(columns, "class"), "class").select("gram", "block", "class", "band", "own", "copies", "columns", "grams")
+def link_classes(kept: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(class, other, links): per seat a star's edges (other is the class itself in rows that only carry a
+    count) and each class's links to documents, ``sets`` being (class, copies, grams)."""
+    columns = kept.groupBy("class").agg(F.collect_set("gram").alias("columns"))  # at most a set's prefix
+    rows = kept.join(sets.join(columns, "class"), "class").select("seat", "gram", "side", "class", "copies", "columns", "grams")
 
     def multiply(key, frame: pd.DataFrame) -> pd.DataFrame:
-        gram, block = key
-        frame = frame.drop_duplicates("class").sort_values("class", kind="stable")
-        classes, copies = frame["class"].to_numpy(), frame["copies"].to_numpy()
+        frame = frame.sort_values("class", kind="stable")
+        classes, copies, side, gram = frame["class"].to_numpy(), frame["copies"].to_numpy(), frame["side"].to_numpy(), frame["gram"].iloc[0]
         i, j = block_links([np.frombuffer(g, np.uint64) for g in frame["grams"]], percent)
-        # a pair is the business of one block of one column: the first column that both have
-        side = (frame["band"].to_numpy() != block["band_a"]) | (frame["own"].to_numpy() != block["part_a"])
-        one = (block["band_a"], block["part_a"]) == (block["band_b"], block["part_b"])
-        mine = np.ones(len(i), bool) if one else side[i] != side[j]
-        held = [set(c) for c in frame["columns"]] if mine.any() else []
+        # a pair is counted in one seat of one column: the first column that both are in
+        mine = (side[i] == 2) | (side[i] != side[j])
+        held = [set(c) for c in frame["columns"]]
         mine &= np.fromiter((m and min(held[a] & held[b]) == gram for m, a, b in zip(mine, i, j)), bool, len(i))
         links = np.bincount(i[mine], copies[j[mine]], len(classes)) + np.bincount(j[mine], copies[i[mine]], len(classes))
         root = np.arange(len(classes))
-        while True:  # smallest row of each group
+        while len(i):  # smallest row of each group
             before = root.copy()
             np.minimum.at(root, i, root[j])
             np.minimum.at(root, j, root[i])
@@ -264,7 +354,7 @@ def link_classes(opened: DataFrame, sets: DataFrame, percent: int, weight: int)
         told = np.flatnonzero((root != np.arange(len(root))) | (links > 0))
         return pd.DataFrame({"class": classes[told], "other": classes[root[told]], "links": links[told].astype(np.int64)})
 
-    return rows.groupBy("gram", "block").applyInPandas(multiply, "class long, other long, links long")
+    return rows.groupBy("seat").applyInPandas(multiply, "class long, other long, links long")
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -291,7 +381,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, hot: int = 1 << 18, heat: int = 64, weight: int = 1_000_000) -> DataFrame:
+def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, hot: int = 1 << 20, heat: int = 8, weight: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every row of ``docs`` (doc_id, text).
 
     Two documents link when 100 * common n-grams >= ``percent`` * union of n-grams (``width`` words);
@@ -309,11 +399,13 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, hot: int =
     late = spark.sparkContext.broadcast(np.sort(table, order="gram"))
 
     marked = scan.filter("not hot").select("doc_id", F.col("key").alias("class"), F.col("n").alias("n_shingles"))
+    bits = scan.filter("not hot and n > 0").groupBy(F.col("key").alias("class")).agg(F.first("bits").alias("bits"))
     opened = open_columns(prefix_entries(docs, width, percent, late))
-    active = opened.select("class").distinct()
-    firsts = marked.join(active, "class").groupBy("class").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
+    placed = seats(opened, percent, weight).join(bits, "class").select("seat", "gram", "side", "class", "n", "bits")
+    kept = staged(needed_columns(staged(bounded_seats(placed, percent), "bounded")), "kept")
+    firsts = marked.join(kept.select("class").distinct(), "class").groupBy("class").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
     sets = class_sets(docs, firsts, width)
-    found = staged(link_classes(opened, sets, percent, weight), "links")
+    found = staged(link_classes(kept, sets, percent), "links")
 
     roots = components(found.select(F.col("class").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
