@@ -15,6 +15,7 @@ from tapeloom.llm.lm_scoring import score_documents
 from tapeloom.llm.mixing import mix_sources
 from tapeloom.llm.oracle import MIXING_SQL, QUALITY_SQL, url_trust_sql
 from tapeloom.llm.packing import pack_documents
+from tapeloom.llm.quality_classifier import score_quality
 from tapeloom.llm.quality_rules import judge_quality
 from tapeloom.llm.token_counts import count_tokens
 from tapeloom.llm.url_trust import UrlRule, judge_urls
@@ -94,3 +95,9 @@ def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join(documents(spark, folder), width=4, percent=85)
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return score_quality(documents(spark, folder), labels, fold(F.col("doc_id"), 4, 2), threshold=0.7)
