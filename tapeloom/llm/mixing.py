@@ -56,7 +56,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS,
     before, onward, whole = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing), W.partitionBy(F.lit(0))
     level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(onward)
     held = capped.withColumn("level", level).withColumn("held", F.col("ratio") <= F.col("level"))
-    share = F.min(F.when(~F.col("held"), F.col("level"))).over(whole)
+    share = F.max(F.when(~F.col("held"), F.col("level"))).over(whole)  # the first that is not held: levels fall after it
     return held.select("source", "source_size", F.when(F.col("held"), F.col("cap")).otherwise(share * F.col("w")).alias("target"))
 
 

@@ -18,7 +18,7 @@ with docs as (
       / sum(w) over (order by cap / w, rank rows between current row and unbounded following) as level
   from capped
 ), targets as (
-  select source, source_size, case when ratio <= level then cap else (select min(level) from levels where ratio > level) * w end as target from levels
+  select source, source_size, case when ratio <= level then cap else (select max(level) from levels where ratio > level) * w end as target from levels
 ), ordered as (
   select d.doc_id, d.source, d.size, t.source_size, t.target,
     case when t.source_size > 0 then floor(t.target / t.source_size) else 0 end::bigint as epochs,
