@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_pipeline import ORACLE_SQL, run
 from tapeloom.llm.common import documents, fold
 from tapeloom.llm.fingerprints import fingerprint_documents
 from tapeloom.llm.jaccard_join import jaccard_join
@@ -101,3 +102,8 @@ def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     return score_quality(documents(spark, folder), labels, fold(F.col("doc_id"), 4, 2), threshold=0.7)
+
+
+QUERIES["pipeline"] = run
+if ORACLE_SQL:
+    ORACLES["pipeline"] = ORACLE_SQL
