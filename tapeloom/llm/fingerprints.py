@@ -177,7 +177,7 @@ def in_chunks(docs: DataFrame, chunk_rows: int = 1_000, intervals: int = 256) ->
     low, high = F.element_at(lows, at), F.element_at(highs, at)
     inside = F.least(F.floor((F.col("doc_id") - low) / F.greatest(high - low, F.lit(1)) * each), F.lit(each - 1))
     last = len(cuts) * each
-    rows = rows.withColumn("chunk", F.coalesce(at * each + F.greatest(inside, F.lit(0)), F.lit(last + each)).cast("long"))
+    rows = rows.withColumn("chunk", F.when(F.col("doc_id").isNull(), last + each).otherwise(at * each + F.greatest(inside, F.lit(0))).cast("long"))
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "mark")).alias("first")
     order = W.orderBy("chunk")
