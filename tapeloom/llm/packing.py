@@ -11,6 +11,8 @@ saves nothing. Only (row, length) pairs move; each partition's memory is bounded
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -24,31 +26,31 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import byte_texts, staged, text_slices
 from tapeloom.llm.token_counts import vocabulary_bytes
 
-#: Words kept in a worker's cache before it starts anew, and the longest word that it keeps.
-CACHE_WORDS, CACHE_BYTES = 400_000, 100
+#: Words that a worker's cache holds between batches.
+CACHE_WORDS = 600_000
 
 
-class WordIds(dict):
-    """Word (bytes) -> its token ids as little-endian unsigned 32-bit bytes.
+class WordIds:
+    """Texts -> their token ids as little-endian unsigned 32-bit bytes, word by word.
 
     For a tokenizer that drops white space, no token and no normalisation crosses an ASCII blank,
-    so a text's ids are the ids of its words in order.
+    so a text's ids are the ids of its words in order. New words of a batch are encoded together;
+    they are kept until the cache is full (frequent words come early) and else serve that batch.
     """
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.known = tokenizer, {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= CACHE_BYTES:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        words = [t.split() for t in texts]
+        new = list(set().union(*words).difference(self.known))
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        ids = dict(zip(new, (struct.pack(f"<{len(e)}I", *e.ids) for e in found)))
+        self.known.update(ids)
+        out = [b"".join(map(self.known.__getitem__, w)) for w in words]
+        for w in new[max(0, CACHE_WORDS - len(self.known) + len(new)) :]:
+            del self.known[w]
+        return out
 
 
 _WORKER: dict[int, tuple[WordIds, bytes]] = {}
@@ -58,6 +60,7 @@ def _word_ids(vocabulary: Broadcast) -> WordIds:
     """This worker's words, kept between tasks."""
     key = id(vocabulary.value)
     if key not in _WORKER:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         _WORKER.clear()
@@ -73,10 +76,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_ids(vocabulary)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, 4 << 20):
             rows, piece, start, length, crc = [], [], [], [], []
-            for row, text in enumerate(byte_texts(batch)):
-                ids = words.ids(text) + last
+            for row, ids in enumerate(words.encode(byte_texts(batch))):
+                ids += last
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append(row)
