@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions.quantiles import exact_quantiles
 from tapeloom.functions.rolling import Clock, add, pick
 from tapeloom.operators.evaluate import unpivot
-from tapeloom.operators.features import ALL_SOURCES, LIMIT_UP, FeatureSource, compute_features
+from tapeloom.operators.features import LIMIT_UP, FeatureSource, compute_features
 
 WINDOW_DAYS = 252
 MIN_SAMPLES = 1000
@@ -28,59 +28,49 @@ class Rule:
     action: str = "clip"  # clip, alert, drop_stock
 
 
-# Feature, lowest, highest, warm-up days, tolerated share of missing values.
-_RULE_TEXT = """
-ret_1d -0.11 0.11 2 0.10
-ret_5d -0.5 0.5 6 0.10
-ret_20d -1.0 1.0 21 0.10
-range_pct 0.0 0.25 1 0.10
-gap -0.11 0.11 2 0.10
-ma5_dev -0.5 0.5 6 0.10
-ma20_dev -0.5 0.5 21 0.10
-ma60_dev -0.5 0.5 61 0.10
-ma_short_long -0.3 0.3 21 0.10
-vol_z20 -5.0 30.0 21 0.10
-vol_ratio_5 0.0 15.0 6 0.10
-vol_ret_corr20 -1.0 1.0 21 0.10
-rsi12 -0.5 0.5 13 0.10
-macd_hist_norm -0.1 0.1 27 0.10
-kdj_j -1.5 1.5 10 0.10
-atr14_pct 0.0 0.25 15 0.10
-pe_log 0.0 10.0 1 0.35
-pb_log 0.0 5.0 1 0.30
-turnover 0.0 50.0 1 0.10
-mv_log 9.0 20.0 1 0.10
-inflow_pct -0.1 0.1 1 0.15
-big_ratio 0.0 1.0 1 0.15
-days_since_limit 0.0 1.0 1 0.10
-n_limits_20d 0.0 1.0 1 0.10
-n_limits_60d 0.0 1.0 1 0.10
-max_ret_20d -0.11 0.15 2 0.10
-consecutive_up 0.0 1.0 1 0.10
-is_yi_zi 0.0 1.0 1 0.10
-circ_mv_log 9.0 20.0 1 0.10
-circ_mv_z_self60 -5.0 5.0 61 0.10
-turnover_ma20 0.0 30.0 6 0.10
-turnover_self_z60 -5.0 5.0 61 0.10
-vola_60d 0.0 0.1 61 0.10
-vola_ratio_20_60 0.1 5.0 61 0.10
-price_vol_match5 -0.5 0.5 6 0.10
-inflow_5d_sum -0.5 0.5 6 0.15
-vol_ret_corr60 -1.0 1.0 61 0.10
-news_mentioned_t 0.0 1.0 1 0.0
-news_mentioned_t1 0.0 1.0 1 0.0
-"""
-
-_SOURCE_OF = {c: s.name for s in ALL_SOURCES for c in s.columns}
-
-
 def default_rules() -> list[Rule]:
-    out = []
-    for line in _RULE_TEXT.split("\n"):
-        if line:
-            name, low, high, warmup, alert = line.split()
-            out.append(Rule(name, _SOURCE_OF[name], float(low), float(high), int(warmup), float(alert)))
-    return out
+    # Feature, source, lowest, highest, warm-up days, tolerated share of missing values.
+    return [
+        Rule("ret_1d", "price", -0.11, 0.11, 2, 0.1),
+        Rule("ret_5d", "price", -0.5, 0.5, 6, 0.1),
+        Rule("ret_20d", "price", -1.0, 1.0, 21, 0.1),
+        Rule("range_pct", "price", 0.0, 0.25, 1, 0.1),
+        Rule("gap", "price", -0.11, 0.11, 2, 0.1),
+        Rule("ma5_dev", "averages", -0.5, 0.5, 6, 0.1),
+        Rule("ma20_dev", "averages", -0.5, 0.5, 21, 0.1),
+        Rule("ma60_dev", "averages", -0.5, 0.5, 61, 0.1),
+        Rule("ma_short_long", "averages", -0.3, 0.3, 21, 0.1),
+        Rule("vol_z20", "volume", -5.0, 30.0, 21, 0.1),
+        Rule("vol_ratio_5", "volume", 0.0, 15.0, 6, 0.1),
+        Rule("vol_ret_corr20", "volume", -1.0, 1.0, 21, 0.1),
+        Rule("rsi12", "technical", -0.5, 0.5, 13, 0.1),
+        Rule("macd_hist_norm", "technical", -0.1, 0.1, 27, 0.1),
+        Rule("kdj_j", "technical", -1.5, 1.5, 10, 0.1),
+        Rule("atr14_pct", "technical", 0.0, 0.25, 15, 0.1),
+        Rule("pe_log", "fundamental", 0.0, 10.0, 1, 0.35),
+        Rule("pb_log", "fundamental", 0.0, 5.0, 1, 0.3),
+        Rule("turnover", "fundamental", 0.0, 50.0, 1, 0.1),
+        Rule("mv_log", "fundamental", 9.0, 20.0, 1, 0.1),
+        Rule("inflow_pct", "money_flow", -0.1, 0.1, 1, 0.15),
+        Rule("big_ratio", "money_flow", 0.0, 1.0, 1, 0.15),
+        Rule("days_since_limit", "limit_up", 0.0, 1.0, 1, 0.1),
+        Rule("n_limits_20d", "limit_up", 0.0, 1.0, 1, 0.1),
+        Rule("n_limits_60d", "limit_up", 0.0, 1.0, 1, 0.1),
+        Rule("max_ret_20d", "limit_up", -0.11, 0.15, 2, 0.1),
+        Rule("consecutive_up", "limit_up", 0.0, 1.0, 1, 0.1),
+        Rule("is_yi_zi", "limit_up", 0.0, 1.0, 1, 0.1),
+        Rule("circ_mv_log", "scale", 9.0, 20.0, 1, 0.1),
+        Rule("circ_mv_z_self60", "scale", -5.0, 5.0, 61, 0.1),
+        Rule("turnover_ma20", "scale", 0.0, 30.0, 6, 0.1),
+        Rule("turnover_self_z60", "scale", -5.0, 5.0, 61, 0.1),
+        Rule("vola_60d", "scale", 0.0, 0.1, 61, 0.1),
+        Rule("vola_ratio_20_60", "scale", 0.1, 5.0, 61, 0.1),
+        Rule("price_vol_match5", "price_volume", -0.5, 0.5, 6, 0.1),
+        Rule("inflow_5d_sum", "price_volume", -0.5, 0.5, 6, 0.15),
+        Rule("vol_ret_corr60", "price_volume", -1.0, 1.0, 61, 0.1),
+        Rule("news_mentioned_t", "news", 0.0, 1.0, 1, 0.0),
+        Rule("news_mentioned_t1", "news", 0.0, 1.0, 1, 0.0),
+    ]
 
 
 def with_rule(rules: list[Rule], feature: str, **changes) -> list[Rule]:

@@ -25,9 +25,9 @@ def test_records_parse_and_keys_are_required():
         assert set(r.pk) <= set(r.columns)
         assert all(not f.nullable for f in r.schema if f.name in r.pk)
     assert "sell_elg_amount" in schemas.RECORDS["moneyflow"].columns
-    assert schemas.record("income", ("revenue", "end_type2:s")).columns[-2:] == ["revenue", "end_type2"]
+    assert schemas.record("income", "revenue double, end_type2 string").columns[-2:] == ["revenue", "end_type2"]
     with pytest.raises(ValueError):
-        schemas.record("raw_daily", ("x",))
+        schemas.record("raw_daily", "x double")
 
 
 def test_normalize_rejects_missing_column(make):
@@ -129,10 +129,20 @@ def test_scalar_rules(make):
     assert [r[0] for r in wk] == [D(2024, 6, 7), D(2024, 6, 7), D(2024, 6, 10)]
 
 
-def test_vendor_spec_table():
-    assert len(vendor.SPECS) == 31
-    assert vendor.SPECS["shibor"].rename["on"] == "overnight" and vendor.SPECS["shibor"].rename["1w"] == "w1"
-    assert vendor.SPECS["dividend_bulk"].order == ("end_date", "div_proc")
+def test_vendor_frames(make):
+    rates = vendor.to_house(make("date string, `on` double, `1w` double, other int", ("20240102", 1.0, 2.0, 3)), schemas.RECORDS["shibor"])
+    assert rates.collect() == [(D(2024, 1, 2), 1.0, 2.0)] and rates.columns == ["date", "overnight", "w1"]
+    paid = vendor.to_house(make("ts_code string, end_date string, div_proc string, cash_div double", ("A", "20231231", "x", 0.1)), schemas.RECORDS["dividend"])
+    assert paid.collect() == [("A", D(2023, 12, 31), "x", 0.1)]
+    assert vendor.to_house(make("month string, nt_val double", ("202401", 1.0)), schemas.RECORDS["cn_cpi"]).collect() == [("202401", 1.0)]
+
+
+def test_a_broken_table_is_not_taken_for_empty(spark, make, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "part-0.parquet").write_bytes(b"no parquet at all")
+    with pytest.raises(Exception):
+        tables.apply_upsert(spark, str(tmp_path / "t"), make("code string, trade_date date, adj_factor double", ("A", D(2024, 1, 2), 1.0)), schemas.RECORDS["adj_factor"])
+    assert [f.name for f in (tmp_path / "t").iterdir() if f.suffix == ".parquet"] == ["part-0.parquet"]
 
 
 def test_missing_ranges_table(make):
