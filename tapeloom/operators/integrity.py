@@ -22,12 +22,16 @@ def _stacked(tables: dict[str, DataFrame], as_of, days: int) -> DataFrame:
     return out
 
 
-def duplicate_keys(tables: dict[str, DataFrame], as_of, days: int = 30, per_table: int = 1000) -> DataFrame:
-    """Keys held more than once; the report lists the worst ``per_table`` of each table."""
+def duplicate_keys(tables: dict[str, DataFrame], as_of, days: int = 30) -> DataFrame:
+    """All keys held more than once, with their count."""
     counts = _stacked(tables, as_of, days).groupBy("table", "code", "trade_date").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where("n > 1")
+
+
+def worst_duplicates(duplicates: DataFrame, per_table: int = 1000) -> DataFrame:
+    """The report for a reader: the ``per_table`` most repeated keys of each table."""
     w = Window.partitionBy("table").orderBy(F.col("n").desc(), "code", "trade_date")
-    dup = counts.where("n > 1").withColumn("rank", F.row_number().over(w))
-    return dup.where(F.col("rank") <= per_table).drop("rank")
+    return duplicates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_table).drop("rank")
 
 
 def missing_pairs(base: DataFrame, children: dict[str, DataFrame], as_of, days: int = 30, exclude_suffix: tuple[str, ...] = (".BJ",)) -> DataFrame:

@@ -52,10 +52,10 @@ def candidates(
     ).select("as_of", "snap", "code", "l1_code", "circ_mv")
 
 
-def _lookback(df: DataFrame, snaps: DataFrame, window: int) -> DataFrame:
-    """Rows of the int(1.7 * window) calendar days up to each snapshot. A row spells out the
+def _lookback(df: DataFrame, snaps: DataFrame, window: int, days_per_row: float) -> DataFrame:
+    """Rows of the int(days_per_row * window) calendar days up to each snapshot (daily bars: 1.7). A row spells out the
     months it can matter for, so snapshots meet rows by equality and a date filter."""
-    reach = int(1.7 * window)
+    reach = int(days_per_row * window)
     months = F.sequence(F.trunc("trade_date", "month"), F.trunc(F.date_add("trade_date", reach), "month"), F.expr("interval 1 month"))
     rows = df.withColumn("_month", F.explode(months))
     keyed = snaps.select("as_of", "snap", F.trunc("snap", "month").alias("_month"))
@@ -64,15 +64,15 @@ def _lookback(df: DataFrame, snaps: DataFrame, window: int) -> DataFrame:
     )
 
 
-def average_turnover(basic: DataFrame, snaps: DataFrame, window: int = 20) -> DataFrame:
-    rows = _lookback(basic.where(F.col("turnover_rate").isNotNull()).select("code", "trade_date", "turnover_rate"), snaps, window)
+def average_turnover(basic: DataFrame, snaps: DataFrame, window: int = 20, days_per_row: float = 1.7) -> DataFrame:
+    rows = _lookback(basic.where(F.col("turnover_rate").isNotNull()).select("code", "trade_date", "turnover_rate"), snaps, window, days_per_row)
     out = rows.groupBy("as_of", "code").agg(F.avg("turnover_rate").alias("turnover_ma"), F.count(F.lit(1)).alias("_n"))
     return out.where(F.col("_n") >= max(5, window // 4)).drop("_n")
 
 
-def volatility(raw: DataFrame, snaps: DataFrame, window: int = 60) -> DataFrame:
+def volatility(raw: DataFrame, snaps: DataFrame, window: int = 60, days_per_row: float = 1.7) -> DataFrame:
     """Population deviation of the daily change."""
-    rows = _lookback(raw.where(F.col("pct_change").isNotNull()).select("code", "trade_date", "pct_change"), snaps, window)
+    rows = _lookback(raw.where(F.col("pct_change").isNotNull()).select("code", "trade_date", "pct_change"), snaps, window, days_per_row)
     out = rows.groupBy("as_of", "code").agg(F.stddev_pop("pct_change").alias("vola"), F.count(F.lit(1)).alias("_n"))
     return out.where(F.col("_n") >= max(10, window // 3)).drop("_n")
 
@@ -111,13 +111,13 @@ def top_k(scored: DataFrame, k: int, group: list[str], score: str = "score", tie
 def per_industry_top_k(
     basic: DataFrame, raw: DataFrame, industry: DataFrame, lifecycle: DataFrame, as_of: DataFrame,
     k: int = 15, cmv_min: float = 20e4, cmv_max: float = 500e4, prefixes: tuple[str, ...] = MAIN_BOARD,
-    turnover_window: int = 20, vola_window: int = 60,
+    turnover_window: int = 20, vola_window: int = 60, days_per_row: float = 1.7,
 ) -> DataFrame:
     """Top-k per industry for every as-of date in one job (one date, or all months of a
     rolling universe)."""
     snaps = snapshot_dates(basic, as_of)
     base = candidates(basic, industry, lifecycle, snaps, cmv_min, cmv_max, prefixes)
-    scored = score_candidates(base, average_turnover(basic, snaps, turnover_window), volatility(raw, snaps, vola_window))
+    scored = score_candidates(base, average_turnover(basic, snaps, turnover_window, days_per_row), volatility(raw, snaps, vola_window, days_per_row))
     return top_k(scored, k, ["as_of", "l1_code"])
 
 

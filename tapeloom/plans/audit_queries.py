@@ -166,7 +166,7 @@ TRADE_KEYS = "tk as (select concat('N', lpad(cast(s_nationkey as varchar), 2, '0
 
 
 @query("duplicate_keys", f"""with {TRADE_KEYS}, c as (select 'bars' as tbl, code, trade_date, count(*) as n from bars group by all union all select 'trades', code, trade_date, count(*) from tk where trade_date >= date '2001-10-01' - 30 group by all)
-  select tbl as "table", code, trade_date, n from (select *, row_number() over (partition by tbl order by n desc, code, trade_date) as r from c where n > 1) where r <= 1000""", "bars")
+  select tbl as "table", code, trade_date, n from c where n > 1""", "bars")
 def duplicate_keys(m):
     trades = m.trades.select("code", F.col("l_shipdate").cast("date").alias("trade_date"))
     return it.duplicate_keys({"bars": m.bars, "trades": trades}, "2001-10-01", 30)
@@ -204,7 +204,7 @@ def status_grid(m):
   m as (select 'daily_basic' as child, count(*) as missing from bars b where not exists (select 1 from daily_basic d where d.code = b.code and d.trade_date = b.trade_date)
    union all select 'moneyflow', count(*) from bars b where not exists (select 1 from moneyflow d where d.code = b.code and d.trade_date = b.trade_date)),
   p as (select trade_date, count(*) as n_today from bars group by 1), q as (select trade_date, (n_today - lag(n_today) over (order by trade_date)) / lag(n_today) over (order by trade_date) as ch from p)
-  select 'duplicates' as "check", least(count(*), 1000) as issues, (select concat('trades/', code) from c order by n desc, code desc limit 1) as worst from c
+  select 'duplicates' as "check", count(*) as issues, (select concat('trades/', code) from c order by n desc, code desc limit 1) as worst from c
   union all select 'missing_pairs', sum(missing), (select child from m order by missing desc, child desc limit 1) from m
   union all select 'row_count_jumps', count(*), (select cast(trade_date as varchar) from q where abs(ch) > 0.03 order by abs(ch) desc, trade_date desc limit 1) from q where abs(ch) > 0.03""", "bars daily_basic moneyflow")
 def integrity_summary(m):
@@ -242,11 +242,13 @@ def affected_factor_history(m):
     return it.affected_factor_history(m.adj_factor, dividends(m), "1998-02-16")
 
 
-@query("suspended_codes", "select code from (select distinct code from bars) where code not in (select code from bars where trade_date = (select max(trade_date) from bars))", "bars")
+GAPS = "gaps as (select code, trade_date from bars where (cast(substr(code, 2) as integer) + weekofyear(trade_date)) % 4 <> 0)"
+
+
+@query("suspended_codes", f"with {GAPS} select code from (select distinct code from bars) where code not in (select code from gaps where trade_date = date '2001-10-22')", "bars")
 def suspended_codes(m):
-    last = m.bars.select(F.max("trade_date").alias("d")).scalar()
-    active = m.bars.where(F.col("trade_date") == last).select("code")
-    return m.bars.select("code").distinct().join(active, "code", "left_anti")
+    traded = m.bars.where((F.substring("code", 2, 9).cast("int") + F.weekofyear("trade_date")) % 4 != 0)
+    return it.suspended_codes(m.bars.select("code"), traded, "2001-10-22")
 
 
 MASK = f"""{DIV}, u as (select distinct code from bars), mk as (select code, 0 as p, 'ST' as r from stock_lifecycle where name ilike 'st%' or name ilike '*st%'

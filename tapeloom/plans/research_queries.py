@@ -304,14 +304,18 @@ def snapshot_dates(m):
 UNIVERSE = f"""{ASOF}, raw as (select code, trade_date, close / lag(close) over {'(partition by code order by trade_date)'} - 1 as pct_change from bars),
  cand as (select s.as_of, s.snap, d.code, i.l1_code, d.circ_mv from snaps s join daily_basic d on d.trade_date = s.snap join industry i using (code) join stock_lifecycle l using (code)
   where l.name not ilike 'st%' and l.name not ilike '*st%' and l.list_date < s.snap - 120 and d.circ_mv between 1000 and 1e9 and d.turnover_rate > 0),
- tn as (select s.as_of, d.code, avg(turnover_rate) as turnover_ma from snaps s join daily_basic d on d.trade_date <= s.snap and d.trade_date >= s.snap - 170 group by 1, 2 having count(*) >= 25),
- vl as (select s.as_of, r.code, stddev_pop(pct_change) as vola from snaps s join raw r on r.trade_date <= s.snap and r.trade_date >= s.snap - 340 where pct_change is not null group by 1, 2 having count(*) >= 66),
+ tn as (select s.as_of, d.code, avg(turnover_rate) as turnover_ma from snaps s join daily_basic d on d.trade_date <= s.snap and d.trade_date >= s.snap - 180 group by 1, 2 having count(*) >= 5),
+ vl as (select s.as_of, r.code, stddev_pop(pct_change) as vola from snaps s join raw r on r.trade_date <= s.snap and r.trade_date >= s.snap - 540 where pct_change is not null group by 1, 2 having count(*) >= 20),
  mg as (select c.*, coalesce(t.turnover_ma, median(t.turnover_ma) over (partition by as_of)) as tm, coalesce(v.vola, median(v.vola) over (partition by as_of)) as vo, -ln(greatest(circ_mv, 1)) as nc
    from cand c left join tn t using (as_of, code) left join vl v using (as_of, code)),
  sc as (select *, 0.5 * (tm - avg(tm) over g) / (stddev_pop(tm) over g + 1e-9) + 0.35 * (vo - avg(vo) over g) / (stddev_pop(vo) over g + 1e-9)
    + 0.15 * (nc - avg(nc) over g) / (stddev_pop(nc) over g + 1e-9) as score from mg window g as (partition by as_of, l1_code))"""
 
 
+#: Calendar days to look back per row of a window: the fixture's bars are weekly.
+WEEKLY = 9.0
+
+
 def raw_changes(m):
     from tapeloom.functions.rolling import Clock, pick
 
@@ -320,7 +324,7 @@ def raw_changes(m):
 
 def monthly_universe(m, k=2):
     return uni.per_industry_top_k(
-        m.daily_basic, raw_changes(m), m.industry, m.stock_lifecycle, months(m), k, 1000, 1e9, ("N",), 100, 200
+        m.daily_basic, raw_changes(m), m.industry, m.stock_lifecycle, months(m), k, 1000, 1e9, ("N",), days_per_row=WEEKLY
     )
 
 
@@ -339,12 +343,12 @@ def universe_candidates(m):
 
 @query("universe_turnover", f"with {UNIVERSE} select as_of, code, round(turnover_ma, 6) as turnover_ma from tn", "bars daily_basic industry stock_lifecycle")
 def universe_turnover(m):
-    return uni.average_turnover(m.daily_basic, uni.snapshot_dates(m.daily_basic, months(m)), 100).withColumn("turnover_ma", r6("turnover_ma"))
+    return uni.average_turnover(m.daily_basic, uni.snapshot_dates(m.daily_basic, months(m)), 20, WEEKLY).withColumn("turnover_ma", r6("turnover_ma"))
 
 
 @query("universe_volatility", f"with {UNIVERSE} select as_of, code, round(vola, 6) as vola from vl", "bars daily_basic industry stock_lifecycle")
 def universe_volatility(m):
-    return uni.volatility(raw_changes(m), uni.snapshot_dates(m.daily_basic, months(m)), 200).withColumn("vola", r6("vola"))
+    return uni.volatility(raw_changes(m), uni.snapshot_dates(m.daily_basic, months(m)), 60, WEEKLY).withColumn("vola", r6("vola"))
 
 
 @query("universe_top_mv", """select code, trade_date, round(circ_mv, 4) as circ_mv from daily_basic join stock_lifecycle l using (code)

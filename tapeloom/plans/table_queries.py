@@ -123,7 +123,7 @@ def run_deleted(m):
 def vendor_daily(m):
     text = F.when(F.day("trade_date") == 7, F.lit("n/a")).otherwise(F.date_format("trade_date", "yyyyMMdd"))
     raw = m.bars.select(F.col("code").alias("ts_code"), text.alias("trade_date"), "open", "high", "low", "close", F.col("volume").alias("vol"))
-    return ven.to_house(raw, ven.SPECS["raw_daily"])
+    return ven.to_house(raw, RECORDS["raw_daily"])
 
 
 @query("chinese_headers", "select code, trade_date, close, volume, amount from bars", "bars")
@@ -180,12 +180,24 @@ def clean_keys(m):
     return ven.clean_keys(df, ("org",), ("side",)).groupBy("line", "org", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("concept_boards", "select p_brand as board_code, max(p_name) as board_name, null::bigint as member_count, null::date as list_date, 'ts' as src from part group by 1")
-def concept_boards(m):
+BOARDS = "select p_brand as board_code, max(p_name) as board_name, null::bigint as member_count, null::date as list_date, 'ts' as src from part group by 1"
+
+
+def board_sources(m):
     p = m.table("part")
-    primary = p.where("p_size > 1000").select(F.col("p_brand").alias("ts_code"), F.col("p_name").alias("name"), F.col("p_size").cast("bigint").alias("count"), F.lit(None).cast("date").alias("list_date"))
-    fallback = p.groupBy(F.col("p_brand").alias("code")).agg(F.max("p_name").alias("name"))
-    return ven.concept_boards(primary, fallback)
+    primary = p.groupBy(F.col("p_type").alias("ts_code")).agg(F.max("p_name").alias("name"), F.count(F.lit(1)).alias("count")).withColumn("list_date", F.lit(None).cast("date"))
+    return primary, p.groupBy(F.col("p_brand").alias("code")).agg(F.max("p_name").alias("name"))
+
+
+@query("concept_boards", "select p_type as board_code, max(p_name) as board_name, count(*) as member_count, null::date as list_date, 'ths' as src from part group by 1")
+def concept_boards(m):
+    return ven.concept_boards(*board_sources(m))
+
+
+@query("concept_boards_fallback", BOARDS)
+def concept_boards_fallback(m):
+    primary, fallback = board_sources(m)
+    return ven.concept_boards(primary.where("count < 0"), fallback)
 
 
 @query("concept_members", "select p_brand as board_code, concat('P', p_partkey) as code, p_name as name, p_retailprice as weight from part")
@@ -233,9 +245,14 @@ def table_sync_plan(m):
     return sync.table_plan(dates, "2000-01-01", "2001-10-29")
 
 
-@query("stale_codes", """select code, last_date, cast(date_diff('day', last_date, date '2001-11-05') as integer) as age from (select code, max(trade_date) as last_date from bars group by 1) where date_diff('day', last_date, date '2001-11-05') >= 10""", "bars")
+ENDING = "ending as (select code, trade_date from bars where trade_date <= date '2001-10-29' - 7 * (cast(substr(code, 2) as integer) % 5))"
+
+
+@query("stale_codes", f"""with {ENDING} select code, last_date, cast(date_diff('day', last_date, date '2001-11-05') as integer) as age from (select code, max(trade_date) as last_date from ending group by 1) where date_diff('day', last_date, date '2001-11-05') >= 21""", "bars")
 def stale_codes(m):
-    return sync.stale_codes(m.bars.groupBy("code").agg(F.max("trade_date").alias("last_date")), "2001-11-05", 10)
+    end = F.date_sub(F.lit("2001-10-29").cast("date"), 7 * (F.substring("code", 2, 9).cast("int") % 5))
+    ending = m.bars.where(F.col("trade_date") <= end)
+    return sync.stale_codes(ending.groupBy("code").agg(F.max("trade_date").alias("last_date")), "2001-11-05", 21)
 
 
 # --- prices -------------------------------------------------------------------

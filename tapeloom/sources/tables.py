@@ -76,7 +76,9 @@ def apply_upsert(spark: SparkSession, path: str, batch: DataFrame, record: Recor
 
     try:
         current = spark.read.schema(record.schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise  # an unreadable table is no empty table
         current = spark.createDataFrame([], record.schema)
     touched = conform(batch, record).select(date).distinct()
     merged = upsert(current.join(touched, date, "left_semi"), [batch], record)
