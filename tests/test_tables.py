@@ -19,7 +19,7 @@ from tapeloom.streaming import jobs
 D = dt.date
 
 
-def test_records_parse_and_keys_are_required():
+def test_records_parse_and_keys_are_required(spark):
     assert len(schemas.RECORDS) == 42
     for r in schemas.RECORDS.values():
         assert set(r.pk) <= set(r.columns)
