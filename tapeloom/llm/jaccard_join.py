@@ -13,13 +13,13 @@ product.
    share spreads over many tasks, one per pair of parts.
 3. *Bounds.* Each class carries a parity bitmap of its set (n / 2 to n bits). Sets differ in at least
    as many n-grams as their bitmaps in bits, so a pair whose bitmaps differ more than
-   ``n_a + n_b - 2 * least overlap`` is discarded without a look at its sets; a class stays in a
-   column only if a pair of its does.
+   ``n_a + n_b - 2 * least overlap`` is discarded without a look at its sets. A pair that several
+   columns show stays in the one with most classes, and a class stays where a pair of its does.
 4. *Blocks.* What stays is multiplied with whole sets: overlap counts accumulate over slices of
    n-grams, and rows leave as soon as no pair of theirs can still reach the least overlap,
    ``threshold / (1 + threshold) * (n_a + n_b)``. What remains is compared in exact integers.
 5. *Components.* A block emits a spanning star per group and each class's number of links, not
-   its pairs; links that several columns show are counted in the first. Components come from
+   its pairs. Components come from
    large-star and small-star steps over the stars' edges.
 """
 
@@ -179,20 +179,24 @@ def prefix_entries(docs: DataFrame, width: int, percent: int, hot) -> DataFrame:
     return docs.select("text").mapInArrow(emitted, "gram long, class long, n long")
 
 
-def open_columns(entries: DataFrame) -> DataFrame:
-    """The entries (gram, class, n) of columns with two classes at least; of columns with equal classes
-    one. An entry may come more than once."""
+def open_columns(entries: DataFrame, percent: int) -> DataFrame:
+    """The entries (gram, class, n, load) of columns with two classes at least whose sizes allow a link; of
+    columns with equal classes one. ``load`` is the column's sum of sizes. An entry may come twice."""
     mark = F.xxhash64("class").bitwiseAND((1 << 40) - 1)
-    columns = entries.groupBy("gram").agg(F.count("*").alias("d"), F.sum(mark).alias("classes"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi")
-    columns = columns.groupBy("d", "classes", "lo", "hi").agg(F.min("gram").alias("gram")).select("gram")
+    columns = entries.groupBy("gram").agg(
+        F.count("*").alias("d"), F.sum(mark).alias("classes"), F.min("class").alias("lo"), F.max("class").alias("hi"),
+        F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("load"),
+    ).filter((F.col("lo") != F.col("hi")) & ((F.col("d") > 2) | (100 * F.col("least") >= percent * F.col("most"))))
+    columns = columns.groupBy("d", "classes", "lo", "hi", "load").agg(F.min("gram").alias("gram")).select("gram", "load")
     return staged(entries.join(columns, "gram"), "open")
 
 
 def seats(opened: DataFrame, percent: int, weight: int) -> DataFrame:
     """(seat, gram, side, class, n): every class of a column in the seats that let it meet all others it
-    may link with. A seat is a pair of parts of at most ``weight`` n-grams or so, of one size band (side 2
+    may link with. A column of at most ``weight`` n-grams is one seat. Of a heavier one a seat is a pair of parts of at most ``weight`` n-grams or so, of one size band (side 2
     where a part meets itself, else 0 and 1) or of two adjacent ones."""
-    banded = opened.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("long"))
+    light = opened.filter(F.col("load") <= weight).select(F.xxhash64("gram").alias("seat"), "gram", F.lit(2).alias("side"), "class", "n")
+    banded = opened.filter(F.col("load") > weight).drop("load").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("long"))
     load = banded.groupBy("gram", "band").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / weight)).cast("int").alias("k"))
     near = load.select("gram", F.col("band").alias("at"), F.col("k").alias("parts"))
     own = F.pmod(F.xxhash64("class", "gram"), F.col("k")).cast("int")
@@ -201,10 +205,11 @@ def seats(opened: DataFrame, percent: int, weight: int) -> DataFrame:
     lower = (F.col("band") < F.col("at")) | ((F.col("band") == F.col("at")) & (F.col("own") <= F.col("other")))
     same = (F.col("band") == F.col("at")) & (F.col("own") == F.col("other"))
     first, second = F.struct("band", F.col("own").cast("long")), F.struct("at", F.col("other").cast("long"))
-    return met.select(
+    heavy = met.select(
         F.when(lower, F.xxhash64("gram", first, second)).otherwise(F.xxhash64("gram", second, first)).alias("seat"), "gram",
         F.when(same, 2).when(lower, 0).otherwise(1).alias("side"), "class", "n",
     )
+    return light.unionByName(heavy)
 
 
 def _pairs(sizes: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -220,9 +225,12 @@ def _pairs(sizes: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[np.ndarr
 
 
 def bounded_seats(placed: DataFrame, percent: int) -> DataFrame:
-    """The rows of (seat, gram, side, class, n, bits) that have a pair within the bitmaps' bound."""
+    """The rows of (seat, gram, side, class, n, bits) that have a pair within the bitmaps' bound. With a column
+    ``wider`` (the class's columns that are wider than this one), of these only pairs without a wider column in
+    common count, so each pair stays in its widest column alone."""
+    ranked = "wider" in placed.columns
 
-    def kept(seat, side, key, n, bits) -> np.ndarray:
+    def kept(seat, side, key, n, bits, wider) -> np.ndarray:
         words = np.fromiter(map(len, bits), np.int64, len(bits)) // 8
         own: dict[int, np.ndarray] = {}
         slot = np.zeros(len(bits), np.int64)
@@ -247,6 +255,8 @@ def bounded_seats(placed: DataFrame, percent: int) -> DataFrame:
                         a = own[v][slot[i[p]]]
                         a = a if v == w else a[:, :w] ^ a[:, w:]
                         good = p[np.bitwise_count(a ^ own[w][slot[j[p]]]).sum(1, dtype=np.int64) <= most[p]]
+                        if ranked:
+                            good = good[[wider[x].isdisjoint(wider[y]) for x, y in zip(i[good].tolist(), j[good].tolist())]] if len(good) else good
                         stays[i[good]] = True
                         stays[j[good]] = True
         return stays
@@ -263,7 +273,8 @@ def bounded_seats(placed: DataFrame, percent: int) -> DataFrame:
             done, rest = rows.slice(0, end), rows.slice(end)
             if end:
                 col = lambda c: done.column(c).to_numpy()
-                stays = kept(col("seat"), col("side"), col("class"), col("n"), done.column("bits").to_pylist())
+                wider = [set(w) for w in done.column("wider").to_pylist()] if ranked else None
+                stays = kept(col("seat"), col("side"), col("class"), col("n"), done.column("bits").to_pylist(), wider)
                 yield done.filter(pa.array(stays)).select(["seat", "gram", "side", "class", "n"])
 
     ordered = placed.repartition("seat").sortWithinPartitions("seat")
@@ -277,14 +288,13 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def needed_columns(kept: DataFrame) -> DataFrame:
-    """``kept`` (seat, gram, ..) without columns whose classes all have the same larger column."""
+def with_columns(kept: DataFrame) -> DataFrame:
+    """``kept`` (seat, gram, .., class, ..) with ``d``, the classes of the row's column, and ``columns``, all columns
+    (d, gram) of its class: at most as many as its prefix has n-grams."""
     pairs = kept.select("gram", "class").distinct()
-    pairs = pairs.join(pairs.groupBy("gram").agg(F.count("*").alias("d")), "gram")
-    widest = pairs.groupBy("class").agg(F.max(F.struct("d", "gram")).alias("widest"))
-    shared = pairs.join(widest, "class").groupBy("gram").agg(F.min("widest").alias("lo"), F.max("widest").alias("hi"))
-    needed = shared.filter((F.col("lo") != F.col("hi")) | (F.col("lo.gram") == F.col("gram"))).select("gram")
-    return kept.join(needed, "gram")
+    wide = pairs.groupBy("gram").agg(F.count("*").alias("d"))
+    lists = pairs.join(wide, "gram").groupBy("class").agg(F.collect_list(F.struct("d", "gram")).alias("columns"))
+    return kept.join(wide, "gram").join(lists, "class")
 
 
 def block_links(sets: list[np.ndarray], percent: int, slice_grams: int = 4096) -> tuple[np.ndarray, np.ndarray]:
@@ -331,17 +341,16 @@ def block_links(sets: list[np.ndarray], percent: int, slice_grams: int = 4096) -
 def link_classes(kept: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(class, other, links): per seat a star's edges (other is the class itself in rows that only carry a
     count) and each class's links to documents, ``sets`` being (class, copies, grams)."""
-    columns = kept.groupBy("class").agg(F.collect_set("gram").alias("columns"))  # at most a set's prefix
-    rows = kept.join(sets.join(columns, "class"), "class").select("seat", "gram", "side", "class", "copies", "columns", "grams")
+    rows = kept.join(sets, "class").select("seat", "gram", "side", "class", "copies", "wider", "grams")
 
     def multiply(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("class", kind="stable")
-        classes, copies, side, gram = frame["class"].to_numpy(), frame["copies"].to_numpy(), frame["side"].to_numpy(), frame["gram"].iloc[0]
+        classes, copies, side = frame["class"].to_numpy(), frame["copies"].to_numpy(), frame["side"].to_numpy()
         i, j = block_links([np.frombuffer(g, np.uint64) for g in frame["grams"]], percent)
-        # a pair is counted in one seat of one column: the first column that both are in
+        # a pair is counted in one seat of one column: the widest that both are in
         mine = (side[i] == 2) | (side[i] != side[j])
-        held = [set(c) for c in frame["columns"]]
-        mine &= np.fromiter((m and min(held[a] & held[b]) == gram for m, a, b in zip(mine, i, j)), bool, len(i))
+        wider = [set(w) for w in frame["wider"]]
+        mine &= np.fromiter((m and wider[a].isdisjoint(wider[b]) for m, a, b in zip(mine, i, j)), bool, len(i))
         links = np.bincount(i[mine], copies[j[mine]], len(classes)) + np.bincount(j[mine], copies[i[mine]], len(classes))
         root = np.arange(len(classes))
         while len(i):  # smallest row of each group
@@ -400,9 +409,13 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, hot: int =
 
     marked = scan.filter("not hot").select("doc_id", F.col("key").alias("class"), F.col("n").alias("n_shingles"))
     bits = scan.filter("not hot and n > 0").groupBy(F.col("key").alias("class")).agg(F.first("bits").alias("bits"))
-    opened = open_columns(prefix_entries(docs, width, percent, late))
+    opened = open_columns(prefix_entries(docs, width, percent, late), percent)
     placed = seats(opened, percent, weight).join(bits, "class").select("seat", "gram", "side", "class", "n", "bits")
-    kept = staged(needed_columns(staged(bounded_seats(placed, percent), "bounded")), "kept")
+    near = with_columns(staged(bounded_seats(placed, percent), "bounded"))
+    above = F.transform(F.filter("columns", lambda c: (c["d"] > F.col("d")) | ((c["d"] == F.col("d")) & (c["gram"] > F.col("gram")))), lambda c: c["gram"])
+    near = staged(near.select("seat", "gram", "side", "class", "n", above.alias("wider")), "near")
+    kept = bounded_seats(near.join(bits, "class").select("seat", "gram", "side", "class", "n", "bits", "wider"), percent)
+    kept = staged(kept.join(near.select("seat", "class", "wider").distinct(), ["seat", "class"]), "kept")
     firsts = marked.join(kept.select("class").distinct(), "class").groupBy("class").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
     sets = class_sets(docs, firsts, width)
     found = staged(link_classes(kept, sets, percent), "links")
