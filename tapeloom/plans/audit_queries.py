@@ -9,12 +9,12 @@ from tapeloom.operators import audit as au
 from tapeloom.operators import features as feat
 from tapeloom.operators import integrity as it
 from tapeloom.operators.panel import attach_forward_adjusted
-from tapeloom.plans.feature_queries import GROUPS, W
+from tapeloom.plans.feature_queries import ALL_FEATURES_SQL, GROUPS, W, all_features, mentioned_panel
 from tapeloom.plans.registry import query
 
 DAY = "2001-06-25"
-AUDITED = (feat.PRICE, feat.AVERAGES, feat.FUNDAMENTAL, feat.FLOW)
-COLS = [c for s in AUDITED for c in s.columns]
+COLS = list(feat.FEATURES)
+AUDITED = "panel industry news_raw"
 
 
 def _feats_sql(names) -> str:
@@ -26,7 +26,7 @@ def _feats_sql(names) -> str:
     return ", ".join(parts) + f", feats as (select * from {joined})"
 
 
-FEATS = _feats_sql(["price", "averages", "fundamental", "money_flow"])
+FEATS = ALL_FEATURES_SQL
 LONG = f"""{FEATS}, long as (select code, trade_date, unnest([{', '.join(repr(c) for c in COLS)}]) as feature, unnest([{', '.join(COLS)}]) as value from feats),
  lastd as (select distinct trade_date from feats where trade_date <= date '{DAY}' order by 1 desc limit 252),
  thr as (select feature, quantile_cont(value, 0.005) as q_low, quantile_cont(value, 0.995) as q_high from long where trade_date in (select trade_date from lastd) and value is not null group by 1 having count(*) >= 1000)"""
@@ -55,7 +55,7 @@ STATS = f"""{LONG}, {RULES_SQL}, bd as (select r.*, coalesce(q_low, low) as lo,
 
 
 def feats(m):
-    return feat.compute_features(m.panel, AUDITED)
+    return all_features(m)
 
 
 def stats(m):
@@ -65,7 +65,7 @@ def stats(m):
 
 
 @query("quality_rules_share", f"""with {FEATS}, {RULES_SQL}, long as (select * from (unpivot (select {', '.join(COLS)} from feats) on {', '.join(COLS)} into name feature value value))
-  select feature, r.warmup, r.action, count(*) as n, count(*) filter (value between r.low and r.high) as inside from long join rules r using (feature) group by all""", "panel")
+  select feature, r.warmup, r.action, count(*) as n, count(*) filter (value between r.low and r.high) as inside from long join rules r using (feature) group by all""", AUDITED)
 def quality_rules_share(m):
     from tapeloom.operators.evaluate import unpivot
 
@@ -73,24 +73,24 @@ def quality_rules_share(m):
     return long.groupBy("feature", "warmup", "action").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").between(F.col("low"), F.col("high"))).alias("inside"))
 
 
-@query("rolling_thresholds", f"with {LONG} select feature, round(q_low, 6) + 0.0 as q_low, round(q_high, 6) + 0.0 as q_high from thr", "panel")
+@query("rolling_thresholds", f"with {LONG} select feature, round(q_low, 6) + 0.0 as q_low, round(q_high, 6) + 0.0 as q_high from thr", AUDITED)
 def rolling_thresholds(m):
     t = au.rolling_thresholds(feats(m), DAY, COLS)
     return t.select("feature", r6("q_low").alias("q_low"), r6("q_high").alias("q_high"))
 
 
-@query("feature_day_stats", f"with {STATS} select feature, n, n_missing, n_below, n_above, round(min_value, 6) + 0.0 as min_value, round(max_value, 6) + 0.0 as max_value from st", "panel")
+@query("feature_day_stats", f"with {STATS} select feature, n, n_missing, n_below, n_above, round(min_value, 6) + 0.0 as min_value, round(max_value, 6) + 0.0 as max_value from st", AUDITED)
 def feature_day_stats(m):
     return stats(m).select("feature", "n", "n_missing", "n_below", "n_above", r6("min_value").alias("min_value"), r6("max_value").alias("max_value"))
 
 
-@query("quality_alerts", f"with {STATS} select feature, source, issue, round(value, 6) + 0.0 as value, round(threshold, 6) + 0.0 as threshold, affected from al", "panel")
+@query("quality_alerts", f"with {STATS} select feature, source, issue, round(value, 6) + 0.0 as value, round(threshold, 6) + 0.0 as threshold, affected from al", AUDITED)
 def quality_alerts(m):
     a = au.quality_alerts(stats(m))
     return a.select("feature", "source", "issue", r6("value").alias("value"), r6("threshold").alias("threshold"), "affected")
 
 
-@query("audit_report", f"with {STATS} select st.feature, st.source, count(al.issue) as alerts, count(al.issue) = 0 as passed from st left join al using (feature) group by 1, 2", "panel")
+@query("audit_report", f"with {STATS} select st.feature, st.source, count(al.issue) as alerts, count(al.issue) = 0 as passed from st left join al using (feature) group by 1, 2", AUDITED)
 def audit_report(m):
     return au.audit_report(stats(m))
 
@@ -109,16 +109,13 @@ def _repair_sql() -> str:
     return f"with {STATS}, today as (select * from (select *, lag(pe_log) over w as p_pe_log from feats {W}) where trade_date = date '{DAY}') select code, trade_date, {', '.join(cols)} from today"
 
 
-@query("repair_day", _repair_sql(), "panel")
+@query("repair_day", _repair_sql(), AUDITED)
 def repair_day(m):
     f = feats(m)
     out = au.repair_day(f, DAY, audited_rules(), au.rolling_thresholds(f, DAY, COLS))
     return out.select("code", "trade_date", *[r6(r.feature).alias(r.feature) for r in audited_rules()])
 
 
-CAUSAL = (feat.PRICE, feat.VOLUME, feat.LIMITS, feat.SCALE)
-
-
 @query("drop_last_rows", """select code, trade_date from (select code, trade_date, row_number() over (partition by code order by trade_date desc) as r, count(*) over (partition by code) as n from bars)
   where r > 5 or n <= 5""", "bars")
 def drop_last_rows(m):
@@ -126,9 +123,9 @@ def drop_last_rows(m):
 
 
 @query("causality_audit", """with kept as (select count(*) as c from (select row_number() over (partition by code order by trade_date desc) as r, count(*) over (partition by code) as n from bars) where r > 5 or n <= 5),
-  names as (select unnest([""" + ", ".join(f"'{c}'" for s in CAUSAL for c in s.columns) + """]) as feature) select feature, c as compared, 0 as look_ahead from names, kept""", "bars")
+  names as (select unnest([""" + ", ".join(f"'{c}'" for c in feat.FEATURES) + """]) as feature) select feature, c as compared, 0 as look_ahead from names, kept""", "bars")
 def causality_audit(m):
-    return au.causality_audit(m.panel, 5, CAUSAL).select("feature", "compared", "look_ahead")
+    return au.causality_audit(mentioned_panel(m), 5, feat.ALL_SOURCES).select("feature", "compared", "look_ahead")
 
 
 SPOT = (feat.PRICE, feat.AVERAGES, feat.VOLUME, feat.TECHNICAL, feat.FUNDAMENTAL, feat.LIMITS, feat.SCALE, feat.PRICE_VOLUME)

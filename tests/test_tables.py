@@ -231,3 +231,12 @@ def test_planted_alpha_is_found(spark):
     for rank, name in ((False, "ic"), (True, "rank_ic")):
         got = {r.feature: r[name] for r in evaluate.daily_correlation(feats, f, ["good", "noise"], rank).collect()}
         assert got["good"] > 0.5 and abs(got["noise"]) < 0.1
+
+
+@pytest.mark.parametrize("size,common", [(3, 0.0), (700, 0.0), (5000, 0.99), (20_000, 0.3)])
+def test_quantiles_at_any_size(spark, size, common):
+    rng = np.random.default_rng(size)
+    values = np.where(rng.random(size) < common, 0.0, np.round(rng.normal(size=size), 3))
+    frame = spark.createDataFrame([("k", float(v)) for v in values], "k string, v double").repartition(4)
+    got = exact_quantiles(frame, ["k"], "v", {"a": 0.005, "b": 0.5, "c": 0.995}).first()
+    assert (got.a, got.b, got.c) == pytest.approx(tuple(np.quantile(values, [0.005, 0.5, 0.995])), abs=1e-12) and got.n == size
