@@ -45,4 +45,4 @@ def score_bucket(scored: DataFrame, score: str, pieces: int = 128) -> Column:
     a scalar subquery, so the plan stays lazy and the driver sees nothing."""
     probs = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
     cuts = scored.select(F.percentile_approx(score, probs, F.lit(1000)).alias("cuts")).scalar()
-    return F.array_position(F.sort_array(F.array_append(cuts, F.col(score))), F.col(score))
+    return F.size(F.filter(cuts, lambda c: c < F.col(score))) + 1

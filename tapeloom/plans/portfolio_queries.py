@@ -288,7 +288,7 @@ def sector_returns_q(m):
     return sector_returns(m).withColumn("r", r6("r"))
 
 
-SECTORS = ["N00", "N04", "N08", "N12", "N16"]
+SECTORS = [f"N{k:02d}" for k in range(25)]
 
 
 @query("returns_matrix", f"with {SR} select trade_date, " + ", ".join(f"round(max(r) filter (code = '{c}'), 6) + 0.0 as {c}" for c in SECTORS) + f" from sr where code in {tuple(SECTORS)} group by 1", "bars calendar")

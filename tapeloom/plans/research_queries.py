@@ -10,10 +10,10 @@ from tapeloom.operators import evaluate as ev
 from tapeloom.operators import features as feat
 from tapeloom.operators import labels as lab
 from tapeloom.operators import universe as uni
-from tapeloom.plans.feature_queries import PRICE, W, shown
+from tapeloom.plans.feature_queries import ALL_FEATURES_SQL, all_features, shown
 from tapeloom.plans.registry import query
 
-PRICE_FEATS = list(feat.PRICE.columns)
+EVALUATED = list(feat.FEATURES)
 
 GRID = """grid as (select t.code, c.trade_date, c.day_idx, b.open, b.high, b.low, b.close, b.volume
   from (select distinct code from bars) t cross join calendar c left join bars b using (code, trade_date))"""
@@ -82,13 +82,13 @@ def month_windows(m):
     return cal.month_windows(span(m), 3)
 
 
-@query("dense_cube", f"""with {GRID}, x as (with {PRICE} select code, trade_date, {', '.join(f'lag({c}) over w as {c}' for c in PRICE_FEATS)} from f {W})
+@query("dense_cube", f"""with {GRID}, {ALL_FEATURES_SQL}
  select g.code, g.trade_date, g.day_idx, g.close is not null as traded, g.close,
- {', '.join(f'round(coalesce(x.{c}, 0), 6) + 0.0 as {c}' for c in PRICE_FEATS)} from grid g left join x using (code, trade_date)""", "panel calendar")
+ {', '.join(f'round(coalesce(x.{c}, 0), 6) + 0.0 as {c}' for c in EVALUATED)} from grid g left join feats x using (code, trade_date)""", "panel calendar industry news_raw")
 def dense_cube(m):
-    feats = feat.compute_features(m.bars, (feat.PRICE,))
-    cube = cal.market_cube(m.bars.select("code", "trade_date", "close"), feats, PRICE_FEATS, m.calendar)
-    return cube.select("code", "trade_date", "day_idx", "traded", "close", *[r6(c).alias(c) for c in PRICE_FEATS])
+    feats = all_features(m)
+    cube = cal.market_cube(m.bars.select("code", "trade_date", "close"), feats, EVALUATED, m.calendar)
+    return cube.select("code", "trade_date", "day_idx", "traded", "close", *[r6(c).alias(c) for c in EVALUATED])
 
 
 @query("sequence_windows", f"""with {RETURNS} select * from (select code, trade_date, day_idx,
@@ -150,51 +150,53 @@ def market_returns(m):
     return mr(m.bars, "N03").withColumn("ret", r6("ret"))
 
 
-FEATS = f"x as (with {PRICE} select code, trade_date, {', '.join(f'lag({c}) over w as {c}' for c in PRICE_FEATS)} from f {W})"
-LONG = f"""{RETURNS}, {forward_sql(5)}, {FEATS}, long as (select * from (unpivot (select code, trade_date, fwd, {', '.join(PRICE_FEATS)}
-  from x join fwd using (code, trade_date)) on {', '.join(PRICE_FEATS)} into name feature value value))"""
+FEATS = f"{ALL_FEATURES_SQL}, x as (select code, trade_date, {', '.join(f'cast({c} as double) as {c}' for c in EVALUATED)} from feats)"
+LONG = f"""{RETURNS}, {forward_sql(5)}, {FEATS}, long as (select * from (unpivot (select code, trade_date, fwd, {', '.join(EVALUATED)}
+  from x join fwd using (code, trade_date)) on {', '.join(EVALUATED)} into name feature value value))"""
 CORR = """select feature, round(coalesce(avg(c), 0), 6) + 0.0 as {out} from (select feature, trade_date,
   case when count(*) >= 5 and count(*) * stddev_pop({v}) * stddev_pop({f}) > 1e-12 then corr({v}, {f}) end as c from {src} group by 1, 2) group by 1"""
 
 
-def price_feats(m):
-    return feat.compute_features(m.bars, (feat.PRICE,))
+def evaluated_feats(m):
+    return all_features(m)
 
 
-@query("feature_ic", f"with {LONG} " + CORR.format(out="ic", v="value", f="fwd", src="long"), "panel calendar")
+@query("feature_ic", f"with {LONG} " + CORR.format(out="ic", v="value", f="fwd", src="long"), "panel calendar industry news_raw")
 def feature_ic(m):
-    return ev.daily_correlation(price_feats(m), lab.forward_returns(returns(m), 5), PRICE_FEATS).withColumn("ic", r6("ic"))
+    return ev.daily_correlation(evaluated_feats(m), lab.forward_returns(returns(m), 5), EVALUATED).withColumn("ic", r6("ic"))
 
 
-RANKS = """, ranked as (select feature, trade_date, rank() over (partition by feature, trade_date order by value)
+# Values that differ by rounding noise alone are ties.
+RANKS = """, even as (select * replace (round(value, 9) as value) from long), ranked as (select feature, trade_date, rank() over (partition by feature, trade_date order by value)
    + (count(*) over (partition by feature, trade_date, value) - 1) / 2.0 as rv, rank() over (partition by feature, trade_date order by fwd)
-   + (count(*) over (partition by feature, trade_date, fwd) - 1) / 2.0 as rf from long) """
+   + (count(*) over (partition by feature, trade_date, fwd) - 1) / 2.0 as rf from even) """
 
 
-@query("feature_rank_ic", f"with {LONG}{RANKS}" + CORR.format(out="rank_ic", v="rv", f="rf", src="ranked"), "panel calendar")
+@query("feature_rank_ic", f"with {LONG}{RANKS}" + CORR.format(out="rank_ic", v="rv", f="rf", src="ranked"), "panel calendar industry news_raw")
 def feature_rank_ic(m):
-    out = ev.daily_correlation(price_feats(m), lab.forward_returns(returns(m), 5), PRICE_FEATS, rank=True)
+    even = evaluated_feats(m).withColumns({c: F.round(c, 9) for c in EVALUATED})
+    out = ev.daily_correlation(even, lab.forward_returns(returns(m), 5), EVALUATED, rank=True)
     return out.withColumn("rank_ic", r6("rank_ic"))
 
 
-UNPIVOT = f"{FEATS}, long as (select * from (unpivot (select {', '.join(PRICE_FEATS)} from x) on {', '.join(PRICE_FEATS)} into name feature value value))"
+UNPIVOT = f"{FEATS}, long as (select * from (unpivot (select {', '.join(EVALUATED)} from x) on {', '.join(EVALUATED)} into name feature value value))"
 
 
 @query("feature_entropy", f"""with {UNPIVOT}, e as (select feature, min(value) as lo, max(value) as hi from long group by 1),
   b as (select feature, least(floor((value - lo) / (hi - lo) * 20), 19) as bin, count(*) as n from long join e using (feature) group by 1, 2),
-  p as (select feature, n / sum(n) over (partition by feature) as p from b) select feature, round(-sum(p * ln(p)), 6) as entropy from p group by 1""", "panel")
+  p as (select feature, n / sum(n) over (partition by feature) as p from b) select feature, round(-sum(p * ln(p)), 6) as entropy from p group by 1""", "panel industry news_raw")
 def feature_entropy(m):
-    return ev.histogram_entropy(price_feats(m), PRICE_FEATS).withColumn("entropy", r6("entropy"))
+    return ev.histogram_entropy(evaluated_feats(m), EVALUATED).withColumn("entropy", r6("entropy"))
 
 
 @query("feature_dispersion", f"""with {UNPIVOT} select feature, round(stddev_pop(value) / (abs(avg(value)) + 1e-8), 4) as cv,
-  round(abs(avg(value)), 6) as abs_mean from long group by 1""", "panel")
+  round(abs(avg(value)), 6) as abs_mean from long group by 1""", "panel industry news_raw")
 def feature_dispersion(m):
-    d = ev.dispersion(price_feats(m), PRICE_FEATS)
+    d = ev.dispersion(evaluated_feats(m), EVALUATED)
     return d.select("feature", r6("cv", 4).alias("cv"), r6("abs_mean").alias("abs_mean"))
 
 
-@query("feature_top_n", f"with {LONG}, r as (" + CORR.format(out="ic", v="value", f="fwd", src="long") + ") select feature, ic from r order by abs(ic) desc, feature limit 3", "panel calendar")
+@query("feature_top_n", f"with {LONG}, r as (" + CORR.format(out="ic", v="value", f="fwd", src="long") + ") select feature, ic from r order by abs(ic) desc, feature limit 3", "panel calendar industry news_raw")
 def feature_top_n(m):
     return ev.top_features(feature_ic(m).withColumn("epoch", F.lit(1)), 3, "ic").select("feature", "ic")
 
