@@ -479,7 +479,7 @@ def stage_ok_counts(m):
 
 @query("rows_gate", "select trade_date, coalesce(n, 0) as n, coalesce(n, 0) >= 24 as ok from (select unnest(generate_series(date '2000-01-03', date '2000-03-27', interval 1 day))::date as trade_date) left join (select trade_date, count(*) as n from bars group by 1) using (trade_date)", "bars")
 def rows_gate(m):
-    days = m.bars.agg(F.lit(1)).select(F.explode(F.sequence(F.lit("2000-01-03").cast("date"), F.lit("2000-03-27").cast("date"))).alias("trade_date"))
+    days = m.spark.range(1).select(F.explode(F.sequence(F.lit("2000-01-03").cast("date"), F.lit("2000-03-27").cast("date"))).alias("trade_date"))
     return ops.rows_gate(m.bars, days, 24)
 
 
