@@ -73,11 +73,13 @@ def stream_drop_repeats(m):
  from b window v as (partition by code order by trade_date rows unbounded preceding)""", "bars")
 def stream_recursive_indicators(m):
     folder = scratch_dir(m.spark, "bars")
-    # one file per year of bars, taken in order, so that state crosses micro-batches
-    yearly = m.bars.select("code", "trade_date", "close").withColumn("y", F.year("trade_date"))
-    yearly.where("y <= 1998").drop("y").coalesce(1).write.mode("append").parquet(folder)
-    yearly.where("y > 1998").drop("y").coalesce(1).write.mode("append").parquet(folder)
-    stream = jobs.read_files(m.spark, folder, m.bars.select("code", "trade_date", "close").schema, files_per_batch=1)
+    # two halves of the calendar, each written by several tasks and then read as one micro-batch, so
+    # that state crosses batches: files are taken oldest first, and a half has no more than a batch takes
+    bars, files = m.bars.select("code", "trade_date", "close"), 4
+    middle = m.calendar.select(F.expr("date_add(min(trade_date), int(datediff(max(trade_date), min(trade_date)) / 2))")).scalar()
+    for half in (F.col("trade_date") <= middle, F.col("trade_date") > middle):
+        bars.where(half).repartition(files, "code").sortWithinPartitions("code", "trade_date").write.mode("append").parquet(folder)
+    stream = jobs.read_files(m.spark, folder, bars.schema, files_per_batch=files)
     out = jobs.with_rocksdb(m.spark, lambda: jobs.run_to_files(jobs.recursive_indicators(stream), "recursive"))
     return out.withColumn("ewm", r6("ewm", 3))
 
@@ -85,12 +87,9 @@ def stream_recursive_indicators(m):
 @query("stream_upsert", "select l_orderkey % 97 as k, count(*) as n from (select distinct l_orderkey, l_linenumber from lineitem) group by 1")
 def stream_upsert(m):
     """Files upserted by key through foreachBatch, then counted."""
-    from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
-
     from tapeloom.schemas import Record
 
-    rec = Record("trade_keys", ("code", "bucket"), StructType([
-        StructField("code", StringType(), False), StructField("bucket", LongType(), False), StructField("price", DoubleType()), StructField("orderkey", LongType())]))
+    rec = Record("trade_keys", ("code", "bucket"), "code string, bucket long, price double, orderkey long")
     path, check = scratch_dir(m.spark, "upsert-table"), scratch_dir(m.spark, "upsert-checkpoint")
     li = jobs.read_files(m.spark, m.folder, m.table("lineitem").schema, "lineitem.parquet")
     keyed = li.select(
