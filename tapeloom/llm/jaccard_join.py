@@ -39,6 +39,8 @@ from tapeloom.llm.common import byte_texts, staged, text_slices
 #: Odd multipliers of a window's words (fixed values, any odd numbers do), repeating for longer windows.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 CACHE_WORDS = 400_000
+#: A class weighs its n-grams in a seat, but this at least.
+LEAST_WEIGHT = 1_000
 #: n-grams that a task sees once are told with this chance, and then count as that many.
 THINNED = 4
 
@@ -158,7 +160,8 @@ def _counted(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_entries(docs: DataFrame, width: int, percent: int, hot) -> DataFrame:
-    """(gram, class, n) for the prefix of every document's set."""
+    """(gram, class, n) for the prefix of every document's set. A set so small that only its equals are
+    similar enough (with one n-gram more it is not) has no links beyond its class and no entries."""
 
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -167,7 +170,7 @@ def prefix_entries(docs: DataFrame, width: int, percent: int, hot) -> DataFrame:
             for text in byte_texts(batch):
                 found = shingles(text, width)
                 key = digest(found)
-                if len(found) and key not in seen:
+                if 100 * len(found) >= percent * (len(found) + 1) and key not in seen:
                     seen.add(key)
                     grams.append(prefix(found, percent, hot.value))
                     keys.append(key)
@@ -179,13 +182,18 @@ def prefix_entries(docs: DataFrame, width: int, percent: int, hot) -> DataFrame:
     return docs.select("text").mapInArrow(emitted, "gram long, class long, n long")
 
 
+def _weight(n: Column) -> Column:
+    """What a class adds to a seat: its n-grams, and at least as much as keeps a seat's pairs few."""
+    return F.greatest(n, F.lit(LEAST_WEIGHT))
+
+
 def open_columns(entries: DataFrame, percent: int) -> DataFrame:
     """The entries (gram, class, n, load) of columns with two classes at least whose sizes allow a link; of
-    columns with equal classes one. ``load`` is the column's sum of sizes. An entry may come twice."""
+    columns with equal classes one. ``load`` is the column's weight. An entry may come twice."""
     mark = F.xxhash64("class").bitwiseAND((1 << 40) - 1)
     columns = entries.groupBy("gram").agg(
         F.count("*").alias("d"), F.sum(mark).alias("classes"), F.min("class").alias("lo"), F.max("class").alias("hi"),
-        F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("load"),
+        F.min("n").alias("least"), F.max("n").alias("most"), F.sum(_weight(F.col("n"))).alias("load"),
     ).filter((F.col("lo") != F.col("hi")) & ((F.col("d") > 2) | (100 * F.col("least") >= percent * F.col("most"))))
     columns = columns.groupBy("d", "classes", "lo", "hi", "load").agg(F.min("gram").alias("gram")).select("gram", "load")
     return staged(entries.join(columns, "gram"), "open")
@@ -193,11 +201,12 @@ def open_columns(entries: DataFrame, percent: int) -> DataFrame:
 
 def seats(opened: DataFrame, percent: int, weight: int) -> DataFrame:
     """(seat, gram, side, class, n): every class of a column in the seats that let it meet all others it
-    may link with. A column of at most ``weight`` n-grams is one seat. Of a heavier one a seat is a pair of parts of at most ``weight`` n-grams or so, of one size band (side 2
-    where a part meets itself, else 0 and 1) or of two adjacent ones."""
+    may link with. A column of at most ``weight`` is one seat. Of a heavier one a seat is a pair of parts of
+    about ``weight`` at most, of one size band (side 2 where a part meets itself, else 0 and 1) or of two
+    adjacent ones."""
     light = opened.filter(F.col("load") <= weight).select(F.xxhash64("gram").alias("seat"), "gram", F.lit(2).alias("side"), "class", "n")
     banded = opened.filter(F.col("load") > weight).drop("load").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("long"))
-    load = banded.groupBy("gram", "band").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / weight)).cast("int").alias("k"))
+    load = banded.groupBy("gram", "band").agg(F.greatest(F.lit(1), F.ceil(F.sum(_weight(F.col("n"))) / weight)).cast("int").alias("k"))
     near = load.select("gram", F.col("band").alias("at"), F.col("k").alias("parts"))
     own = F.pmod(F.xxhash64("class", "gram"), F.col("k")).cast("int")
     home = banded.join(load, ["gram", "band"]).select("gram", "class", "n", "band", own.alias("own"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("at"))

@@ -99,7 +99,7 @@ def test_join_equals_brute_force(odd, none, docs):
     assert joined(docs) == brute_join(rows, 4, 85)
 
 
-@pytest.mark.parametrize("weight,hot,heat", [(300, 64, 2), (1_000_000, 1 << 18, 4)])
+@pytest.mark.parametrize("weight,hot,heat", [(15_000, 64, 2), (1_000_000, 1 << 18, 4)])
 def test_join_of_large_groups(spark, weight, hot, heat):
     """Hundreds of near copies, split over many parts, with a passage that all share."""
     rng = np.random.default_rng(5)
