@@ -38,7 +38,7 @@ from tapeloom.llm.common import byte_texts, staged, text_slices
 
 #: Odd multipliers of a window's words (fixed values, any odd numbers do), repeating for longer windows.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: A class weighs its n-grams in a seat, but this at least.
 LEAST_WEIGHT = 1_000
 #: n-grams that a task sees once are told with this chance, and then count as that many.
@@ -125,7 +125,7 @@ def first_scan(docs: DataFrame, width: int, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([bits is None] * len(keys)), ids, pa.array(keys, pa.int64()), pa.array(n, pa.int64()), bits or pa.nulls(len(keys), pa.binary())], ["hot", "doc_id", "key", "n", "bits"])
 
         kind = None
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, 2 << 20):
             kind = batch.column("doc_id").type
             keys, sizes, bits = [], [], []
             for text in byte_texts(batch):

@@ -27,7 +27,7 @@ from tapeloom.llm.common import byte_texts, staged, text_slices
 from tapeloom.llm.token_counts import vocabulary_bytes
 
 #: Words that a worker's cache holds between batches.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 
 class WordIds:
@@ -76,7 +76,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_ids(vocabulary)
-        for batch in text_slices(batches, 4 << 20):
+        for batch in text_slices(batches, 2 << 20):
             rows, piece, start, length, crc = [], [], [], [], []
             for row, ids in enumerate(words.encode(byte_texts(batch))):
                 ids += last

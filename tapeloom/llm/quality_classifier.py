@@ -40,12 +40,12 @@ STATISTICS = {
 }
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` without its text, with a double per statistic (named s_..)."""
-    others = [c for c in docs.columns if c != "text"]
+def text_statistics(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """``docs``, by default without its text, with a double per statistic (named s_..)."""
+    others = [c for c in docs.columns if keep_text or c != "text"]
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, 2 << 20):
             texts = [Text(t) for t in batch.column("text").to_pylist()]
             values = [pa.array([float(f(t)) for t in texts], pa.float64()) for f in STATISTICS.values()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *values], [*others, *(f"s_{s}" for s in STATISTICS)])
@@ -153,6 +153,5 @@ def keep_predicted(docs: DataFrame, labels: DataFrame, held_out: Column, thresho
     known = labels.select("doc_id").distinct()
     taught = docs.select("doc_id", "text").join(known, "doc_id", "left_semi").filter(~held_out)
     model = learn_quality(staged(text_statistics(taught), "statistics"), labels, held_out, most_rows, **fit)
-    others = {f"s_{s}" for s in STATISTICS}
-    measured = text_statistics(docs.withColumn("s_text", F.col("text")))
-    return measured.filter(model.score() >= threshold).withColumnRenamed("s_text", "text").drop(*others).select(*docs.columns)
+    measured = text_statistics(docs, keep_text=True)
+    return measured.filter(model.score() >= threshold).select(*docs.columns)
