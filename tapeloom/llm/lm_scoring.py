@@ -2,9 +2,10 @@
 
 Both models are learned from all training texts by counting on Spark: words for the base line,
 byte windows of ``ORDER + 1`` for the trie (each text has ORDER start bytes before it and an end
-byte behind it, so counts of shorter contexts are sums of these). The trie keeps what occurs
-``t`` times or more, ``t`` being the least count with which every order holds at most ``nodes``
-entries: that bounds what passes the driver and what is broadcast, whatever the corpus.
+byte behind it, so counts of shorter contexts are sums of these). All counts are kept, whatever
+their number. Up to ``nodes`` distinct windows they are broadcast as one trie; beyond, only the costs
+of the most frequent windows are, and a text's other windows are joined with theirs, which
+``window_costs`` takes from the tables of all orders. Both ways give the same scores.
 
 PPM takes the longest known context. A symbol seen there costs its share of count + escapes
 (method C: as many escapes as distinct symbols); any other symbol pays the escape and is looked
@@ -81,7 +82,45 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(n, first)
 
 
-class ByteTrie:
+class WindowTable:
+    """The costs of windows in an open-addressing table, at most half full."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
+        self.slots, self.values = np.full(1 << self.bits, _EMPTY), np.zeros(1 << self.bits)
+        at, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = self.slots[at[todo]] == _EMPTY
+            place, one = np.unique(at[todo][free], return_index=True)
+            put = todo[free][one]
+            self.slots[place], self.values[place] = keys[put], values[put]
+            todo = todo[self.slots[at[todo]] != keys[todo]]
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cost of each window, 0 where the table has none, and which those are."""
+        out, at = np.empty(len(keys)), self._slot(keys)
+        found = self.slots[at]
+        out[:] = self.values[at]
+        odd = np.flatnonzero(found != keys)
+        at = at[odd]
+        missed = []
+        while len(odd):
+            gone = self.slots[at] == _EMPTY
+            missed.append(odd[gone])
+            odd, at = odd[~gone], (at[~gone] + 1) & ((1 << self.bits) - 1)
+            hit = self.slots[at] == keys[odd]
+            out[odd[hit]] = self.values[at[hit]]
+            odd, at = odd[~hit], at[~hit]
+        missed = np.concatenate(missed) if missed else np.zeros(0, np.int64)
+        out[missed] = 0
+        return out, missed
+
+
+class ByteTrie(WindowTable):
     """The counts of every order, and what scoring needs per context.
 
     For the context h of order k + 1 and its suffix b of order k: ``below[k + 1]`` is the log10 of b's
@@ -113,44 +152,18 @@ class ByteTrie:
             self.escape_below.append(np.where(d > 0, np.log10(np.maximum(d, 1)) - np.log10(np.maximum(t + d, 1)), 0.0))
         top = len(self.entries) - 1
         at = np.searchsorted(self.contexts[top], self.entries[top] >> np.uint64(8))
-        self._table(self.entries[top], self.logs[top] - np.log10(np.maximum(self.total[top] + self.distinct[top], 1))[at])
+        super().__init__(self.entries[top], self.logs[top] - np.log10(np.maximum(self.total[top] + self.distinct[top], 1))[at])
         self.none = -np.log10(256 - (self.distinct[0][0] if len(self.distinct[0]) else 0))
 
-    def _table(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """An open-addressing table of the longest windows, at most half full."""
-        self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
-        self.slots, self.values = np.full(1 << self.bits, _EMPTY), np.zeros(1 << self.bits)
-        at, todo = self._slot(keys), np.arange(len(keys))
-        while len(todo):
-            free = self.slots[at[todo]] == _EMPTY
-            place, one = np.unique(at[todo][free], return_index=True)
-            put = todo[free][one]
-            self.slots[place], self.values[place] = keys[put], values[put]
-            todo = todo[self.slots[at[todo]] != keys[todo]]
-            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out, missed = super().look_up(keys)
+        if len(missed):
+            out[missed] = self._escaped(keys[missed])
+        return out, missed[:0]
 
     def costs(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each window's symbol after its context."""
-        out, at = np.empty(len(keys)), self._slot(keys)
-        found = self.slots[at]
-        out[:] = self.values[at]
-        odd = np.flatnonzero(found != keys)
-        at = at[odd]
-        missed = []
-        while len(odd):
-            gone = self.slots[at] == _EMPTY
-            missed.append(odd[gone])
-            odd, at = odd[~gone], (at[~gone] + 1) & ((1 << self.bits) - 1)
-            hit = self.slots[at] == keys[odd]
-            out[odd[hit]] = self.values[at[hit]]
-            odd, at = odd[~hit], at[~hit]
-        missed = np.concatenate(missed) if missed else np.zeros(0, np.int64)
-        if len(missed):
-            out[missed] = self._escaped(keys[missed])
-        return out
+        return self.look_up(keys)[0]
 
     def _escaped(self, keys: np.ndarray) -> np.ndarray:
         out, above = np.zeros(len(keys)), np.full(len(keys), -1)  # above: the known context one order up
@@ -183,23 +196,93 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def learn_trie(docs: DataFrame, nodes: int = 1 << 20) -> ByteTrie:
-    """The trie of all texts in ``docs``, at most ``nodes`` entries per order."""
+def order_counts(docs: DataFrame) -> list[DataFrame]:
+    """(window, n) of every order over all texts, shortest context first."""
     orders = [staged(window_counts(docs), "windows")]
     for k in range(ORDER, 0, -1):
         orders.insert(0, orders[0].groupBy(F.col("window").bitwiseAND((1 << (8 * k)) - 1).alias("window")).agg(F.sum("n").alias("n")))
-    least = 1
-    for counts in orders[1:]:  # order 0 has 256 entries at most
-        by_count = counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("entries")).orderBy(F.desc("n")).collect()
-        held = np.cumsum([r.entries for r in by_count])
-        if len(held) and held[-1] > nodes:
-            least = max(least, by_count[int(np.searchsorted(held, nodes, side="right"))].n + 1)
+    return orders
+
+
+def least_count(counts: DataFrame, nodes: int) -> int:
+    """The least count that at most ``nodes`` windows have; 1 if these are all."""
+    by_count = counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("entries")).orderBy(F.desc("n")).collect()
+    held = np.cumsum([r.entries for r in by_count])
+    return by_count[int(np.searchsorted(held, nodes, side="right"))].n + 1 if len(held) and held[-1] > nodes else 1
+
+
+def trie_of(orders: list[DataFrame], least: int = 1) -> ByteTrie:
     kept = [c.filter(F.col("n") >= least).toArrow() for c in orders]
     keys = [np.asarray(t.column("window")).astype(np.uint64) for t in kept]
     order = [np.argsort(k) for k in keys]
     return ByteTrie([k[o] for k, o in zip(keys, order)], [np.asarray(t.column("n")).astype(np.int64)[o] for t, o in zip(kept, order)])
 
 
+def learn_trie(docs: DataFrame, nodes: int = 1 << 20) -> ByteTrie:
+    """A sketch of the model in at most ``nodes`` entries per order; the whole model if it fits."""
+    orders = order_counts(docs)
+    return trie_of(orders, max(least_count(c, nodes) for c in orders[1:]))  # order 0 has 256 entries at most
+
+
+def _suffix(column: str, size: int) -> Column:
+    return F.col(column).bitwiseAND((1 << (8 * size)) - 1)
+
+
+def _contexts(counts: DataFrame) -> DataFrame:
+    return counts.groupBy(F.shiftrightunsigned("window", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("distinct"))
+
+
+def known_costs(counts: DataFrame) -> DataFrame:
+    """(window, n, cost) of all windows of the longest order."""
+    base = _contexts(counts).select("context", F.log10(F.col("total") + F.col("distinct")).alias("base"))
+    return counts.withColumn("context", F.shiftrightunsigned("window", 8)).join(base, "context").select("window", "n", (F.log10("n") - F.col("base")).alias("cost"))
+
+
+def context_costs(orders: list[DataFrame], k: int) -> DataFrame:
+    """(context, base, escape, below, escape_below) of order ``k``: the table of what ByteTrie knows per context."""
+    base = F.log10(F.col("total") + F.col("distinct"))
+    if k == 0:
+        none = F.lit(None).cast("double")
+        return _contexts(orders[0]).select("context", base.alias("base"), (F.log10("distinct") - base).alias("escape"), none.alias("below"), none.alias("escape_below"))
+    shorter = orders[k - 1].select(F.col("window").alias("suffix"), F.col("n").alias("same"))
+    own = orders[k].withColumn("suffix", _suffix("window", k)).join(shorter, "suffix").groupBy(F.shiftrightunsigned("window", 8).alias("context")).agg(
+        F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum("same").alias("taken"),
+    )
+    after = _contexts(orders[k - 1]).select(F.col("context").alias("suffix"), F.col("total").alias("whole"), F.col("distinct").alias("symbols"))
+    left = F.col("symbols") - F.col("distinct")
+    below = F.log10(F.greatest(F.col("whole") - F.col("taken") + left, F.lit(1)))
+    return own.withColumn("suffix", _suffix("context", k - 1)).join(after, "suffix").select(
+        "context", base.alias("base"), (F.log10("distinct") - base).alias("escape"), below.alias("below"),
+        F.when(left > 0, F.log10(left) - below).otherwise(0.0).alias("escape_below"),
+    )
+
+
+def window_costs(asked: DataFrame, known: DataFrame, orders: list[DataFrame]) -> DataFrame:
+    """(window, cost) of the distinct windows ``asked``, by joins with all counts of every order.
+
+    A key of a shuffled join has 65,536 windows at most, since they differ in two bytes only; what
+    would have more (contexts of two bytes, windows of two) are tables of 65,536 rows at most, and broadcast.
+    """
+    first = staged(asked.join(known.select("window", "cost"), "window", "left"), "asked")
+    orders = [*[staged(c, "order") for c in orders[:-1]], orders[-1]]
+    none = F.lit(None).cast("double")
+    walk = first.filter(F.col("cost").isNull()).select("window", F.lit(0.0).alias("cost"), none.alias("above"), none.alias("escape_above"), F.lit(False).alias("done"))
+    for k in range(ORDER, -1, -1):
+        entries = orders[k].select(F.col("window").alias("key"), F.log10("n").alias("hit"))
+        contexts = context_costs(orders, k)
+        walk = walk.withColumn("key", _suffix("window", k + 1)).withColumn("context", F.shiftrightunsigned("key", 8))
+        # none of these windows is known in the longest order
+        walk = walk.withColumn("hit", none) if k == ORDER else walk.join(F.broadcast(entries) if k < 2 else entries, "key", "left")
+        walk = walk.join(F.broadcast(contexts) if k < 3 else contexts, "context", "left")
+        step = F.when(F.col("hit").isNotNull(), F.col("hit") - F.coalesce("above", "base")).otherwise(F.coalesce("escape_above", "escape", F.lit(0.0)))
+        walk = walk.select(
+            "window", (F.col("cost") + F.when(F.col("done"), 0.0).otherwise(step)).alias("cost"), F.col("below").alias("above"),
+            F.col("escape_below").alias("escape_above"), (F.col("done") | F.col("hit").isNotNull()).alias("done"),
+        )
+    rest = F.when(F.col("done"), 0.0).otherwise(-F.log10(F.lit(float(256 - orders[0].count()))))
+    return first.filter(F.col("cost").isNotNull()).unionByName(walk.select("window", (F.col("cost") + rest).alias("cost")))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts, lower-cased A-Z; summed per task before the shuffle."""
 
@@ -221,6 +304,15 @@ def _pairs(seen: Counter) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
 
+def _per_text(keys: np.ndarray, starts: np.ndarray, missed: np.ndarray) -> pa.ListArray:
+    """The distinct windows among ``missed`` of each text with how often it has them."""
+    text = np.searchsorted(starts, missed, side="right") - 1
+    both, times = np.unique((text.astype(np.uint64) << np.uint64(8 * (ORDER + 1))) | keys[missed], return_counts=True)
+    offsets = np.searchsorted(both >> np.uint64(8 * (ORDER + 1)), np.arange(len(starts) + 1).astype(np.uint64))
+    window = (both & np.uint64((1 << (8 * (ORDER + 1))) - 1)).astype(np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(window), pa.array(times, pa.int64())], ["window", "times"]))
+
+
 _WORKER: dict[int, tuple] = {}
 
 
@@ -245,7 +337,14 @@ def score_documents(docs: DataFrame, held_out: Column, frequent: int = 1 << 18,
     """
     spark = docs.sparkSession
     train = docs.filter(~held_out)
-    trie = spark.sparkContext.broadcast(learn_trie(train, nodes))
+    orders = order_counts(train)
+    least = least_count(orders[-1], nodes)  # no order has more windows than the longest
+    if least == 1:
+        trie = spark.sparkContext.broadcast(trie_of(orders))
+    else:
+        priced = staged(known_costs(orders[-1]), "costs")
+        often = priced.filter(F.col("n") >= least).select("window", "cost").toArrow()
+        trie = spark.sparkContext.broadcast(WindowTable(np.asarray(often.column("window")).astype(np.uint64), np.asarray(often.column("cost"))))
     counts = staged(word_counts(train), "words")
     told, ends = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first(), train.count()
     tokens, distinct = told.n + ends, told.v + (ends > 0)
@@ -258,7 +357,8 @@ def score_documents(docs: DataFrame, held_out: Column, frequent: int = 1 << 18,
         for batch in text_slices(batches, 1 << 20):
             texts = byte_texts(batch)
             keys, starts = windows(texts)
-            score = np.add.reduceat(model.costs(keys), starts)
+            costs, missed = model.look_up(keys)
+            score = np.add.reduceat(costs, starts)
             n_tokens, n_known, logs, rare = [], [], [], []
             for text in texts:
                 words = text.lower().split()
@@ -269,16 +369,21 @@ def score_documents(docs: DataFrame, held_out: Column, frequent: int = 1 << 18,
                 logs.append(float(np.log10(n + 1).sum()) + end_log)
                 rare.append([{"word": w, "times": k} for w, k in few.items()])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(logs, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare"],
+                [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(logs, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))), _per_text(keys, starts, missed)],
+                ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare", "windows"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out.alias("held_out"), "text")
-    told = staged(read.mapInArrow(scored, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<struct<word: binary, times: long>>"), "scored")
+    told = staged(read.mapInArrow(scored, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<struct<word: binary, times: long>>, windows array<struct<window: long, times: long>>"), "scored")
     rare = told.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(counts, "word")
     more = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
-    whole = told.drop("rare").join(more, "row", "left")
+    whole = told.drop("rare", "windows").join(more, "row", "left")
+    if least > 1:
+        odd = told.select("row", F.explode("windows").alias("w")).select("row", "w.window", "w.times")
+        costs = window_costs(odd.select("window").distinct(), priced, orders)
+        whole = whole.join(odd.join(costs, "window").groupBy("row").agg(F.sum(F.col("times") * F.col("cost")).alias("more_score")), "row", "left")
+        whole = whole.withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     return whole.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(unit)).alias("base_score"), "score",

@@ -401,6 +401,23 @@ def test_scores_equal_brute_force(odd, none, docs):
     assert rows_of(lm_scoring.score_documents(none, F.lit(False))) == []
 
 
+@pytest.mark.parametrize("nodes", [1, 400])
+def test_scores_are_exact_beyond_the_broadcast_windows(odd, docs, nodes):
+    """With room for few windows only, rare windows, contexts and bytes still count."""
+    for frame in (docs, odd):
+        held = fold(F.col("doc_id"), 7, 2)
+        rows = [(r.doc_id, (r.text or "").encode(), r.held) for r in frame.select("doc_id", "text", held.alias("held")).collect()]
+        ppm = BrutePPM([t for _, t, h in rows if not h], lm_scoring.ORDER)
+        want = sorted((str(i), h, len(t.split()) + 1, ppm.score(t)) for i, t, h in rows if len(t) < 3000)
+        got = rows_of(lm_scoring.score_documents(frame, held, frequent=50, nodes=nodes))
+        assert len(got) == len(rows)
+        long = collections.Counter((str(i), len(t.split()) + 1) for i, t, _ in rows if len(t) >= 3000)
+        got = sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["score"]) for r in got if not long[str(r["doc_id"]), r["n_tokens"]])
+        want = [w for w in want if not long[w[0], w[2]]]
+        assert [w[:3] for w in want] == [g[:3] for g in got]
+        assert all(math.isclose(g[3], w[3], rel_tol=1e-9) for g, w in zip(got, want))
+
+
 def test_a_bounded_trie_keeps_probabilities(docs):
     """With few nodes the costs of all 256 symbols after a context still sum to one."""
     trie = lm_scoring.learn_trie(docs, nodes=400)
