@@ -203,7 +203,8 @@ def causality_audit(
 
 
 # Features recomputed by the spot check, each from the rows before the audited day: ``k`` is
-# how many rows back a row lies from the last visible one (0, 1, 2, ...).
+# how many rows back a row lies from the last visible one (0, 1, 2, ...). Those with recursive
+# averages are taken from the fold ``s`` over the code's history.
 def _spot_expressions() -> dict[str, str]:
     def at(x, k):
         return f"max(case when k = {k} then {x} end)"
@@ -217,7 +218,17 @@ def _spot_expressions() -> dict[str, str]:
         return (f"case when count({x}) >= {need} then try_divide(avg(({x}) * ({y})) - avg({x}) * avg({y}), "
                 f"sqrt(avg(({x}) * ({x})) - avg({x}) * avg({x})) * sqrt(avg(({y}) * ({y})) - avg({y}) * avg({y}))) end")
 
+    def log_above(x, low, shift):
+        return f"case when {x} > {low} then ln({x} + {shift}) when {x} <= {low} then 0D end"
+
+    def self_z(x):
+        return f"case when {over('count', x, 60)} >= 20 then ({at(x, 0)} - {over('avg', x, 60)}) / ({over('stddev_pop', x, 60)} + 1e-9D) end"
+
+    def amount(*sizes):
+        return " + ".join(f"coalesce({at(f'buy_{s}_amount', 0)}, 0)" for s in sizes)
+
     c, v = at("close", 0), at("volume", 0)
+    hit, risen = f"r >= {LIMIT_UP!r}D", "coalesce(r > 0, false)"
     limit = f"case when r >= {LIMIT_UP!r}D then 1D else 0D end"
     return {
         "ret_1d": f"ln(try_divide({c}, {at('close', 1)}))",
@@ -240,18 +251,61 @@ def _spot_expressions() -> dict[str, str]:
         "turnover": at("turnover_rate", 0),
         "turnover_ma20": over("avg", "turnover_rate", 20),
         "inflow_5d_sum": f"try_divide({over('sum', 'net_mf_amount', 5)}, {at('circ_mv', 0)})",
-        "rsi12": "spot_rsi",
+        "pe_log": log_above(at("pe_ttm", 0), 0, 1),
+        "pb_log": log_above(at("pb", 0), 0, 1),
+        "mv_log": log_above(at("total_mv", 0), 1, 0),
+        "inflow_pct": f"try_divide({at('net_mf_amount', 0)}, {at('total_mv', 0)})",
+        "big_ratio": f"try_divide({amount('lg', 'elg')}, {amount('sm', 'md', 'lg', 'elg')})",
+        "days_since_limit": f"least(coalesce(min(case when {hit} then k end), 60), 60) / 60",
+        "consecutive_up": f"least(coalesce(min(case when not {risen} then k end), count(1)), 10) / 10",
+        "is_yi_zi": at(f"case when {hit} and open = close and high = close and low = close then 1D else 0D end", 0),
+        "circ_mv_log": log_above(at("circ_mv", 0), 1, 0),
+        "circ_mv_z_self60": self_z("circ_mv"),
+        "turnover_self_z60": self_z("turnover_rate"),
+        "vola_ratio_20_60": f"case when {over('count', 'r', 20)} >= 5 and {over('count', 'r', 60)} >= 20 then {over('stddev_pop', 'r', 20)} / ({over('stddev_pop', 'r', 60)} + 1e-9D) end",
+        "price_vol_match5": f"ln(try_divide({c}, {at('close', 5)})) * tanh(try_divide({v} * 5, {over('sum', 'volume', 5)}) - 1)",
+        "rsi12": "(case when s.l = 0 and s.g > 0 then 100D else coalesce(100 - 100 / (1 + try_divide(s.g, s.l)), 50D) end) / 100 - 0.5D",
+        "macd_hist_norm": "try_divide(2 * (s.fast - s.slow - s.dea), last.c)",
+        "kdj_j": "(3 * s.k - 2 * s.d) / 100 - 0.5D",
+        "atr14_pct": "try_divide(s.atr, last.c)",
     }
 
 
+# Input rows of the fold from the code's adjusted prices ``h`` (c, h, l by date).
+_SPOT_INPUTS = """transform(h, (e, i) -> named_struct(
+  'c', e.c, 'move', e.c - get(h, i - 1).c,
+  'tr', array_max(array(e.h - e.l, abs(e.h - get(h, i - 1).c), abs(e.l - get(h, i - 1).c))),
+  'rsv', case when i >= 8 and forall(slice(h, greatest(i - 7, 1), 9), x -> x.h is not null and x.l is not null) then
+    try_divide(e.c - array_min(slice(h, greatest(i - 7, 1), 9).l), array_max(slice(h, greatest(i - 7, 1), 9).h) - array_min(slice(h, greatest(i - 7, 1), 9).l)) * 100 end))"""
+
+
+def _spot_fold() -> str:
+    """The recursive averages at the last row: a missing value keeps the average and lessens its weight."""
+    gain, loss = (f"case when e.move is not null then greatest({m}, 0D) end" for m in ("e.move", "-e.move"))
+    series = {"g": (gain, 12), "l": (loss, 12), "fast": ("e.c", 6.5), "slow": ("e.c", 13.5), "k": ("e.rsv", 3), "atr": ("e.tr", 14)}
+    start, step, new = [], [], {}
+    for y, (x, n) in series.items():
+        a = repr(1 / n) + "D"
+        new[y] = f"(case when {x} is null then s.{y} when s.{y} is null then {x} else (s.w_{y} * s.{y} + {a} * ({x})) / (s.w_{y} + {a}) end)"
+        start += [f"'{y}', cast(null as double), 'w_{y}', 1D"]
+        step += [f"'{y}', {new[y]}, 'w_{y}', case when {x} is null then s.w_{y} else 1D end * (1D - {a})"]
+    for y, x, n in (("dea", f"({new['fast']} - {new['slow']})", 5), ("d", new["k"], 3)):  # without gaps once begun
+        start += [f"'{y}', cast(null as double)"]
+        step += [f"'{y}', coalesce(s.{y} + ({x} - s.{y}) / {n}D, {x})"]
+    return f"aggregate({_SPOT_INPUTS}, named_struct({', '.join(start)}), (s, e) -> named_struct({', '.join(step)}))"
+
+
+SPOT_RECURSIVE = ("rsi12", "macd_hist_norm", "kdj_j", "atr14_pct")
+
+
 SPOT_WARMUP = 61
 
 
 def spot_check(panel: DataFrame, feats: DataFrame, trade_date, tolerance: float = 1e-8) -> DataFrame:
-    """Recompute features of one day in a second way and compare.
+    """Recompute the 37 market features of one day in a second way and compare.
 
-    Windows are replaced by conditional aggregates over the age of each row, and the recursive
-    RSI by a plain fold over the code's own history (one row per date, so calendar-sized).
+    Windows are replaced by conditional aggregates over the age of each row, and recursive
+    averages by a plain fold over the code's own history (one row per date, so calendar-sized).
     Codes with fewer than 61 earlier rows are not compared.
     """
     day = F.lit(trade_date).cast("date")
@@ -260,21 +314,19 @@ def spot_check(panel: DataFrame, feats: DataFrame, trade_date, tolerance: float
         "r": f"ln(try_divide(close, {t.lag('close')}))",
         "_later": f"count(1) {t.over('rows between 1 following and unbounded following')}",
         "_last": f"max(trade_date) {t.whole}", "_seen": f"count(1) {t.whole}",
-        "d": f"close_qfq - {t.lag('close_qfq')}",
     })
     past = past.where((F.col("_last") == day) & (F.col("_seen") > SPOT_WARMUP) & (F.col("_later") >= 1))
     past = past.withColumn("k", F.col("_later") - 1)
     exprs = _spot_expressions()
-    recursion = ("aggregate(array_sort(collect_list(case when d is not null then struct(trade_date, d) end)), "
-                 "named_struct('g', cast(null as double), 'l', cast(null as double)), (s, e) -> named_struct("
-                 "'g', coalesce(s.g * 11D / 12 + greatest(e.d, 0) / 12, greatest(e.d, 0)), "
-                 "'l', coalesce(s.l * 11D / 12 + greatest(-e.d, 0) / 12, greatest(-e.d, 0))), "
-                 "s -> (case when s.l = 0 and s.g > 0 then 100D else coalesce(100 - 100 / (1 + try_divide(s.g, s.l)), 50D) end) / 100 - 0.5D)")
-    aggs = [F.expr(recursion if e == "spot_rsi" else e).alias(n) for n, e in exprs.items()]
-    expected = unpivot(past.groupBy("code").agg(*aggs), ["code"], list(exprs)).withColumnRenamed("value", "expected")
+    plain = {n: e for n, e in exprs.items() if n not in SPOT_RECURSIVE}
+    history = "array_sort(collect_list(struct(trade_date, close_qfq as c, high_qfq as h, low_qfq as l)))"
+    made = past.groupBy("code").agg(*[F.expr(e).alias(n) for n, e in plain.items()], F.expr(history).alias("h"))
+    made = made.selectExpr("code", *plain, f"{_spot_fold()} as s", "element_at(h, -1) as last")
+    made = made.selectExpr("code", *plain, *[f"{exprs[n]} as {n}" for n in SPOT_RECURSIVE])
+    expected = unpivot(made, ["code"], list(exprs)).withColumnRenamed("value", "expected")
     actual = unpivot(feats.where(F.col("trade_date") == day), ["code"], list(exprs))
     both = expected.join(actual, ["code", "feature"]).where(F.col("expected").isNotNull() & F.col("value").isNotNull())
-    limit = F.when(F.col("feature") == "rsi12", 1e-5).otherwise(tolerance)
+    limit = F.when(F.col("feature").isin(*SPOT_RECURSIVE), 1e-5).otherwise(tolerance)
     off = F.abs(F.col("value") - F.col("expected")) > limit * F.greatest(F.abs("expected"), F.lit(1.0))
     return both.groupBy("feature").agg(F.count(F.lit(1)).alias("compared"), F.count_if(off).alias("mismatches"))
 

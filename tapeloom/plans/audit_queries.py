@@ -128,8 +128,8 @@ def causality_audit(m):
     return au.causality_audit(mentioned_panel(m), 5, feat.ALL_SOURCES).select("feature", "compared", "look_ahead")
 
 
-SPOT = (feat.PRICE, feat.AVERAGES, feat.VOLUME, feat.TECHNICAL, feat.FUNDAMENTAL, feat.LIMITS, feat.SCALE, feat.PRICE_VOLUME)
-SPOT_FEATS = _feats_sql(["price", "averages", "volume", "technical", "fundamental", "limit_up", "scale", "price_volume"])
+SPOT = (feat.PRICE, feat.AVERAGES, feat.VOLUME, feat.TECHNICAL, feat.FUNDAMENTAL, feat.FLOW, feat.LIMITS, feat.SCALE, feat.PRICE_VOLUME)
+SPOT_FEATS = _feats_sql(["price", "averages", "volume", "technical", "fundamental", "money_flow", "limit_up", "scale", "price_volume"])
 SPOT_COLS = list(au._spot_expressions())
 
 

@@ -127,6 +127,23 @@ def test_future_rows_never_change_the_past(fixture):
     assert bad.where("look_ahead > 0").count() == 0
 
 
+def test_spot_check_finds_a_wrong_value_in_every_feature(fixture):
+    """Prices have gaps, so recursive averages are compared across missing rows too."""
+    sdf, _, _ = fixture
+    gaps = F.col("trade_date").isin(DAYS[20], DAYS[21], DAYS[50])
+    panel = attach_forward_adjusted(sdf.withColumns({c: F.when(~gaps, F.col(c)) for c in ("open", "high", "low", "close")}))
+    feats = features.compute_features(panel)
+    good = {r.feature: (r.compared, r.mismatches) for r in audit.spot_check(panel, feats, DAYS[85]).collect()}
+    never = {"ma60_dev"}  # its 60 rows hold a gap
+    assert set(good) == set(features.MARKET_FEATURES) - never
+    assert set(good.values()) == {(2, 0)}
+    planted = (F.col("code") == "A") & (F.col("trade_date") == DAYS[85])
+    bad = feats.withColumns({c: F.when(planted, F.col(c) + 0.001).otherwise(F.col(c)) for c in features.MARKET_FEATURES})
+    for day, n in ((DAYS[85], 1), (DAYS[84], 0)):
+        found = {r.feature: r.mismatches for r in audit.spot_check(panel, bad, day).collect()}
+        assert set(found) >= set(features.MARKET_FEATURES) - never and set(found.values()) == {n}
+
+
 def test_short_codes_are_kept_whole_when_rows_are_dropped(make):
     df = make("code string, trade_date int", *[("A", i) for i in range(10)], *[("B", i) for i in range(3)])
     got = {r.code: r["count"] for r in audit.drop_last_rows(df, 4).groupBy("code").count().collect()}
