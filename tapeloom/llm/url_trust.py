@@ -62,12 +62,13 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return pairs.filter("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def spread(seeds: DataFrame, links: DataFrame, steps: int, damping: float, label: str) -> DataFrame:
+def spread(seeds: DataFrame, links: DataFrame, tolerance: float, damping: float, label: str) -> DataFrame:
     """Personalised PageRank: (host, seed) and (src, dst, links) -> (host, rank).
 
-    ``rank = (1 - damping) * seed + damping * sum over links of rank * share``, ``steps`` times. Each
-    step's ranks are written to the shared folder, so the plan does not grow and a lost executor
-    repeats one step at most.
+    ``rank = (1 - damping) * seed + damping * sum over links of rank * share``, until no host lacks
+    ``tolerance``: ranks only grow, and what all steps to come add to all hosts together is at most
+    damping / (1 - damping) times what the last step added. Each step's ranks are written to the shared
+    folder, so the plan does not grow and a lost executor repeats one step at most.
     """
     share = links.groupBy("src").agg(F.sum("links").alias("out"))
     edges = staged(links.join(share, "src").select("src", "dst", (F.col("links") / F.col("out")).alias("share")), f"{label}-edges")
@@ -75,15 +76,19 @@ def spread(seeds: DataFrame, links: DataFrame, steps: int, damping: float, label
     rank = base.withColumnRenamed("base", "rank")
     if edges.isEmpty():
         return rank  # no step would move anything
-    for _ in range(steps):
+    whole, more = base.agg(F.sum("base")).first()[0] or 0.0, float("inf")
+    # sums of that many ranks can't be told apart any closer
+    while more * damping > (1 - damping) * max(tolerance, 1e-12 * whole):
         sent = edges.join(rank.filter("rank > 0").withColumnRenamed("host", "src"), "src")
         got = sent.groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         rank = base.join(got, "host", "full_outer").select("host", (F.coalesce("base", F.lit(0.0)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         rank = staged(rank, f"{label}-rank")
+        before, whole = whole, rank.agg(F.sum("rank")).first()[0] or 0.0
+        more = whole - before
     return rank
 
 
-def judge_urls(pages: DataFrame, rules: list[UrlRule], steps: int = 12, damping: float = 0.85, threshold: float = 0.075) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[UrlRule], tolerance: float = 1e-6, damping: float = 0.85, threshold: float = 0.075) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every row of ``pages``
     (page_id, url, html).
 
@@ -104,9 +109,9 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule], steps: int = 12, damping:
         ),
         "url-seeds",
     )
-    trust = spread(seeds.select("host", F.col("allowed").alias("seed")), links, steps, damping, "trust").withColumnRenamed("rank", "trust")
+    trust = spread(seeds.select("host", F.col("allowed").alias("seed")), links, tolerance, damping, "trust").withColumnRenamed("rank", "trust")
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
-    distrust = spread(seeds.select("host", F.col("blocked").alias("seed")), back, steps, damping, "distrust").withColumnRenamed("rank", "distrust")
+    distrust = spread(seeds.select("host", F.col("blocked").alias("seed")), back, tolerance, damping, "distrust").withColumnRenamed("rank", "distrust")
     hosts = trust.join(distrust, "host", "full_outer").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     by_method = F.when(F.col("distrust") - F.col("trust") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
     return ruled.join(hosts, "host", "left").select(

@@ -463,3 +463,14 @@ def test_distrust_flows_to_those_who_link(spark):
         k = hosts.index(r["host"])
         assert math.isclose(r["trust"], trust[k], abs_tol=1e-12) and math.isclose(r["distrust"], distrust[k], abs_tol=1e-12)
     assert [got[k]["verdict"] for k in (1, 2, 4, 5, 6)] == ["block", "block", "allow", "allow", "allow"]
+
+
+def test_trust_reaches_distant_hosts(spark):
+    """Links in a ring and a long chain: ranks are those of the linear system, not of some steps."""
+    link = lambda h: f'<a href="//{h}/p">t</a>'
+    ring = [(1, "http://good.com/1", link("a.org")), (2, "http://a.org/1", link("good.com"))]
+    chain = [(10 + k, f"http://{'start.com' if k == 0 else f'h{k}.org'}/1", link(f"h{k + 1}.org")) for k in range(15)] + [(25, "http://h15.org/1", "")]
+    frame = spark.createDataFrame(ring + chain, "page_id long, url string, html string")
+    got = {r["page_id"]: r["trust"] for r in rows_of(url_trust.judge_urls(frame, URL_RULES))}
+    assert math.isclose(got[1], 0.15 / (1 - 0.85**2), abs_tol=1e-6) and math.isclose(got[2], 0.85 * got[1], abs_tol=1e-6)
+    assert all(math.isclose(got[10 + k], 0.15 * 0.85**k, abs_tol=1e-6) for k in range(16))
