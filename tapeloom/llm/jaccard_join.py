@@ -375,15 +375,15 @@ def link_classes(kept: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("seat").applyInPandas(multiply, "class long, other long, links long")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges -> (node, root): the smallest node of each component, for nodes with an edge.
 
     Large-star gives every larger neighbour of a node to its smallest neighbour, small-star every
-    smaller one; repeated in turn they end in one star per component after few rounds.
+    smaller one; repeated in turn, until nothing changes, they end in one star per component.
     """
     edges = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

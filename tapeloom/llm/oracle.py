@@ -91,3 +91,84 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     or 100 * n_shouts > 30 * n_words or 100 * n_stutters > 30 * n_words or 100 * n_capitals > 50 * n_words or 100 * n_lettered < 60 * n_words) as kept
 from based
 """
+
+
+_CRC = "list_reduce(flatten(list_transform({0}, lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, b: case when b >= 0 then xor(a, b) else xor(a >> 1, 3988292384 * (a & 1)) end, 4294967295::bigint)"
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of a text's UTF-8 bytes, bit by bit."""
+    pairs = f"list_transform(range(1, 2 * octet_length(encode({text})), 2), lambda i: ('0x' || substr(hex(encode({text})), i::int, 2))::bigint)"
+    return f"xor({_CRC.format(pairs)}, 4294967295::bigint)"
+
+
+def merkle_sql(fan: int = 8, height: int = 9) -> str:
+    """``height`` levels hold trees of fan ** height leaves."""
+    field = "coalesce(octet_length(encode({0}::varchar))::varchar || ':' || {0}::varchar, '-')".format
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    small = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [
+        f"leaves as (select doc_id, coalesce('=' || lang, '-') as g, sha256({head} || {field('text')}) as leaf, sha256({head} || {field(small)}) as changed, {crc32_sql('doc_id::varchar')} as crc from documents)",
+        "numbered as (select *, case when crc % 3 = 0 then changed else leaf end as tampered, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by g) as total from leaves)",
+        "low_0 as (select g, pos, total, leaf as digest from numbered)",
+    ]
+
+    def tree(name: str) -> None:
+        for k in range(height):
+            ctes.append(
+                f"{name}_{k + 1} as materialized (select g, pos // {fan} as pos, (any_value(total) + {fan - 1}) // {fan} as total, sha256(string_agg(digest, '' order by pos)) as digest"
+                f" from {name}_{k} where total > 1 group by g, pos // {fan} union all select * from {name}_{k} where total = 1)"
+            )
+            # a tree that has ended has no siblings, and its node stays as it is
+            ctes.append(
+                f"{name}_side_{k} as materialized (select a.g, a.pos, a.total > 1 as rising, coalesce(string_agg(b.digest, '' order by b.pos) filter (b.pos < a.pos), '') as l,"
+                f" coalesce(string_agg(b.digest, '' order by b.pos) filter (b.pos > a.pos), '') as r from {name}_{k} a join {name}_{k} b on a.g = b.g and a.pos // {fan} = b.pos // {fan} group by all)"
+            )
+
+    tree("low")
+    ctes.append(f"named as (select '' as g, row_number() over (order by g) - 1 as pos, count(*) over () as total, digest, g as name from low_{height})")
+    ctes.append("top_0 as (select g, pos, total, digest from named)")
+    tree("top")
+    step = "select f.* exclude (pos, node, proof), case when s.rising then f.pos // {fan} else f.pos end as pos, case when s.rising then sha256(s.l || f.node || s.r) else f.node end as node, f.proof || s.l || s.r as proof from {before} f join {side} s on {key} = s.g and f.pos = s.pos"
+    ctes.append("fold_0 as (select g, doc_id, leaf, pos, tampered as node, '' as proof from numbered)")
+    for k in range(height):
+        ctes.append(f"fold_{k + 1} as materialized ({step.format(fan=fan, before=f'fold_{k}', side=f'low_side_{k}', key='f.g')})")
+    ctes.append(f"rise_0 as (select f.g, f.doc_id, f.leaf, f.node, f.proof, n.pos, n.digest as subroot from fold_{height} f join named n on f.g = n.name)")
+    for k in range(height):
+        ctes.append(f"rise_{k + 1} as materialized ({step.format(fan=fan, before=f'rise_{k}', side=f'top_side_{k}', key=chr(39) * 2)})")
+    return "with " + ",\n".join(ctes) + f"""
+select f.doc_id, f.leaf, f.subroot, t.digest as root, sha256(f.proof) as proof_sha256, f.node as folded_root, f.node = t.digest as verified
+from rise_{height} f, top_{height} t
+"""
+
+
+RESAMPLING_SQL = f"""
+with texts as (
+  select 1 as kind, doc_id, text from documents union all select 2, item_id, text from benchmark
+), split as (
+  select row_number() over () as k, kind, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+  from texts
+), occurrences as (
+  select k, kind, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) as feature from split, (select unnest([1, 2, 3]) as n)
+), features as (
+  select k, kind, feature, count(*) as n from occurrences group by all
+), buckets as (
+  select feature, {crc32_sql('feature')} % 10000 as bucket from (select distinct feature from features)
+), placed as (
+  select k, kind, bucket, sum(n)::bigint as n from features join buckets using (feature) group by all
+), counts as (
+  select bucket, coalesce(sum(n) filter (kind = 1), 0)::bigint as s, coalesce(sum(n) filter (kind = 2), 0)::bigint as t from placed group by 1
+), gains as (
+  select bucket, floor(1000 * ln((t + 1)::double * ((select sum(s) from counts) + 10000)::double / ((s + 1)::double * ((select sum(t) from counts) + 10000)::double)))::bigint as gain from counts
+), weighed as (
+  select k, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight from placed join gains using (bucket) where kind = 1 group by 1
+), scored as (
+  select doc_id, len(w) >= 20 as able, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint::double + 0.5) / 4294967296.0)))::bigint as score
+  from split left join weighed using (k) where kind = 1
+), ranked as (
+  select *, row_number() over (order by able desc, score desc, doc_id nulls last) as place from scored
+)
+select doc_id, n_features, weight, score, case when able and place <= (select count(*) filter (able) * 5 // 100 from scored) then place end::bigint as rank from ranked
+"""

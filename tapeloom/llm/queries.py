@@ -13,11 +13,14 @@ from tapeloom.llm.fingerprints import fingerprint_documents
 from tapeloom.llm.jaccard_join import jaccard_join
 from tapeloom.llm.language_id import languages
 from tapeloom.llm.lm_scoring import score_documents
+from tapeloom.llm.merkle import merkle_manifest
 from tapeloom.llm.mixing import mix_sources
-from tapeloom.llm.oracle import MIXING_SQL, QUALITY_SQL, url_trust_sql
+from tapeloom.llm.oracle import MIXING_SQL, QUALITY_SQL, RESAMPLING_SQL, merkle_sql, url_trust_sql
 from tapeloom.llm.packing import pack_documents
 from tapeloom.llm.quality_classifier import score_quality
 from tapeloom.llm.quality_rules import judge_quality
+from tapeloom.llm.resampling import resample
+from tapeloom.llm.simhash import simhash_components
 from tapeloom.llm.token_counts import count_tokens
 from tapeloom.llm.url_trust import UrlRule, judge_urls
 
@@ -104,6 +107,26 @@ def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(documents(spark, folder), labels, fold(F.col("doc_id"), 4, 2), threshold=0.7)
 
 
+@query
+def op11_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_components(documents(spark, folder), width=4, most=4)
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle_manifest(documents(spark, folder))
+
+
+ORACLES["op12_merkle_manifest"] = merkle_sql()
+
+
+@query
+def op13_target_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resample(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+ORACLES["op13_target_resampling"] = RESAMPLING_SQL
+
 QUERIES["pipeline"] = run
 if ORACLE_SQL:
     ORACLES["pipeline"] = ORACLE_SQL
