@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.operators.calendar import at_offset
-
 LOCK_TOLERANCE = 1e-4
 
 
-def hit_labels(
+def with_hit_labels(
     grid: DataFrame, calendar: DataFrame, buy: int = 1, sell: int = 2, threshold: float = 0.05,
     exclude_locked: bool = True, use_low: bool = True,
 ) -> DataFrame:
-    """Label of day t: 1 when open[t+sell]/open[t+buy]-1 reaches the threshold, 0 when not, and
+    """``grid`` with the label of day t: 1 when open[t+sell]/open[t+buy]-1 reaches the threshold, 0 when not, and
     -1 when a price is missing, the buy day is limit-locked, or t is too near the end.
 
     ``use_low`` recognises a locked day by open = high = low, otherwise by open = high alone.
     """
-    right = grid.select("code", "day_idx", "open", "high", "low")
-    df = at_offset(grid, right, buy, {"open": "buy_open", "high": "buy_high", "low": "buy_low"})
-    df = at_offset(df, right, sell, {"open": "sell_open"})
+    later = Window.partitionBy("code").orderBy("day_idx")  # the grid has every day, so a lead is an offset
+    df = grid.withColumns({
+        "buy_open": F.lead("open", buy).over(later), "buy_high": F.lead("high", buy).over(later),
+        "buy_low": F.lead("low", buy).over(later), "sell_open": F.lead("open", sell).over(later),
+    })
     n_days = calendar.select(F.max("day_idx").alias("m")).scalar() + 1
     near_high = F.abs(F.col("buy_open") - F.col("buy_high")) < LOCK_TOLERANCE
     near_low = F.coalesce(F.abs(F.col("buy_open") - F.col("buy_low")) < LOCK_TOLERANCE, F.lit(False))
@@ -32,7 +32,11 @@ def hit_labels(
         usable = usable & ~locked
     gain = F.try_divide(F.col("sell_open"), F.col("buy_open")) - 1
     label = F.when(F.coalesce(usable, F.lit(False)), F.when(gain >= threshold, 1).otherwise(0)).otherwise(-1)
-    return df.select("code", "trade_date", "day_idx", label.cast("int").alias("label"))
+    return df.withColumn("label", label.cast("int")).drop("buy_open", "buy_high", "buy_low", "sell_open")
+
+
+def hit_labels(grid: DataFrame, calendar: DataFrame, **how) -> DataFrame:
+    return with_hit_labels(grid, calendar, **how).select("code", "trade_date", "day_idx", "label")
 
 
 def label_stats(labels: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapeloom.operators.calendar import inclusive
 from tapeloom.sources.trades import bars_from_trades, trade_sequence, week_start
 
 EPOCH = "1995-01-02"
@@ -33,8 +34,13 @@ def _basic() -> dict[str, F.Column]:
 class Market:
     """Lazy market tables over one data folder; each property is only a plan."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, start=None, end=None):
+        self.spark, self.folder, self.start, self.end = spark, folder, start, end
+
+    def between(self, start=None, end=None) -> Market:
+        """The market of an inclusive range of trade dates. The bounds are put on the trades' own date, so they
+        reach the scan; a trade date is a Monday and stands for the six days after it too."""
+        return Market(self.spark, self.folder, start, end)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -43,17 +49,22 @@ class Market:
     def trades(self) -> DataFrame:
         sup = self.table("supplier").select("s_suppkey", "s_nationkey")
         li = self.table("lineitem")
+        if self.start is not None:
+            li = li.where(F.col("l_shipdate") >= F.lit(self.start).cast("date"))
+        if self.end is not None:
+            li = li.where(F.col("l_shipdate") < F.date_add(F.lit(self.end).cast("date"), 7))
         return li.join(sup, li.l_suppkey == sup.s_suppkey).withColumn("code", nation_code("s_nationkey"))
 
     def _bars(self, more=None) -> DataFrame:
         seq = trade_sequence(
             "l_shipdate", [("l_orderkey", 13), ("l_linenumber", 2)], [("l_partkey", 11), ("l_suppkey", 11)]
         )
-        return bars_from_trades(
+        bars = bars_from_trades(
             self.trades, F.col("code"), week_start(F.col("l_shipdate")),
             F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), F.col("l_extendedprice"),
             F.expr(seq), more,
         )
+        return inclusive(bars, self.start, self.end)
 
     @cached_property
     def bars(self) -> DataFrame:
@@ -78,9 +89,10 @@ class Market:
             "code", week_start(F.col("l_shipdate")).alias("trade_date"),
             *[c.alias(n) for n, c in self._flow_terms().items()],
         )
-        return keyed.groupBy("code", "trade_date").agg(
+        flow = keyed.groupBy("code", "trade_date").agg(
             *[F.round(F.sum(n), 2).alias(n) for n in self._flow_terms()]
         )
+        return inclusive(flow, self.start, self.end)
 
     @cached_property
     def adj_factor(self) -> DataFrame:
