@@ -55,38 +55,32 @@ def with_siblings(nodes: DataFrame, fan: int) -> DataFrame:
 
 
 def parents(nodes: DataFrame, fan: int) -> DataFrame:
-    """The next level: a row per run, hashed by its first child."""
+    """The next level: a row per run, hashed by its first child. The one node of a group rises as it is."""
     first = with_siblings(nodes, fan).filter(F.col("pos") % fan == 0)
-    return first.select("g", F.col("parent").alias("pos"), F.ceil(F.col("total") / fan).alias("total"), digest(F.col("digest"), F.col("right")).alias("digest"))
+    hashed = F.when(F.col("total") > 1, digest(F.col("digest"), F.col("right"))).otherwise(F.col("digest"))
+    return first.select("g", F.col("parent").alias("pos"), F.ceil(F.col("total") / fan).alias("total"), hashed.alias("digest"))
 
 
-def climb(nodes: DataFrame, fan: int, label: str) -> tuple[list[DataFrame], DataFrame]:
-    """All levels of the trees above ``nodes`` (g, pos, total, digest), from it upwards, and the roots (g, root). A
-    group leaves when one node of it remains."""
+def climb(nodes: DataFrame, fan: int, label: str) -> list[DataFrame]:
+    """All levels of the trees above ``nodes`` (g, pos, total, digest), from it upwards to one node per group."""
     size = nodes.agg(F.max("total").alias("most")).first().most or 0
     levels = [nodes]
     while size > 1:
         size = -(-size // fan)
-        levels.append(staged(parents(levels[-1].filter("total > 1"), fan), label))
-    roots = [level.filter("total = 1").select("g", F.col("digest").alias("root")) for level in levels]
-    for more in roots[1:]:
-        roots[0] = roots[0].unionByName(more)
-    return levels, staged(roots[0], f"{label}_roots")
+        levels.append(staged(parents(levels[-1], fan), label))
+    return levels
 
 
 def descend(levels: list[DataFrame], above: DataFrame, fan: int) -> DataFrame:
     """The rows of the lowest level with the columns of ``above`` (g, path, ..) for their group and ``path``, the
-    siblings (left, right) of them and of all nodes over them, in ``above``'s path last."""
+    siblings (left, right) of them and of all nodes over them, ``above``'s path last."""
     more = [c for c in above.columns if c not in ("g", "path")]
-    paths = None
-    for level in reversed(levels):
-        tops = level.filter("total = 1").join(above, "g")
-        if paths is not None:
-            over = paths.select("g", F.col("pos").alias("parent"), F.col("path").alias("over"), *more)
-            own = F.array(F.struct("left", "right"))
-            inner = with_siblings(level.filter("total > 1"), fan).join(over, ["g", "parent"])
-            tops = inner.select(*level.columns, *more, F.concat(own, "over").alias("path")).unionByName(tops.select(*level.columns, *more, "path"))
-        paths = tops
+    paths = levels[-1].join(above, "g")
+    for k in range(len(levels) - 2, -1, -1):
+        over = paths.select("g", F.col("pos").alias("parent"), F.col("path").alias("over"), *more)
+        own = F.when(F.col("total") > 1, F.concat(F.array(F.struct("left", "right")), "over")).otherwise(F.col("over"))
+        paths = with_siblings(levels[k], fan).join(over, ["g", "parent"]).select(*levels[k].columns, *more, own.alias("path"))
+        paths = staged(paths, "paths") if k else paths
     return paths
 
 
@@ -107,14 +101,15 @@ def merkle_manifest(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "sour
     found = leaves(docs, list(columns), by)
     placed = positions(found, ["g"], [F.col("doc_id").asc_nulls_first(), F.col("leaf"), F.col("tampered")], "leaves").withColumnRenamed("leaf", "digest")
     placed = staged(placed.select(*_NODE, "doc_id", "tampered"), "numbered")
-    levels, subroots = climb(placed, fan, "level")
+    levels = climb(placed, fan, "level")
 
-    groups = subroots.select(F.lit("").alias("g"), F.col("g").alias("name"), F.col("root").alias("digest"))
-    groups = positions(groups, ["g"], [F.col("name")], "groups")
-    over, top = climb(groups.select(*_NODE, "name"), fan, "top")
+    subroots = levels[-1].select(F.lit("").alias("g"), F.col("g").alias("name"), "digest")
+    groups = positions(subroots, ["g"], [F.col("name")], "groups")
+    over = climb(groups.select(*_NODE, "name"), fan, "top")
     none = F.array().cast("array<struct<left:string,right:string>>")
-    known = descend(over, top.select("g", none.alias("path"), "root"), fan)
-    known = staged(known.select(F.col("name").alias("g"), F.col("digest").alias("subroot"), "root", "path"), "known")
+    top = over[-1].select("g", none.alias("path"), F.col("digest").alias("root"))
+    known = descend(over, top, fan).select(F.col("name").alias("g"), F.col("digest").alias("subroot"), "root", "path")
+    known = staged(known, "known")
 
     proofs = descend(levels, known, fan)
     told = F.array_join(F.transform("path", lambda at: F.concat(at["left"], at["right"])), "")
