@@ -66,7 +66,7 @@ def at_least(x: str, low: float) -> str:
 def block_clock(df: DataFrame) -> Clock:
     """The clock whose sort the frame already has: by kept EWM blocks, else by date."""
     kept = [c for c in df.columns if c.startswith("_blk")]
-    return Clock(order=f"{kept[0]}, _rn") if kept else Clock()
+    return Clock(order=f"{kept[0].replace('_blk', '_sup')}, {kept[0]}, _rn") if kept else Clock()
 
 
 class Clock:
@@ -140,6 +140,10 @@ class Clock:
         return f"least(coalesce({rn} - max(case when {flag} then {rn} end) {self.so_far}, {cap}), {cap})"
 
 
+#: Short blocks of rows in a long one.
+BLOCKS = 256
+
+
 def span_alpha(span: int) -> float:
     return 2.0 / (span + 1)
 
@@ -164,32 +168,36 @@ def with_ewm(
     Semantics: y starts at the first value; a later value x after g missing rows gives
     y = (w*y + alpha*x) / (w + alpha) with w = (1-alpha)^(g+1); a missing row repeats y.
 
-    y is an affine function of the previous y, so runs of rows compose. Rows are cut into
-    short blocks; inside a block the recursion is a running sum of values divided by the
-    running weight product (which cannot underflow within one block), and the value carried
-    into a block is a fold over the few closing values of earlier blocks. Every step is a
-    window over the same partition and sort, evaluated in the JVM in linear time. With ``keep``
-    the row number and block stay in the frame; later calls and windows then reuse the sort.
+    y is an affine function of the previous y, so runs of rows compose. Rows are cut into short blocks
+    and 256 blocks into a long one. Inside a short block the recursion is a running sum of values
+    divided by the running weight product (which cannot underflow there). A short block's map is told
+    by its last row; folding those of the blocks before it in its long block gives the row's map since the long
+    block began, and folding the last such map of each long block gives the value carried into it. So a row
+    folds at most 256 maps and one for each 256 blocks before: time is linear up to many million rows
+    of one key. Every step is a window over the same partition and sort, evaluated in the JVM. With ``keep``
+    the row number and blocks stay in the frame; later calls and windows then reuse the sort.
     """
     if not series:
         return df
     names, have = ", ".join(keys), list(df.columns)
     size = _block_rows([a for _, a in series.values()])
-    blk = f"_blk{size}"
+    blk, sup = f"_blk{size}", f"_sup{size}"
     if "_rn" not in have:
         df = add(df, {"_rn": Clock(names, order).rn()})
     if blk not in have:
-        df = add(df, {blk: f"cast((_rn - 1) div {size} as int)"})
-    t = Clock(names, f"{blk}, _rn")
-    block = Clock(f"{names}, {blk}", "_rn").so_far
+        df = add(df, {blk: f"cast((_rn - 1) div {size} as int)", sup: f"cast((_rn - 1) div {size * BLOCKS} as int)"})
+    t = Clock(names, f"{sup}, {blk}, _rn")
+    inside = Clock(f"{names}, {sup}", f"{blk}, _rn")
+    block = Clock(f"{names}, {sup}, {blk}", "_rn").so_far
 
     seen = {f"_p{i}": f"max(case when {src} is not null then _rn end) {t.before}"
             for i, (src, _) in enumerate(series.values())}
     df = add(df, seen)
     step = {}
+    # the weight after a very long gap is held above zero, far below what shows, so that a block's product is too
     for i, (src, alpha) in enumerate(series.values()):
         w = f"power({1.0 - alpha!r}D, _rn - _p{i})"
-        step[f"_d{i}"] = f"case when {src} is null or _p{i} is null then 1.0D else {w} / ({w} + {alpha!r}D) end"
+        step[f"_d{i}"] = f"case when {src} is null or _p{i} is null then 1.0D else greatest({w} / ({w} + {alpha!r}D), 1e-87D) end"
         step[f"_g{i}"] = (
             f"case when {src} is null then 0.0D when _p{i} is null then double({src}) "
             f"else {src} * {alpha!r}D / ({w} + {alpha!r}D) end"
@@ -197,12 +205,20 @@ def with_ewm(
     df = add(df, step)
     df = add(df, {f"_w{i}": f"exp(sum(ln(_d{i})) {block})" for i in range(len(series))})
     df = add(df, {f"_l{i}": f"_w{i} * sum(_g{i} / _w{i}) {block}" for i in range(len(series))})
-    closing = ", ".join(f"'w{i}', _w{i}, 'l{i}', _l{i}" for i in range(len(series)))
-    df = add(df, {"_ends": f"collect_list(case when _rn % {size} = 0 then named_struct({closing}) end) {t.before}"})
+    n = range(len(series))
+
+    def closing(w: str, map_: str) -> str:
+        return "named_struct(" + ", ".join(f"'w{i}', {w}{i}, 'l{i}', {map_}{i}" for i in n) + ")"
+
+    df = add(df, {"_ends": f"collect_list(case when _rn % {size} = 0 then {closing('_w', '_l')} end) {inside.before}"})
+    unit = "named_struct('w', 1.0D, 'l', 0.0D)"
+    df = add(df, {f"_m{i}": f"aggregate(_ends, {unit}, (m, e) -> named_struct('w', e.w{i} * m.w, 'l', e.w{i} * m.l + e.l{i}))" for i in n})
+    df = add(df, {f"_u{i}": f"_w{i} * _m{i}.w" for i in n} | {f"_v{i}": f"_w{i} * _m{i}.l + _l{i}" for i in n})
+    df = add(df, {"_tops": f"collect_list(case when _rn % {size * BLOCKS} = 0 then {closing('_u', '_v')} end) {t.before}"})
     out = {}
     for i, (name, (src, _)) in enumerate(series.items()):
-        carry = f"aggregate(_ends, 0.0D, (y, e) -> e.w{i} * y + e.l{i})"
-        out[name] = f"case when _p{i} is not null or {src} is not null then _w{i} * {carry} + _l{i} end"
+        carry = f"aggregate(_tops, 0.0D, (y, e) -> e.w{i} * y + e.l{i})"
+        out[name] = f"case when _p{i} is not null or {src} is not null then _u{i} * {carry} + _v{i} end"
     if keep:
-        have += [c for c in ("_rn", blk) if c not in have]
+        have += [c for c in ("_rn", sup, blk) if c not in have]
     return pick(df, have, out)

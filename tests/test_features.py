@@ -61,6 +61,28 @@ def test_ewm_matches_pandas_with_gaps(spark):
             np.testing.assert_allclose(g[col].to_numpy(dtype=float), want[code][a], rtol=1e-9, equal_nan=True)
 
 
+def test_ewm_of_a_long_series_is_exact_and_linear(spark):
+    """100,000 rows of one key, so two long blocks, with single gaps and gaps longer than a block."""
+    import time
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(50, 20, 100_000)
+    x[rng.random(len(x)) < 0.1] = np.nan
+    x[2_000:2_900], x[64_000:67_500] = np.nan, np.nan
+    took = {}
+    for n in (25_000, 100_000):
+        frame = spark.createDataFrame(pd.DataFrame({"i": np.arange(n), "x": x[:n]})).selectExpr("'A' as code", "i", "nanvl(x, null) as x")
+        out = with_ewm(frame, {"a": ("x", 1 / 3), "b": ("x", 1 / 200)}, order="i")
+        out.where("i = 0").count()
+        start = time.perf_counter()
+        got = out.select("i", "a", "b").toPandas().sort_values("i")
+        took[n] = time.perf_counter() - start
+        for name, alpha in (("a", 1 / 3), ("b", 1 / 200)):
+            want = pd.Series(x[:n]).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+            np.testing.assert_allclose(got[name].to_numpy(dtype=float), want, rtol=1e-9, equal_nan=True)
+    assert took[100_000] < 12 * took[25_000]  # a quadratic fold takes 16 times as long
+
+
 def test_rolling_needs_min_rows(make):
     df = make("code string, trade_date int, x double", *[("A", i, None if i == 3 else float(i)) for i in range(8)])
     t = Clock()
