@@ -2,9 +2,7 @@
 
 A run takes the codes that may be traded on its day, reads one year of their panel, computes the features and
 stores the day alone. Its audit reads the days that earlier runs stored, so no history is computed
-twice. ``FeatureDays`` keeps a day's versions apart: rows are written to a folder of (version, day) and
-count from the moment the version's commit is written, so a run that dies or is run again leaves no
-mixed day, and an older version can still be read.
+twice. The store keeps a day's versions apart, so a run that dies or is run again leaves no mixed day.
 """
 
 from __future__ import annotations
@@ -12,16 +10,16 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, DoubleType, StringType, StructField, StructType
 
 from tapeloom.operators.audit import Rule, audit_report, feature_day_stats, rolling_thresholds, rule_frame
 from tapeloom.operators.calendar import inclusive
 from tapeloom.operators.features import ALL_SOURCES, FEATURES, attach_mentions, compute_features
 from tapeloom.operators.panel import attach_forward_adjusted
 from tapeloom.operators.universe import eligible_codes
+from tapeloom.sources.day_store import DayStore
 
 #: (start, end) -> panel rows of an inclusive range; the range should reach the scan.
 PanelReader = Callable[[dt.date, dt.date], DataFrame]
@@ -36,45 +34,8 @@ def year_before(day: dt.date) -> dt.date:
     return day.replace(year=day.year - 1) if day.month > 2 else dt.date(day.year - 1, 1, 1)
 
 
-class FeatureDays:
-    """Versioned day partitions of a feature table under ``path``."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.days, self.commits = spark, f"{path}/days", f"{path}/commits"
-
-    def write(self, feats: DataFrame, version: int) -> None:
-        """Store the days of ``feats`` as ``version``; the same version again replaces what it wrote."""
-        folder = f"{self.days}/version={version}"
-        feats.repartition("trade_date").write.mode("overwrite").partitionBy("trade_date").parquet(folder)
-        written = self.spark.read.schema(feats.schema).parquet(folder)
-        counts = written.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"))
-        counts.write.mode("overwrite").parquet(f"{self.commits}/version={version}")
-
-    def versions(self, start=None, end=None) -> DataFrame:
-        """(trade_date, version, n): what was committed, a row per day and version."""
-        schema = "trade_date date, n long, version int"
-        try:
-            found = self.spark.read.schema(schema).parquet(self.commits)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            found = self.spark.createDataFrame([], schema)
-        return inclusive(found, start, end)
-
-    def read(self, start=None, end=None, upto: int | None = None, schema: StructType = FEATURE_SCHEMA) -> DataFrame:
-        """The newest version (up to ``upto``) of every day in the range. Only these days' folders are opened: the
-        bounds prune them, and the join with the commits prunes the versions."""
-        known = self.versions(start, end)
-        if upto is not None:
-            known = known.where(F.col("version") <= upto)
-        newest = known.groupBy("trade_date").agg(F.max("version").alias("version"))
-        try:
-            stored = self.spark.read.schema(StructType([*schema.fields, StructField("version", IntegerType())])).parquet(self.days)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
-        return inclusive(stored, start, end).join(newest, ["trade_date", "version"]).select(*schema.fieldNames())
+def feature_days(spark: SparkSession, path: str) -> DayStore:
+    return DayStore(spark, path, FEATURE_SCHEMA)
 
 
 def day_features(panel: PanelReader, lifecycle: DataFrame, industry: DataFrame, mentions: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
@@ -86,13 +47,13 @@ def day_features(panel: PanelReader, lifecycle: DataFrame, industry: DataFrame,
     return inclusive(feats, start, end)
 
 
-def backfill(store: FeatureDays, version: int, panel: PanelReader, lifecycle: DataFrame, industry: DataFrame, mentions: DataFrame, start: dt.date, end: dt.date) -> None:
+def backfill(store: DayStore, version: int, panel: PanelReader, lifecycle: DataFrame, industry: DataFrame, mentions: DataFrame, start: dt.date, end: dt.date) -> None:
     """Store all days of a range in one pass, for a store that has no history yet."""
     store.write(day_features(panel, lifecycle, industry, mentions, start, end), version)
 
 
 def daily_run(
-    store: FeatureDays, version: int, day: dt.date, panel: PanelReader, lifecycle: DataFrame, industry: DataFrame, mentions: DataFrame,
+    store: DayStore, version: int, day: dt.date, panel: PanelReader, lifecycle: DataFrame, industry: DataFrame, mentions: DataFrame,
     rules: list[Rule],
 ) -> tuple[DataFrame, DataFrame]:
     """Compute and store ``day``; its statistics per feature and its audit report.

@@ -17,6 +17,7 @@ from tapeloom.plans.feature_queries import ALL_FEATURES_SQL
 from tapeloom.plans.registry import query
 from tapeloom.plans.view_sql import VIEWS
 from tapeloom.session import scratch_dir
+from tapeloom.sources.day_store import DayStore
 
 #: What is stored before the first run, and the days that are then run one after the other.
 HISTORY = (dt.date(2000, 6, 19), dt.date(2001, 6, 11))
@@ -25,9 +26,9 @@ RULES = au.with_rule(au.with_rule(au.default_rules(), "gap", action="alert"), "b
 COLUMNS = [r.feature for r in RULES]
 
 
-def run_days(m) -> tuple[daily.FeatureDays, list[tuple[dt.date, DataFrame, DataFrame]]]:
+def run_days(m) -> tuple[DayStore, list[tuple[dt.date, DataFrame, DataFrame]]]:
     """Backfill a new store, then the daily runs: the store and (day, statistics, report) of each."""
-    store = daily.FeatureDays(m.spark, scratch_dir(m.spark, "feature_days"))
+    store = daily.feature_days(m.spark, scratch_dir(m.spark, "feature_days"))
     fixed = (lambda start, end: m.between(start, end).panel, m.stock_lifecycle, m.industry, news.mentions(m.news_raw, ENTRIES))
     daily.backfill(store, 0, *fixed, *HISTORY)
     return store, [(day, *daily.daily_run(store, k, day, *fixed, RULES)) for k, day in enumerate(RUNS, start=1)]

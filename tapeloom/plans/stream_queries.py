@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tapeloom.functions.columns import r6
 from tapeloom.plans.feature_queries import W, ewm
 from tapeloom.plans.registry import query
+from tapeloom.schemas import Record
 from tapeloom.session import scratch_dir
+from tapeloom.sources.day_store import DayStore
 from tapeloom.streaming import jobs
 
 
@@ -84,21 +86,91 @@ def stream_recursive_indicators(m):
     return out.withColumn("ewm", r6("ewm", 3))
 
 
-@query("stream_upsert", "select l_orderkey % 97 as k, count(*) as n from (select distinct l_orderkey, l_linenumber from lineitem) group by 1")
+MONTH_PRICE = Record("month_prices", ("code", "trade_date"), "code string, trade_date date, price double, orderkey long")
+
+
+@query("stream_upsert", """select code, trade_date, price, orderkey from (select *, row_number() over (partition by code, trade_date order by batch desc, seq desc, price desc, orderkey desc) as r
+ from (select concat('P', l_partkey % 200) as code, cast(date_trunc('month', l_shipdate) as date) as trade_date, l_extendedprice as price, l_orderkey as orderkey, l_orderkey % 1000 as seq, l_linenumber % 3 as batch from lineitem)) where r = 1""")
 def stream_upsert(m):
-    """Files upserted by key through foreachBatch, then counted."""
-    from tapeloom.schemas import Record
-
-    rec = Record("trade_keys", ("code", "bucket"), "code string, bucket long, price double, orderkey long")
-    path, check = scratch_dir(m.spark, "upsert-table"), scratch_dir(m.spark, "upsert-checkpoint")
-    li = jobs.read_files(m.spark, m.folder, m.table("lineitem").schema, "lineitem.parquet")
-    keyed = li.select(
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("code"), (F.col("l_orderkey") % 4).alias("bucket"),
-        F.col("l_extendedprice").alias("price"), F.col("l_orderkey").alias("orderkey"))
-
-    def merge(batch, _):
-        jobs.apply_upsert(batch.sparkSession, path, batch, rec, "bucket")
-
-    keyed.writeStream.foreachBatch(merge).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
-    table = m.spark.read.schema(rec.schema).parquet(path)
-    return table.groupBy((F.col("orderkey") % 97).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    """Three batches of rows with repeated keys go into one table, each in the order of its own sequence;
+    then all of them are delivered once more, from a fresh checkpoint."""
+    folder, checks = scratch_dir(m.spark, "prices"), [scratch_dir(m.spark, "prices-checkpoint") for _ in range(2)]
+    store = DayStore(m.spark, scratch_dir(m.spark, "month_prices"), MONTH_PRICE.schema)
+    key = F.col("l_orderkey")
+    rows = m.table("lineitem").select(
+        F.concat(F.lit("P"), (F.col("l_partkey") % 200).cast("string")).alias("code"), F.trunc(F.col("l_shipdate").cast("date"), "month").alias("trade_date"),
+        F.col("l_extendedprice").alias("price"), key.alias("orderkey"), (key % 1000).alias("seq"), (F.col("l_linenumber") % 3).alias("batch"))
+    for k in range(3):
+        rows.where(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(folder)
+    stream = jobs.read_files(m.spark, folder, rows.drop("batch").schema, files_per_batch=1)
+    for check in checks:
+        jobs.upsert_files(stream, store, MONTH_PRICE, check, "seq")
+    return store.read()
+
+
+# --- late and repeated rows over several runs -------------------------------------------------
+
+#: Events arrive in three parts by their time. Every 20th comes one part late, unless it is within three hours of
+#: the part's end, every 25th twice and every 30th again with the next part.
+PARTS = ("2024-01-11", "2024-01-21")
+ARRIVALS = f"""home as (select *, case when ts < timestamp '{PARTS[0]}' then 0 when ts < timestamp '{PARTS[1]}' then 1 else 2 end as home from events),
+ own as (select * exclude (home), case when event_id % 20 = 0 and home = 0 and ts < timestamp '{PARTS[0]}' - interval 3 hour then 1
+   when event_id % 20 = 0 and home = 1 and ts < timestamp '{PARTS[1]}' - interval 3 hour then 2 else home end as part, home from home),
+ arrived as (select event_id, user_id, ts, event_type, value, part from own union all select event_id, user_id, ts, event_type, value, part from own where event_id % 25 = 1
+   union all select event_id, user_id, ts, event_type, value, part + 1 from own where event_id % 30 = 2 and part < 2 and ts < (case part when 0 then timestamp '{PARTS[0]}' else timestamp '{PARTS[1]}' end) - interval 3 hour),
+ marks as (select p, (select max(ts) from arrived where part < p) - interval 10 minute as mark from (select unnest([0, 1, 2]) as p)),
+ timed as (select a.*, mark from arrived a join marks on p = part)"""
+LAST_MARK = "(select max(ts) from arrived) - interval 10 minute"
+
+
+def arrivals(m):
+    """The parts in which the events arrive."""
+    e = m.table("events").select("event_id", "user_id", "ts", "event_type", "value")
+    ends = [F.lit(p).cast("timestamp_ntz") for p in PARTS]
+    home = F.when(F.col("ts") < ends[0], 0).when(F.col("ts") < ends[1], 1).otherwise(2)
+    end = F.when(F.col("home") == 0, ends[0]).when(F.col("home") == 1, ends[1])
+    early = F.coalesce(F.col("ts") < end - F.expr("interval 3 hours"), F.lit(False))
+    own = e.withColumn("home", home).withColumn("early", early)
+    own = own.withColumn("part", F.col("home") + F.when((F.col("event_id") % 20 == 0) & F.col("early"), 1).otherwise(0))
+    due = F.when(F.col("part") == 0, ends[0]).when(F.col("part") == 1, ends[1])
+    again = own.where(F.col("event_id") % 25 == 1)
+    later = own.where((F.col("event_id") % 30 == 2) & (F.col("part") < 2) & (F.col("ts") < due - F.expr("interval 3 hours"))).withColumn("part", F.col("part") + 1)
+    whole = own.unionByName(again).unionByName(later).drop("home", "early")
+    return [whole.where(F.col("part") == k).drop("part") for k in range(3)]
+
+
+def as_counters(events):
+    return events.select(
+        F.col("event_id").cast("string").alias("event_id"), "ts", F.concat(F.lit("pipeline/"), "event_type").alias("scope"), F.lit("value").alias("name"), "value",
+        F.col("user_id").cast("string").alias("run_id"))
+
+
+@query("stream_late_kpis", f"""with {ARRIVALS} select date_trunc('hour', ts) as window_start, concat('pipeline/', event_type) as scope, 'value' as name, count(*) as n, round(sum(value), 4) as total, round(avg(value), 6) as mean
+ from timed where mark is null or date_trunc('hour', ts) + interval 1 hour > mark group by 1, 2 having date_trunc('hour', any_value(ts)) + interval 1 hour <= {LAST_MARK}""")
+def stream_late_kpis(m):
+    out = jobs.run_in_parts(arrivals(m), lambda e: jobs.counter_kpis(as_counters(e)), "late-kpis")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "scope", "name", "n", r6("total", 4).alias("total"), r6("mean").alias("mean"))
+
+
+@query("stream_late_bars", f"""with {ARRIVALS} select time_bucket(interval 15 minute, ts) as bar_start, concat('E', user_id % 10) as code, arg_min(value, (ts, event_id)) as open, max(value) as high, min(value) as low, arg_max(value, (ts, event_id)) as close, count(*) as volume
+ from timed where mark is null or time_bucket(interval 15 minute, ts) + interval 15 minute > mark group by 1, 2 having time_bucket(interval 15 minute, any_value(ts)) + interval 15 minute <= {LAST_MARK}""")
+def stream_late_bars(m):
+    def bars(e):
+        ticks = e.select(F.concat(F.lit("E"), (F.col("user_id") % 10).cast("string")).alias("code"), "ts", F.col("value").alias("price"), F.lit(1).cast("bigint").alias("volume"), F.col("event_id").alias("seq"))
+        return jobs.ohlcv_bars(ticks, "15 minutes")
+
+    return jobs.run_in_parts(arrivals(m), bars, "late-bars").withColumn("bar_start", F.col("bar_start").cast("timestamp_ntz"))
+
+
+@query("stream_late_sessions", f"""with {ARRIVALS}, g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 2 hour then 0 else 1 end as fresh from timed where mark is null or ts + interval 2 hour > mark),
+ s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g)
+ select * from (select cast(user_id as varchar) as run_id, min(ts) as session_start, max(ts) + interval 2 hour as session_end, count(*) as n, round(sum(value), 4) as total from s group by user_id, k) where session_end <= {LAST_MARK}""")
+def stream_late_sessions(m):
+    out = jobs.run_in_parts(arrivals(m), lambda e: jobs.run_sessions(as_counters(e)), "late-sessions")
+    return out.select("run_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n", r6("total", 4).alias("total"))
+
+
+@query("stream_late_repeats", f"with {ARRIVALS} select distinct event_id, ts, value from timed where mark is null or ts > mark")
+def stream_late_repeats(m):
+    out = jobs.run_in_parts(arrivals(m), lambda e: jobs.drop_repeats(e, delay="10 minutes"), "late-repeats")
+    return out.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "value")

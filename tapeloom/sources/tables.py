@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,14 +49,22 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return df.groupBy(*keys).agg(best).select(*keys, "_r.*").select(*df.columns)
 
 
-def upsert(current: DataFrame, incoming: list[DataFrame], record: Record) -> DataFrame:
-    """Insert or replace by primary key; later batches win."""
-    out = conform(current, record).withColumn("_seq", F.lit(0))
+def upsert(current: DataFrame, incoming: list[DataFrame], record: Record, sequence: str | None = None) -> DataFrame:
+    """Insert or replace by primary key; later batches win, and within a batch the row with the largest
+    ``sequence``, a column of the batches. Without one a key that comes twice in a batch with
+    different rows is an error, as nothing says which was written last."""
+    rest = F.struct(*[c for c in record.columns if c not in record.pk])
+    out = conform(current, record).select("*", F.lit(0).alias("_batch"), F.lit(None).cast("long").alias("_seq"))
     for i, batch in enumerate(incoming, start=1):
-        out = out.unionByName(conform(batch, record).withColumn("_seq", F.lit(i)))
-    # within one batch a repeated key keeps its largest row, so re-runs agree
-    order = [F.col("_seq"), F.struct(*[c for c in record.columns if c not in record.pk])]
-    return last_per_key(out, list(record.pk), order).drop("_seq")
+        keyed = batch.withColumn("_seq", F.lit(None).cast("long") if sequence is None else F.col(sequence))
+        out = out.unionByName(conform(keyed, replace(record, ddl=f"{record.ddl}, _seq long")).withColumn("_batch", F.lit(i)))
+    # rows of equal sequence fall back on their values, so that a run again agrees
+    best = F.max_by(rest, F.struct("_batch", "_seq", rest))
+    if sequence is None:
+        twice = [F.min(F.when(F.col("_batch") == i, rest)) != F.max(F.when(F.col("_batch") == i, rest)) for i in range(1, len(incoming) + 1)]
+        unclear = reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in twice], F.lit(False))
+        best = F.when(unclear, F.raise_error(F.lit(f"{record.table}: a key comes twice in a batch without a sequence"))).otherwise(best)
+    return out.groupBy(*record.pk).agg(best.alias("_r")).select(*record.pk, "_r.*").select(*record.columns)
 
 
 def replace_table(df: DataFrame, path: str) -> None:
@@ -65,10 +76,11 @@ def replace_days(df: DataFrame, path: str, date: str = "trade_date") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(path)
 
 
-def apply_upsert(spark: SparkSession, path: str, batch: DataFrame, record: Record, date: str = "trade_date") -> None:
+def apply_upsert(spark: SparkSession, path: str, batch: DataFrame, record: Record, date: str = "trade_date", sequence: str | None = None) -> None:
     """Upsert into a table partitioned by date, rewriting only the days the batch touches.
 
-    The touched days are computed from the batch by a semi join, never collected.
+    The touched days are computed from the batch by a semi join, never collected. Days are replaced one
+    after the other; where readers must not see some new and some old, use ``DayStore``.
     """
     from pyspark.errors import AnalysisException
 
@@ -81,7 +93,7 @@ def apply_upsert(spark: SparkSession, path: str, batch: DataFrame, record: Recor
             raise  # an unreadable table is no empty table
         current = spark.createDataFrame([], record.schema)
     touched = conform(batch, record).select(date).distinct()
-    merged = upsert(current.join(touched, date, "left_semi"), [batch], record)
+    merged = upsert(current.join(touched, date, "left_semi"), [batch], record, sequence)
     # written aside first: the merge reads the partitions it replaces
     staged = scratch_dir(spark, "upsert")
     merged.write.parquet(staged)

@@ -16,10 +16,9 @@ from pyspark.sql.types import StructType
 
 from tapeloom.schemas import Record
 from tapeloom.session import scratch_dir
-from tapeloom.sources.tables import apply_upsert
+from tapeloom.sources.day_store import DayStore
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-BAR_SIZES = ("1 minute", "5 minutes", "15 minutes", "30 minutes", "1 hour")
 
 
 def read_files(spark: SparkSession, folder: str, schema: StructType, glob: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -34,10 +33,11 @@ def as_timestamp(df: DataFrame, column: str = "ts") -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def run_to_files(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run everything available into a Parquet folder and return what was written."""
+def run_to_files(stream: DataFrame, label: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run everything available into a Parquet folder and return what was written. A ``folder`` that was run into
+    before goes on from its checkpoint."""
     spark = stream.sparkSession
-    out = scratch_dir(spark, label)
+    out = folder or scratch_dir(spark, label)
     query = (
         stream.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/data")
         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
@@ -46,12 +46,25 @@ def run_to_files(stream: DataFrame, label: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
-def upsert_files(stream: DataFrame, path: str, record: Record, checkpoint: str) -> None:
-    """Append-only daily files into a table keyed by the record: last write wins per key. The
-    checkpoint replaces a table of high-water dates, and replaying a batch changes nothing."""
+def run_in_parts(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """The output of ``build`` over files that arrive part by part: the stream ends when it has read a part and is
+    started again, from its checkpoint, for the next one. State and watermark go on, so a row is late by what earlier
+    parts held."""
+    spark = parts[0].sparkSession
+    base, out = scratch_dir(spark, label), None
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/arrived")
+        out = run_to_files(build(read_files(spark, f"{base}/arrived", part.schema)), label, folder=base)
+    return out
 
-    def merge(batch: DataFrame, _: int) -> None:
-        apply_upsert(batch.sparkSession, path, batch, record)
+
+def upsert_files(stream: DataFrame, store: DayStore, record: Record, checkpoint: str, sequence: str | None = None, source: str = "files") -> None:
+    """Files into a table keyed by the record, in the order of the micro-batches; within one the largest
+    ``sequence`` wins. The store's ledger names ``source`` and batch, so a batch that is delivered again, after a failure or
+    from a fresh checkpoint, changes nothing. Another stream into the same table needs another ``source``."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        store.upsert(batch, record, sequence, source, number)
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -93,17 +106,20 @@ def drop_repeats(events: DataFrame, key: str = "event_id", delay: str = "1 hour"
 
 
 class _Recursive(StatefulProcessor):
-    """Per code: EWM of the close, length of the rising streak, rows since the last big rise."""
+    """Per code: EWM of the close, length of the rising streak, rows since the last big rise. Rows dated up
+    to the last one seen are too late to count and are left out, so a repeated row changes nothing."""
 
     def __init__(self, alpha: float, jump: float, cap: int):
         self.alpha, self.jump, self.cap = alpha, jump, cap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("s", "y double, last double, streak int, since int")
+        self.state = handle.getValueState("s", "y double, last double, streak int, since int, day int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        df = pd.concat(list(rows)).sort_values("trade_date")
-        y, last, streak, since = self.state.get() if self.state.exists() else (None, None, 0, self.cap)
+        y, last, streak, since, day = self.state.get() if self.state.exists() else (None, None, 0, self.cap, 0)
+        df = pd.concat(list(rows)).sort_values("trade_date").drop_duplicates("trade_date")
+        days = df["trade_date"].map(lambda d: d.toordinal())
+        df, day = df[days > day], max(day, int(days.max()))
         ys, streaks, sinces = [], [], []
         for x in df["close"]:
             y = x if y is None else (1 - self.alpha) * y + self.alpha * x
@@ -114,7 +130,8 @@ class _Recursive(StatefulProcessor):
             ys.append(y)
             streaks.append(streak)
             sinces.append(since)
-        self.state.update((float(y), float(last), int(streak), int(since)))
+        if ys:
+            self.state.update((float(y), float(last), int(streak), int(since), day))
         yield pd.DataFrame({"code": key[0], "trade_date": df["trade_date"].to_numpy(), "ewm": ys, "streak": streaks, "since": sinces})
 
     def close(self) -> None:

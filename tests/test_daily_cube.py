@@ -61,7 +61,7 @@ def _feats(spark, rows):
 
 
 def test_store_reads_the_newest_committed_version(spark):
-    store = daily.FeatureDays(spark, scratch_dir(spark, "days"))
+    store = daily.feature_days(spark, scratch_dir(spark, "days"))
     assert store.read().count() == 0
     store.write(_feats(spark, [("A", D(2024, 1, 1), 1.0), ("A", D(2024, 1, 2), 1.0)]), 0)
     store.write(_feats(spark, [("A", D(2024, 1, 2), 2.0), ("B", D(2024, 1, 2), 2.0)]), 1)

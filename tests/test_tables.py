@@ -14,6 +14,7 @@ from tapeloom.operators import evaluate, integrity, labels, ledger, news, sync,
 from tapeloom.operators import calendar as cal
 from tapeloom.sources import tables, vendor
 from tapeloom.sources.trades import bars_from_trades, trade_sequence, week_start
+from tapeloom.sources.day_store import DayStore
 from tapeloom.streaming import jobs
 
 D = dt.date
@@ -49,15 +50,59 @@ def test_partition_upsert_and_day_replacement(spark, make, tmp_path):
     assert tables.has_rows(tables.read_table(spark, path, rec), code="Z") and not tables.has_rows(tables.read_table(spark, path, rec), code="Q")
 
 
-def test_stream_upsert_is_idempotent(spark, make, tmp_path):
+def test_stream_upsert_follows_sequence_and_ignores_replays(spark, make, tmp_path):
     rec = schemas.RECORDS["adj_factor"]
-    src, path = str(tmp_path / "in"), str(tmp_path / "table")
-    schema = "code string, trade_date date, adj_factor double"
-    first = make(schema, ("A", D(2024, 1, 2), 1.0), ("B", D(2024, 1, 2), 1.0))
-    first.write.mode("append").parquet(src)
-    for check in ("c1", "c1", "c2"):  # a fresh checkpoint replays everything
-        jobs.upsert_files(jobs.read_files(spark, src, first.schema), path, rec, str(tmp_path / check))
-    assert tables.read_table(spark, path, rec).count() == 2
+    src = str(tmp_path / "in")
+    store = DayStore(spark, str(tmp_path / "table"), rec.schema)
+    schema = "code string, trade_date date, adj_factor double, seq long"
+    d = [D(2024, 1, 2), D(2024, 1, 3)]
+    first = make(schema, ("A", d[0], 9.0, 1), ("A", d[0], 2.0, 2), ("B", d[0], 1.0, 1), ("B", d[1], 1.0, 1))
+    first.coalesce(1).write.mode("append").parquet(src)
+    make(schema, ("A", d[0], 5.0, 1), ("C", d[0], 3.0, 2)).coalesce(1).write.mode("append").parquet(src)
+    read = lambda **how: {(r.code, r.trade_date.day): r.adj_factor for r in store.read(**how).collect()}
+    want = {("A", 2): 5.0, ("B", 2): 1.0, ("B", 3): 1.0, ("C", 2): 3.0}
+    stream = jobs.read_files(spark, src, first.schema, files_per_batch=1)
+    for check in ("c1", "c1", "c2"):  # a fresh checkpoint delivers all batches again
+        jobs.upsert_files(stream, store, rec, str(tmp_path / check), "seq")
+        assert read() == want and {r.version for r in store.versions().collect()} == {0, 1}
+    # within the first batch the larger sequence won, though its row is the smaller; the second day was left alone
+    assert read(upto=0)[("A", 2)] == 2.0
+    assert {(r.trade_date.day, r.version) for r in store.versions().collect()} == {(2, 0), (3, 0), (2, 1)}
+    assert store.upsert(make(schema, ("A", d[1], 7.0, 1)), rec, "seq", "other", 0) and read()[("A", 3)] == 7.0
+    assert not store.upsert(make(schema, ("A", d[1], 8.0, 1)), rec, "seq", "other", 0) and read()[("A", 3)] == 7.0
+
+
+def test_a_key_that_comes_twice_needs_a_sequence(make):
+    rec = schemas.RECORDS["adj_factor"]
+    schema, day = "code string, trade_date date, adj_factor double", D(2024, 1, 2)
+    none = make(schema)
+    same = make(schema, ("A", day, 1.0), ("A", day, 1.0))
+    assert tables.upsert(none, [same], rec).count() == 1
+    later = make(schema, ("A", day, 3.0))
+    assert tables.upsert(none, [same, later], rec).collect()[0].adj_factor == 3.0
+    with pytest.raises(Exception, match="without a sequence"):
+        tables.upsert(none, [make(schema, ("A", day, 1.0), ("A", day, 2.0))], rec).collect()
+
+
+def test_late_rows_are_dropped(spark):
+    """Of the arrivals some are late and some repeated, and each query's twin leaves some out."""
+    from tapeloom.plans import stream_queries as sq
+    from tapeloom.sources.market_views import Market
+    from tests.oracle import connect
+
+    folder = "/root/testdata/sf0.001"
+    sizes = [p.count() for p in sq.arrivals(Market(spark, folder))]
+    con = connect(folder)
+    arrived, late, events = con.execute(f"with {sq.ARRIVALS} select count(*), count(*) filter (ts <= mark), (select count(*) from events) from timed").fetchall()[0]
+    assert sum(sizes) == arrived > events and late > 20
+
+
+def test_recursive_state_leaves_out_old_rows(spark, make):
+    schema = "code string, trade_date date, close double"
+    d = [D(2024, 1, i) for i in range(1, 6)]
+    parts = [make(schema, ("A", d[0], 10.0), ("A", d[1], 11.0)), make(schema, ("A", d[1], 99.0), ("A", d[2], 12.0), ("A", d[2], 12.0)), make(schema, ("A", d[0], 5.0))]
+    out = jobs.with_rocksdb(spark, lambda: jobs.run_in_parts(parts, lambda s: jobs.recursive_indicators(s, alpha=0.5), "recursive"))
+    assert sorted((r.trade_date.day, r.ewm, r.streak) for r in out.collect()) == [(1, 10.0, 0), (2, 10.5, 1), (3, 11.25, 2)]
 
 
 def test_replace_and_report_files(spark, make, tmp_path):
