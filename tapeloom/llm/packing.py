@@ -12,8 +12,9 @@ saves nothing. Only (row, length) pairs move; each partition's memory is bounded
 from __future__ import annotations
 
 import os
-import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,15 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import byte_texts, staged, text_slices
 from tapeloom.llm.token_counts import vocabulary_bytes
 
-#: Words that a worker's cache holds between batches.
-CACHE_WORDS = 300_000
+#: Bytes that a worker's cache holds between batches, and what a word costs there besides its own bytes and its ids'.
+CACHE_BYTES, ENTRY_BYTES = 120 << 20, 170
+
+
+def _packed(ids: list[int]) -> bytes:
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
 
 
 class WordIds:
@@ -39,17 +47,21 @@ class WordIds:
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
+        self.tokenizer, self.known, self.room = tokenizer, {}, CACHE_BYTES
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
         new = list(set().union(*words).difference(self.known))
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        ids = dict(zip(new, (struct.pack(f"<{len(e)}I", *e.ids) for e in found)))
-        self.known.update(ids)
+        ids = [_packed(e.ids) for e in found]
+        self.known.update(zip(new, ids))
         out = [b"".join(map(self.known.__getitem__, w)) for w in words]
-        for w in new[max(0, CACHE_WORDS - len(self.known) + len(new)) :]:
-            del self.known[w]
+        for w, i in zip(new, ids):
+            size = len(w) + len(i) + ENTRY_BYTES
+            if size <= self.room:
+                self.room -= size
+            else:
+                del self.known[w]
         return out
 
 
