@@ -45,6 +45,14 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def fresh(frame: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of the frame has it (names differ by more than case)."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def staged(frame: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: it is computed once, its lineage is
     cut, and an executor that is lost later costs nothing."""

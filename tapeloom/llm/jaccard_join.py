@@ -38,7 +38,8 @@ from tapeloom.llm.common import byte_texts, staged, text_slices
 
 #: Odd multipliers of a window's words (fixed values, any odd numbers do), repeating for longer windows.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-CACHE_WORDS = 150_000
+#: Words that a worker keeps, and the longest of them in bytes.
+CACHE_WORDS, CACHE_BYTES = 150_000, 64
 #: A class weighs its n-grams in a seat, but this at least.
 LEAST_WEIGHT = 1_000
 #: n-grams that a task sees once are told with this chance, and then count as that many.
@@ -50,9 +51,10 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h
+        if len(word) <= CACHE_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -122,7 +124,7 @@ def first_scan(docs: DataFrame, width: int, percent: int) -> DataFrame:
         seen, grams, held = set(), [], []
 
         def told(keys, n, ids, bits):
-            return pa.RecordBatch.from_arrays([pa.array([bits is None] * len(keys)), ids, pa.array(keys, pa.int64()), pa.array(n, pa.int64()), bits or pa.nulls(len(keys), pa.binary())], ["hot", "doc_id", "key", "n", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array([bits is None] * len(keys), pa.bool_()), ids, pa.array(keys, pa.int64()), pa.array(n, pa.int64()), bits or pa.nulls(len(keys), pa.binary())], ["hot", "doc_id", "key", "n", "bits"])
 
         kind = None
         for batch in text_slices(batches, 2 << 20):
@@ -459,5 +461,6 @@ def class_sets(docs: DataFrame, firsts: DataFrame, width: int) -> DataFrame:
                     grams.append(found.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(grams, pa.binary())], ["class", "grams"])
 
-    made = texts.select("text").mapInArrow(built, "class long, grams binary")
+    # a task makes a class once; of those that several tasks make one is kept
+    made = texts.select("text").mapInArrow(built, "class long, grams binary").groupBy("class").agg(F.first("grams").alias("grams"))
     return made.join(firsts.select("class", "copies"), "class")

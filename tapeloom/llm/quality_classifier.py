@@ -138,8 +138,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, threshol
 
     ``held_out`` is an expression over doc_id. A null or empty text is scored by its statistics, all of
     them 0; a null doc_id has no label but a score; documents with contradicting labels teach
-    nothing; repeated rows give repeated results, an empty table an empty one. Columns other than
-    the text never enter a score.
+    nothing; repeated rows give repeated results, an empty table an empty one. Texts of any length are measured
+    whole, one at a time. Columns other than the text never enter a score.
     """
     measured = staged(text_statistics(docs.select("doc_id", "text")), "statistics")
     model = learn_quality(measured, labels, held_out, most_rows, **fit)
@@ -149,9 +149,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, threshol
 
 def keep_predicted(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7, most_rows: int = 20_000, **fit) -> DataFrame:
     """The rows of ``docs``, all columns, whose score reaches ``threshold``: texts are measured on the way
-    through, so none is shuffled."""
+    through, so none is shuffled. Columns may have any name: they are renamed on the way."""
     known = labels.select("doc_id").distinct()
     taught = docs.select("doc_id", "text").join(known, "doc_id", "left_semi").filter(~held_out)
     model = learn_quality(staged(text_statistics(taught), "statistics"), labels, held_out, most_rows, **fit)
-    measured = text_statistics(docs, keep_text=True)
-    return measured.filter(model.score() >= threshold).select(*docs.columns)
+    names = ["text" if c == "text" else f"d{k}" for k, c in enumerate(docs.columns)]
+    measured = text_statistics(docs.toDF(*names), keep_text=True)
+    return measured.filter(model.score() >= threshold).select(*names).toDF(*docs.columns)

@@ -116,6 +116,20 @@ def test_join_of_large_groups(spark, weight, hot, heat):
     assert joined(frame, weight=weight, hot=hot, heat=heat) == brute_join(rows, 4, 85)
 
 
+def test_links_of_copies_read_by_several_tasks(spark, tmp_path):
+    near = BASE.replace("moon", "sun")
+    rows = [(1, BASE)] * 4 + [(2, near), (None, BASE), (None, near)]
+    for r in rows:
+        spark.createDataFrame([r], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a task per file
+    try:
+        frame = spark.read.parquet(str(tmp_path / "docs"))
+        assert frame.rdd.getNumPartitions() == len(rows)
+        assert joined(frame, percent=60) == brute_join(rows, 4, 60)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_block_links_drop_rows_early():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 400, 60).astype(np.uint64)) for _ in range(40)]
