@@ -4,6 +4,7 @@ import collections
 import os
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -47,5 +48,26 @@ def test_odd_rows_pass_through(spark):
         assert (rows.count() > 0) == (start.count() > 0)
 
 
+def test_dedup_tells_rows_apart_by_all_columns(spark, tmp_path):
+    text = [r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").orderBy("doc_id").limit(3).collect()]
+    rows = [(1, text[0], "a"), (1, text[1], "a"), (None, text[2], "a"), (None, text[2], "a"), (None, text[2], "b"), (7, text[0], "a"), (-3, text[1] + " x", "a"), (9, "", None), (None, None, None)]
+    for k, r in enumerate(rows):  # a file each, so that copies meet in different tasks
+        spark.createDataFrame([r], "doc_id long, text string, source string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    got = corpus_pipeline.jaccard_dedup(spark, spark.read.parquet(str(tmp_path / "docs")), FOLDER).collect()
+    told = collections.Counter((r.doc_id, r.text) for r in got)
+    assert told == collections.Counter({(1, text[0]): 1, (-3, text[1] + " x"): 1, (None, text[2]): 1, (9, ""): 1, (None, None): 1})
+
+
+def test_clashing_columns_pass_through(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    names = ["s_words", "mixed_copies", "mixed_copy", "mixed_id", "jaccard_row", "class", "row", "d0", "S_Lines", "odd name"]
+    rows = docs.select("*", *[(F.col("doc_id") % 7 + k).alias(n) for k, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = corpus_pipeline.staged(stage(spark, rows, FOLDER), name)
+        assert rows.columns == [*docs.columns, *names]
+        assert rows.filter(" or ".join(f"`{n}` <> doc_id % 7 + {k}" for k, n in enumerate(names))).count() == 0
+    assert corpus_pipeline.best_fit_packing(spark, rows, FOLDER).count() > 0
+
+
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
