@@ -25,16 +25,18 @@ def returns_matrix(returns: DataFrame, names: list[str]) -> DataFrame:
     return returns.groupBy("trade_date").pivot("code", names).agg(F.first("r"))
 
 
-def _lagged_pairs(returns: DataFrame, lag: int) -> DataFrame:
+def _lagged_pairs(returns: DataFrame, lags: list[int]) -> DataFrame:
+    """(lag, leader, follower, ra, rb): A_t next to B_(t+lag), for all lags in one join."""
     lead = returns.select(F.col("code").alias("leader"), "day_idx", F.col("r").alias("ra"))
-    follow = returns.select(F.col("code").alias("follower"), (F.col("day_idx") - lag).alias("day_idx"), F.col("r").alias("rb"))
-    return lead.join(follow, "day_idx")
+    follow = returns.select(F.col("code").alias("follower"), "day_idx", F.col("r").alias("rb"), F.explode(F.array(*map(F.lit, lags))).alias("lag"))
+    return lead.join(follow.withColumn("day_idx", F.col("day_idx") - F.col("lag")), "day_idx")
 
 
-def lag_correlation(returns: DataFrame, lag: int) -> DataFrame:
-    """corr(A_t, B_(t+lag)) for all ordered pairs; products are summed map-side per pair."""
+def lag_correlation(returns: DataFrame, lags: list[int]) -> DataFrame:
+    """(lag, leader, follower, corr, n): corr(A_t, B_(t+lag)) for all ordered pairs and lags; the co-moments are
+    summed map-side per pair and lag."""
     c = F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb"))
-    return _lagged_pairs(returns, lag).groupBy("leader", "follower").agg(c.alias("corr"), F.count(F.lit(1)).alias("n"))
+    return _lagged_pairs(returns, lags).groupBy("lag", "leader", "follower").agg(c.alias("corr"), F.count(F.lit(1)).alias("n"))
 
 
 def top_followers(corr: DataFrame, k: int = 5) -> DataFrame:
@@ -43,24 +45,17 @@ def top_followers(corr: DataFrame, k: int = 5) -> DataFrame:
     return others.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
-def contagion_lift(returns: DataFrame, n_days: DataFrame, threshold: float = 0.02, lag: int = 3) -> DataFrame:
-    """P(B > threshold at t+lag | A > threshold at t) over P(B > threshold). ``n_days`` is one
-    row (first, last) of the return calendar; days without a value count as no rise."""
-    up = returns.where(F.col("r") > threshold).select("code", "day_idx")
-    first = n_days.select("first").scalar()
-    last = n_days.select("last").scalar()
-    base = up.groupBy("code").agg((F.count(F.lit(1)) / (last - first + 1)).alias("base"))
-    names = returns.select("code").distinct()
-    events = up.where(F.col("day_idx") + lag <= last)
-    total = events.groupBy(F.col("code").alias("leader")).agg(F.count(F.lit(1)).alias("events"))
-    later = up.select(F.col("code").alias("follower"), (F.col("day_idx") - lag).alias("day_idx"))
-    hits = events.select(F.col("code").alias("leader"), "day_idx").join(later, "day_idx").groupBy("leader", "follower").agg(F.count(F.lit(1)).alias("hits"))
-    # the result has a cell for every ordered pair of sectors, so the name list is spelled out per leader
-    followers = names.agg(F.collect_set("code")).scalar()
-    cells = names.select(F.col("code").alias("leader"), F.explode(followers).alias("follower"))
-    out = cells.join(total, "leader", "left").join(hits, ["leader", "follower"], "left").join(
-        base.withColumnRenamed("code", "follower"), "follower", "left")
-    cond = F.coalesce(F.try_divide(F.coalesce("hits", F.lit(0)), F.col("events")), F.lit(0.0))
+def contagion_lift(returns: DataFrame, threshold: float = 0.02, lag: int = 3) -> DataFrame:
+    """P(B > threshold at t+lag | A > threshold at t) over P(B > threshold), for every ordered pair of sectors
+    with a common day. Days without a value count as no rise."""
+    rose = F.col("r") > threshold
+    span = returns.agg(F.min("day_idx").alias("first"), F.max("day_idx").alias("last"))
+    first, last = span.select("first").scalar(), span.select("last").scalar()
+    own = returns.groupBy("code").agg((F.count_if(rose) / (last - first + 1)).alias("base"), F.count_if(rose & (F.col("day_idx") + lag <= last)).alias("events"))
+    both = F.count_if((F.col("ra") > threshold) & (F.col("rb") > threshold))
+    cells = _lagged_pairs(returns, [lag]).groupBy("leader", "follower").agg(both.alias("hits"))
+    out = cells.join(own.select(F.col("code").alias("leader"), "events"), "leader").join(own.select(F.col("code").alias("follower"), "base"), "follower")
+    cond = F.coalesce(F.try_divide(F.col("hits"), F.col("events")), F.lit(0.0))
     return out.select("leader", "follower", F.coalesce(F.try_divide(cond, F.col("base")), F.lit(0.0)).alias("lift"))
 
 

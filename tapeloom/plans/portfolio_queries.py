@@ -12,6 +12,7 @@ from tapeloom.operators import ops
 from tapeloom.operators import perf
 from tapeloom.operators import sector as sec
 from tapeloom.operators import signals as sig
+from tapeloom.operators.cube import index_bars
 from tapeloom.plans.feature_queries import W, guard, rounded
 from tapeloom.plans.registry import query
 from tapeloom.plans.research_queries import GRID, RETURNS, forward_sql, grid, returns, span
@@ -275,23 +276,32 @@ def walk_forward_stability(m):
 
 # --- sectors ----------------------------------------------------------------------
 
-SR = GRID + """, sg as (select code, trade_date, day_idx, last_value(close ignore nulls) over (partition by code order by day_idx) as p from grid),
+SECTOR_GRID = """sectors as (select l1_code as code, trade_date, avg(close) as close from bars join industry using (code) group by 1, 2),
+ grid as (select t.code, c.trade_date, c.day_idx, b.close from (select distinct l1_code as code from industry) t cross join calendar c left join sectors b using (code, trade_date))"""
+
+SR = SECTOR_GRID + """, sg as (select code, trade_date, day_idx, last_value(close ignore nulls) over (partition by code order by day_idx) as p from grid),
  sr as (select * from (select code, trade_date, day_idx, p / lag(p) over (partition by code order by day_idx) - 1 as r from sg) where r is not null)"""
+SECTOR_VIEWS = "bars calendar industry"
+
+
+def sector_grid(m):
+    """The industries' index bars on every day."""
+    return cal.dense_grid(index_bars(m.bars, m.industry), m.industry.select(F.col("l1_code").alias("code")), m.calendar)
 
 
 def sector_returns(m):
-    return sec.sector_returns(grid(m))
+    return sec.sector_returns(sector_grid(m))
 
 
-@query("sector_returns", f"with {SR} select code, trade_date, day_idx, round(r, 6) + 0.0 as r from sr", "bars calendar")
+@query("sector_returns", f"with {SR} select code, trade_date, day_idx, round(r, 6) + 0.0 as r from sr", SECTOR_VIEWS)
 def sector_returns_q(m):
     return sector_returns(m).withColumn("r", r6("r"))
 
 
-SECTORS = [f"N{k:02d}" for k in range(25)]
+SECTORS = [f"R{k}" for k in range(5)]
 
 
-@query("returns_matrix", f"with {SR} select trade_date, " + ", ".join(f"round(max(r) filter (code = '{c}'), 6) + 0.0 as {c}" for c in SECTORS) + f" from sr where code in {tuple(SECTORS)} group by 1", "bars calendar")
+@query("returns_matrix", f"with {SR} select trade_date, " + ", ".join(f"round(max(r) filter (code = '{c}'), 6) + 0.0 as {c}" for c in SECTORS) + f" from sr where code in {tuple(SECTORS)} group by 1", SECTOR_VIEWS)
 def returns_matrix(m):
     wide = sec.returns_matrix(sector_returns(m).where(F.col("code").isin(SECTORS)), SECTORS)
     return wide.select("trade_date", *[r6(c).alias(c) for c in SECTORS])
@@ -301,42 +311,37 @@ def corr_sql(lag: int) -> str:
     return f"cm as (select a.code as leader, b.code as follower, corr(a.r, b.r) as corr, count(*) as n from sr a join sr b on b.day_idx = a.day_idx + {lag} group by 1, 2)"
 
 
-@query("lag_correlation", " union all ".join(f"(with {SR}, {corr_sql(k)} select {k} as lag, leader, follower, round(corr, 6) + 0.0 as corr, n from cm)" for k in (1, 3, 5, 10, 20)), "bars calendar")
+@query("lag_correlation", " union all ".join(f"(with {SR}, {corr_sql(k)} select {k} as lag, leader, follower, round(corr, 6) + 0.0 as corr, n from cm)" for k in (1, 3, 5, 10, 20)), SECTOR_VIEWS)
 def lag_correlation(m):
-    r, out = sector_returns(m), None
-    for k in (1, 3, 5, 10, 20):
-        part = sec.lag_correlation(r, k).select(F.lit(k).alias("lag"), "leader", "follower", r6("corr").alias("corr"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    c = sec.lag_correlation(sector_returns(m), [1, 3, 5, 10, 20])
+    return c.select("lag", "leader", "follower", r6("corr").alias("corr"), "n")
 
 
 FOLLOW = f"{SR}, {corr_sql(5)}, fo as (select leader, follower, corr, row_number() over (partition by leader order by corr desc, follower) as rank from cm where leader <> follower)"
 
 
-@query("top_followers", f"with {FOLLOW} select leader, follower, rank, round(corr, 6) + 0.0 as corr from fo where rank <= 5", "bars calendar")
+@query("top_followers", f"with {FOLLOW} select leader, follower, rank, round(corr, 6) + 0.0 as corr from fo where rank <= 5", SECTOR_VIEWS)
 def top_followers(m):
-    return sec.top_followers(sec.lag_correlation(sector_returns(m), 5)).select("leader", "follower", "rank", r6("corr").alias("corr"))
+    return sec.top_followers(sec.lag_correlation(sector_returns(m), [5])).select("leader", "follower", "rank", r6("corr").alias("corr"))
 
 
-LIFT = f"""{SR}, b as (select code, min(lo) as lo, max(hi) as hi, count(*) filter (r > 0.2) / (any_value(hi) - any_value(lo) + 1) as base from sr, (select min(day_idx) as lo, max(day_idx) as hi from sr) group by 1),
- ev as (select code, day_idx from sr where r > 0.2 and day_idx + 3 <= (select max(day_idx) from sr)),
+LIFT = f"""{SR}, b as (select code, min(lo) as lo, max(hi) as hi, count(*) filter (r > 0.02) / (any_value(hi) - any_value(lo) + 1) as base from sr, (select min(day_idx) as lo, max(day_idx) as hi from sr) group by 1),
+ ev as (select code, day_idx from sr where r > 0.02 and day_idx + 3 <= (select max(day_idx) from sr)),
  lf as (select x.leader, x.follower, coalesce(coalesce(h, 0) / e / nullif(base, 0), 0) as lift from (select a.code as leader, c.code as follower, c.base from b a cross join b c) x
   left join (select code, count(*) as e from ev group by 1) t on t.code = x.leader
-  left join (select ev.code as leader, s.code as follower, count(*) as h from ev join sr s on s.day_idx = ev.day_idx + 3 and s.r > 0.2 group by 1, 2) y on y.leader = x.leader and y.follower = x.follower)"""
+  left join (select ev.code as leader, s.code as follower, count(*) as h from ev join sr s on s.day_idx = ev.day_idx + 3 and s.r > 0.02 group by 1, 2) y on y.leader = x.leader and y.follower = x.follower)"""
 
 
 def lift(m):
-    r = sector_returns(m)
-    days = r.agg(F.min("day_idx").alias("first"), F.max("day_idx").alias("last"))
-    return sec.contagion_lift(r, days, 0.2, 3)
+    return sec.contagion_lift(sector_returns(m), 0.02, 3)
 
 
-@query("contagion_lift", f"with {LIFT} select leader, follower, round(lift, 6) + 0.0 as lift from lf", "bars calendar")
+@query("contagion_lift", f"with {LIFT} select leader, follower, round(lift, 6) + 0.0 as lift from lf", SECTOR_VIEWS)
 def contagion_lift(m):
     return lift(m).withColumn("lift", r6("lift"))
 
 
-@query("strongest_pairs", f"with {LIFT} select leader, follower, round(lift, 6) + 0.0 as lift from lf where leader <> follower order by round(lift, 9) desc, leader, follower limit 10", "bars calendar")
+@query("strongest_pairs", f"with {LIFT} select leader, follower, round(lift, 6) + 0.0 as lift from lf where leader <> follower order by round(lift, 9) desc, leader, follower limit 10", SECTOR_VIEWS)
 def strongest_pairs(m):
     return sec.strongest_pairs(lift(m).withColumn("lift", F.round("lift", 9))).withColumn("lift", r6("lift"))
 
@@ -351,10 +356,10 @@ RELAY = f"""{FOLLOW}, dy as (select code, trade_date, day_idx, ret from (select
  cf as (select *, bool_or(cold) over (partition by day_idx) as any_cold from ce)"""
 
 
-@query("sector_relay", f"with {RELAY} select * from (select trade_date, day_idx, code, row_number() over (partition by day_idx order by o) as rank from cf where cold or not any_cold) where rank <= 3", "bars calendar")
+@query("sector_relay", f"with {RELAY} select * from (select trade_date, day_idx, code, row_number() over (partition by day_idx order by o) as rank from cf where cold or not any_cold) where rank <= 3", SECTOR_VIEWS)
 def sector_relay(m):
-    g = grid(m)
-    follow = sec.top_followers(sec.lag_correlation(sec.sector_returns(g), 5))
+    g = sector_grid(m)
+    follow = sec.top_followers(sec.lag_correlation(sec.sector_returns(g), [5]))
     return sec.relay_targets(g, follow)
 
 
