@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.session import store_once
+
 
 def average_rank(c: Column | str, keys: list[str]) -> Column:
     """Rank with ties sharing their mean rank, inside a group bounded by its key
@@ -40,9 +42,17 @@ def running_totals(
     ).drop("_bucket", *[f"_o_{n}" for n in sums])
 
 
-def score_bucket(scored: DataFrame, score: str, pieces: int = 128) -> Column:
-    """Index of the quantile range a score falls in. The cut points are one small array from
-    a scalar subquery, so the plan stays lazy and the driver sees nothing."""
-    probs = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-    cuts = scored.select(F.percentile_approx(score, probs, F.lit(1000)).alias("cuts")).scalar()
-    return F.array_position(F.sort_array(F.array_append(cuts, F.col(score))), F.col(score))
+def range_totals(df: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
+    """Running sums in the order of one column, this row included, as columns named by ``sums``.
+
+    Rows are dealt by range of ``order``; a range's sums start from the totals of those before it, of which there
+    is a row per range. The number of ranges is that of the shuffle's partitions, which follows the rows. The dealt rows are
+    stored, so that a range means the same rows wherever it is used.
+    """
+    ranged = store_once(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_range", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(before, "_range").withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_o_{n}") for n, c in sums.items()})
+    return out.drop("_range", *[f"_o_{n}" for n in sums])

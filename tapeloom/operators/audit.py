@@ -155,18 +155,18 @@ def repair_day(feats: DataFrame, trade_date, rules: list[Rule], thresholds: Data
     df = add(df, {f"_prev_{c}": t.lag(c) for c in previous}) if previous else df
     df = df.where(F.col("trade_date") == day)
     medians = [r.feature for r in rules if r.fill == "median"]
-    one = df.agg(F.lit(1).alias("_k"), *[F.percentile(c, F.lit(0.5)).alias(f"_med_{c}") for c in medians])
+    one = df.agg(F.struct(F.lit(len(medians)).alias("n"), *[F.percentile(c, F.lit(0.5)).alias(c) for c in medians]))
     bounds = _bounds(rule_frame(feats.sparkSession, rules), thresholds)
-    wide = bounds.groupBy(F.lit(1).alias("_k")).agg(*[
-        F.max(F.when(F.col("feature") == c, F.col(e))).alias(f"_{e}_{c}") for c in columns for e in ("lo", "hi")
-    ])
-    df = df.withColumn("_k", F.lit(1)).join(one, "_k").join(wide, "_k")
+    wide = bounds.agg(F.struct(*[
+        F.max(F.when(F.col("feature") == c, F.col(e))).alias(f"{e}_{c}") for c in columns for e in ("lo", "hi")
+    ]))
+    df = df.select("*", one.scalar().alias("_median"), wide.scalar().alias("_bound"))
     out = {}
     for r in rules:
         c = r.feature
         x = {"zero": f"coalesce({c}, 0)", "prev": f"coalesce({c}, _prev_{c})",
-             "median": f"coalesce({c}, _med_{c}, 0)"}.get(r.fill, c)
-        lo, hi = f"_lo_{c}", f"_hi_{c}"
+             "median": f"coalesce({c}, _median.{c}, 0)"}.get(r.fill, c)
+        lo, hi = f"_bound.lo_{c}", f"_bound.hi_{c}"
         if r.action == "clip":
             x = f"case when {x} < {lo} then {lo} when {x} > {hi} then {hi} else {x} end"
         elif r.action == "drop_stock":
@@ -336,8 +336,12 @@ ATOL_RSI, ATOL_KDJ, ATOL_MACD, RTOL_MACD = 0.5, 1.0, 5e-4, 0.05
 
 
 def vendor_mismatches(feats: DataFrame, vendor: DataFrame, trade_date) -> DataFrame:
-    """Our features of day T against a vendor's indicators of the day before, on the vendor's
-    scale; MACD must miss both an absolute and a relative tolerance."""
+    """Our features of day T, which know the day before, against the vendor's indicators of that day (its latest before
+    T), on the vendor's scale; MACD must miss both an absolute and a relative tolerance. ``vendor``
+    has (code, trade_date, rsi_12, kdj_j, macd, close_qfq)."""
+    day = F.lit(trade_date).cast("date")
+    before = vendor.where(F.col("trade_date") < day).agg(F.max("trade_date")).scalar()
+    vendor = vendor.where(F.col("trade_date") == before)
     today = feats.where(F.col("trade_date") == F.lit(trade_date).cast("date")).select("code", "rsi12", "kdj_j", "macd_hist_norm")
     both = today.join(vendor.select("code", "rsi_12", F.col("kdj_j").alias("v_kdj"), "macd", "close_qfq"), "code")
     base = F.when(F.col("close_qfq") != 0, F.col("close_qfq"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.ranks import average_rank, score_bucket
+from tapeloom.functions.ranks import average_rank, range_totals
 from tapeloom.operators.calendar import at_offset, with_day_idx
 
 
@@ -66,18 +66,13 @@ def auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFr
     """Area under the ROC curve with ties at half weight, 0.5 when one class is missing.
 
     Scores are first reduced to (score, positives, negatives), so a score shared by a third of
-    all rows is one row. Cumulative counts then run inside quantile ranges of the score and
-    are offset by the totals of the ranges below.
+    all rows is one row. Cumulative counts then run inside ranges of the score and start from the
+    totals of the ranges below.
     """
     per = scored.where(F.col(label) >= 0).groupBy(F.col(score).alias("s")).agg(
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q")
     )
-    per = per.withColumn("b", score_bucket(per, "s"))
-    offsets = per.groupBy("b").agg(F.sum("q").alias("bq")).select(
-        "b", F.coalesce(F.sum("bq").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off")
-    )
-    w = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    below = per.join(offsets, "b").select("p", "q", (F.sum("q").over(w) - F.col("q") + F.col("off")).alias("less"))
+    below = range_totals(per, "s", {"upto": "q"}).select("p", "q", (F.col("upto") - F.col("q")).alias("less"))
     wins = F.sum(F.col("p") * (F.col("less") + F.col("q") / 2.0))
     return below.agg(
         F.coalesce(F.sum("p"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("q"), F.lit(0)).alias("n_neg"),
@@ -102,13 +97,7 @@ def classifier_summary(scored: DataFrame, k: int = 10, **names) -> DataFrame:
     """n_valid, base rate, AUC and precision at k as one row."""
     valid = scored.where(F.col("label") >= 0)
     base = valid.agg(F.count(F.lit(1)).alias("n_valid"), F.coalesce(F.avg(F.col("label").cast("double")), F.lit(0.0)).alias("base_rate"))
-    one = F.lit(1).alias("_k")
-    return (
-        base.withColumn("_k", one)
-        .join(auc(scored).select("auc", one), "_k")
-        .join(precision_at_k(scored, k, **names).select(F.col("precision").alias("p_at_k"), one), "_k")
-        .drop("_k")
-    )
+    return base.select("*", auc(scored).select("auc").scalar().alias("auc"), precision_at_k(scored, k, **names).select("precision").scalar().alias("p_at_k"))
 
 
 # --- return series ------------------------------------------------------------
@@ -167,7 +156,6 @@ def evaluate_signals(signals: DataFrame, returns: DataFrame, calendar: DataFrame
     alpha = daily_alpha(signals, returns, calendar, horizon)
     used = signals.join(alpha.select("trade_date"), "trade_date", "left_semi")
     moved = day_turnover(used, alpha.select("trade_date"))
-    k = F.lit(1).alias("_k")
     enough = F.count("alpha") >= 2
 
     def when_enough(c, name):
@@ -180,13 +168,11 @@ def evaluate_signals(signals: DataFrame, returns: DataFrame, calendar: DataFrame
     total = signals.agg(F.count(F.lit(1)).alias("n_signals"))
     drop = additive_drawdown(alpha, "alpha", "trade_date")
     turn = moved.agg(F.coalesce(F.avg("turnover"), F.lit(0.0)).alias("turnover_avg"))
-    out = stats.withColumn("_k", k)
-    for part in (total, drop, turn):
-        out = out.join(part.withColumn("_k", k), "_k")
+    out = stats.select("*", total.scalar().alias("n_signals"), drop.scalar().alias("max_drawdown"), turn.scalar().alias("turnover_avg"))
     two = F.col("n_steps") >= 2
     return out.withColumn("max_drawdown", F.when(two, F.col("max_drawdown")).otherwise(0.0)).withColumn(
         "turnover_avg", F.when(two, F.col("turnover_avg")).otherwise(0.0)
-    ).drop("_k")
+    )
 
 
 def suspended_next_day(signals: DataFrame, grid: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -40,9 +40,12 @@ def _macd(df, t):
     return add(df, {"hist": "2 * (dif - dea)"}).drop("_fast", "_slow")
 
 
-def _rsi(df, t):
-    df = with_ewm(add(df, gain_loss(t, "close")), {"_ag": ("_gain", 1 / 14), "_al": ("_loss", 1 / 14)})
-    return add(df, {"rsi14": "100 - 100 / (1 + try_divide(_ag, _al))"}).drop("_gain", "_loss", "_ag", "_al")
+def rsi(n: int):
+    def compute(df, t):
+        df = with_ewm(add(df, gain_loss(t, "close")), {"_ag": ("_gain", 1 / n), "_al": ("_loss", 1 / n)})
+        return add(df, {f"rsi{n}": "100 - 100 / (1 + try_divide(_ag, _al))"}).drop("_gain", "_loss", "_ag", "_al")
+
+    return compute
 
 
 def _kdj(df, t):
@@ -69,7 +72,7 @@ REGISTRY: dict[str, Indicator] = {
         Indicator("MA20_prev", ("ma20_prev",), _ma20_prev, forward_only=True),
         Indicator("EMA12", ("ema12",), ema(12)),
         Indicator("MACD", ("dif", "dea", "hist"), _macd, subplot=True),
-        Indicator("RSI14", ("rsi14",), _rsi, subplot=True),
+        Indicator("RSI14", ("rsi14",), rsi(14), subplot=True),
         Indicator("KDJ", ("k", "d", "j"), _kdj, subplot=True),
         Indicator("BOLL", ("boll_up", "boll_mid", "boll_dn"), _boll),
         Indicator("ATR14", ("atr14",), _atr, subplot=True),

@@ -167,3 +167,10 @@ def month_universe(days: DataFrame, universe: DataFrame, date: str = "trade_date
     """Rows whose code is in the universe of their month (``as_of`` = month start)."""
     members = universe.select("code", F.col("as_of").alias("_month"))
     return days.withColumn("_month", F.trunc(date, "month")).join(members, ["code", "_month"], "left_semi").drop("_month")
+
+
+def industry_map(industry: DataFrame, level: int = 1) -> DataFrame:
+    """(code, ind_code, ind_name) at industry level 1, 2 or 3."""
+    if level not in (1, 2, 3):
+        raise ValueError(f"level must be 1, 2 or 3, not {level!r}")
+    return industry.select("code", F.col(f"l{level}_code").alias("ind_code"), F.col(f"l{level}_name").alias("ind_name"))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tapeloom.functions.columns import r6
+from tapeloom.functions.rolling import Clock
 from tapeloom.operators import audit as au
 from tapeloom.operators import features as feat
+from tapeloom.operators import indicators as ind
 from tapeloom.operators import integrity as it
 from tapeloom.operators.panel import attach_forward_adjusted
 from tapeloom.plans.feature_queries import ALL_FEATURES_SQL, GROUPS, W, all_features, mentioned_panel
 from tapeloom.plans.registry import query
+from tapeloom.session import store_once
 
 DAY = "2001-06-25"
 COLS = list(feat.FEATURES)
@@ -55,7 +60,8 @@ STATS = f"""{LONG}, {RULES_SQL}, bd as (select r.*, coalesce(q_low, low) as lo,
 
 
 def feats(m):
-    return all_features(m)
+    """All features, stored, as thresholds and statistics read them again and again."""
+    return store_once(all_features(m), "features")
 
 
 def stats(m):
@@ -69,7 +75,7 @@ def stats(m):
 def quality_rules_share(m):
     from tapeloom.operators.evaluate import unpivot
 
-    long = unpivot(feats(m), [], COLS).where("value is not null").join(au.rule_frame(m.spark, audited_rules()), "feature")
+    long = unpivot(all_features(m), [], COLS).where("value is not null").join(au.rule_frame(m.spark, audited_rules()), "feature")
     return long.groupBy("feature", "warmup", "action").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").between(F.col("low"), F.col("high"))).alias("inside"))
 
 
@@ -141,20 +147,25 @@ def spot_check(m):
     return au.spot_check(panel, feat.compute_features(panel, SPOT), DAY)
 
 
-@query("vendor_mismatches", f"""with {_feats_sql(['technical'])}, t as (select code, rsi12, kdj_j, macd_hist_norm, cast(substr(code, 2) as integer) as k from feats where trade_date = date '{DAY}'),
-  v as (select *, (rsi12 + 0.5) * 100 + 0.2 * (k % 6) as rsi_12, (kdj_j + 0.5) * 100 - 0.4 * (k % 5) as v_kdj, macd_hist_norm * 10 * (1 + 0.03 * (k % 4)) as macd, 10.0 as cq from t),
-  p as (select code, 'rsi12' as feature, (rsi12 + 0.5) * 100 as ours, rsi_12 as theirs, 0.5 as atol, 0.0 as rtol from v union all
-   select code, 'kdj_j', (kdj_j + 0.5) * 100, v_kdj, 1.0, 0.0 from v union all select code, 'macd_hist_norm', macd_hist_norm * cq, macd, 5e-4, 0.05 from v)
-  select code, feature, round(ours, 5) + 0.0 as ours, round(theirs, 5) + 0.0 as theirs, round(ours - theirs, 5) + 0.0 as diff from p
+@query("vendor_mismatches", f"""with {GROUPS['technical'][1]}, t as (select * from (select code, trade_date, {', '.join(f'lag({c}) over w as {c}' for c in feat.TECHNICAL.columns)} from f {W}) where trade_date = date '{DAY}'),
+  v as (select code, case when al <> 0 then (rsi12 + 0.5) * 100 + 0.2 * (k % 6) end as rsi_12, (kdj_j + 0.5) * 100 - 0.4 * (k % 5) as v_kdj, 2 * (dif - dea) * (1 + 0.03 * (k % 4)) as macd, c as cq
+   from (select f.*, t5.al, t5.dif, t5.dea, t5.c, cast(substr(code, 2) as integer) as k from f join t5 using (code, trade_date)) where trade_date = (select max(trade_date) from f where trade_date < date '{DAY}')),
+  p as (select code, 'rsi12' as feature, (rsi12 + 0.5) * 100 as ours, rsi_12 as theirs, 0.5 as atol, 0.0 as rtol from t join v using (code) union all
+   select code, 'kdj_j', (kdj_j + 0.5) * 100, v_kdj, 1.0, 0.0 from t join v using (code) union all select code, 'macd_hist_norm', macd_hist_norm * cq, macd, 5e-4, 0.05 from t join v using (code))
+  select code, feature, round(ours, 4) + 0.0 as ours, round(theirs, 4) + 0.0 as theirs, round(ours - theirs, 4) + 0.0 as diff from p
   where abs(ours - theirs) > atol and abs(ours - theirs) / greatest(abs(theirs), 1e-6) > rtol""", "panel")
 def vendor_mismatches(m):
-    f = feat.compute_features(attach_forward_adjusted(m.panel), (feat.TECHNICAL,))
+    panel = attach_forward_adjusted(m.panel)
+    f = feat.compute_features(panel, (feat.TECHNICAL,))
+    # a vendor knows nothing of our features: its frame is made by the chart indicators, of every day, from the same prices
     k = F.substring("code", 2, 10).cast("int")
-    vendor = f.where(F.col("trade_date") == DAY).select(
-        "code", ((F.col("rsi12") + 0.5) * 100 + 0.2 * (k % 6)).alias("rsi_12"), ((F.col("kdj_j") + 0.5) * 100 - 0.4 * (k % 5)).alias("kdj_j"),
-        (F.col("macd_hist_norm") * 10 * (1 + 0.03 * (k % 4))).alias("macd"), F.lit(10.0).alias("close_qfq"))
+    charts = panel.select("code", "trade_date", *[F.col(f"{c}_qfq").alias(c) for c in ("open", "high", "low", "close")], "volume")
+    charts = ind.rsi(12)(ind.add_indicators(charts, ["MACD", "KDJ"]), Clock())
+    vendor = charts.select(
+        "code", "trade_date", (F.col("rsi12") + 0.2 * (k % 6)).alias("rsi_12"), (F.col("j") - 0.4 * (k % 5)).alias("kdj_j"),
+        (F.col("hist") * (1 + 0.03 * (k % 4))).alias("macd"), F.col("close").alias("close_qfq"))
     out = au.vendor_mismatches(f, vendor, DAY)
-    return out.select("code", "feature", *[r6(c, 5).alias(c) for c in ("ours", "theirs", "diff")])
+    return out.select("code", "feature", *[r6(c, 4).alias(c) for c in ("ours", "theirs", "diff")])
 
 
 # --- integrity ----------------------------------------------------------------
@@ -194,6 +205,7 @@ def row_count_jumps(m):
   select tbl as "table", day, coalesce(codes, 0) as codes, case when coalesce(codes, 0) = 0 then 'empty' when codes >= expected * 0.9 then 'ok' when codes >= expected * 0.5 then 'warn' else 'bad' end as severity
   from t cross join d left join c using (tbl, day)""", "bars moneyflow daily_basic")
 def status_grid(m):
+    m = m.between(dt.date(2001, 10, 2), dt.date(2001, 10, 22))
     return it.status_grid({"bars": m.bars, "moneyflow": m.moneyflow, "daily_basic": m.daily_basic}, {"bars": 25, "moneyflow": 30, "daily_basic": 60}, "2001-10-22", 21)
 
 

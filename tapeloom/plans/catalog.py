@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tapeloom.plans import audit_queries, cube_queries, daily_queries, feature_queries, news_queries, portfolio_queries, research_queries, stream_queries, table_queries  # noqa: F401
+from tapeloom.plans import audit_queries, cube_queries, daily_queries, feature_queries, news_queries, portfolio_queries, research_queries, stream_queries, table_queries, write_queries  # noqa: F401
 from tapeloom.plans.registry import ORACLES, QUERIES
 
 # Columns whose SQL type would differ from the Spark column.

@@ -15,6 +15,7 @@ from tapeloom.operators import signals as sig
 from tapeloom.operators.cube import index_bars
 from tapeloom.plans.feature_queries import W, guard, rounded
 from tapeloom.plans.registry import query
+from tapeloom.session import store_once
 from tapeloom.plans.research_queries import GRID, RETURNS, forward_sql, grid, returns, span
 
 # --- performance --------------------------------------------------------------
@@ -217,6 +218,7 @@ ATTR = f"""{RETURNS}, {forward_sql(5)}, ri as (select l1_code as code, trade_dat
  round(timing - c, 6) + 0.0 as reward_industry, round(selection + 0.3 * timing - c, 6) + 0.0 as reward_selection, round(excess - c, 6) + 0.0 as reward_stock
  from p join (select trade_date, 0.001 * case when k = 1 then 0 else coalesce(turnover, 0) end as c from sd left join tv using (k)) using (trade_date)""", "signals calendar industry")
 def reward_attribution(m):
+    m = m.stored()
     r = returns(m)
     fwd = lab.forward_returns(r, 5)
     by_industry = r.join(m.industry.select("code", "l1_code"), "code").groupBy("l1_code", "trade_date", "day_idx").agg(F.avg("ret").alias("ret"))
@@ -358,7 +360,7 @@ RELAY = f"""{FOLLOW}, dy as (select code, trade_date, day_idx, ret from (select
 
 @query("sector_relay", f"with {RELAY} select * from (select trade_date, day_idx, code, row_number() over (partition by day_idx order by o) as rank from cf where cold or not any_cold) where rank <= 3", SECTOR_VIEWS)
 def sector_relay(m):
-    g = sector_grid(m)
+    g = store_once(sector_grid(m), "sector_grid")
     follow = sec.top_followers(sec.lag_correlation(sec.sector_returns(g), [5]))
     return sec.relay_targets(g, follow)
 

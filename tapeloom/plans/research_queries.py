@@ -12,6 +12,7 @@ from tapeloom.operators import labels as lab
 from tapeloom.operators import universe as uni
 from tapeloom.plans.feature_queries import ALL_FEATURES_SQL, all_features, shown
 from tapeloom.plans.registry import query
+from tapeloom.session import store_once
 
 EVALUATED = list(feat.FEATURES)
 
@@ -43,12 +44,12 @@ def trade_calendar(m):
 
 @query("slice_half_open", "select code, trade_date, close from bars where trade_date >= date '1996-01-01' and trade_date < date '1997-01-06'", "bars")
 def slice_half_open(m):
-    return cal.half_open(m.bars, "1996-01-01", "1997-01-06").select("code", "trade_date", "close")
+    return cal.half_open(m.between("1996-01-01", "1997-01-06").bars, "1996-01-01", "1997-01-06").select("code", "trade_date", "close")
 
 
 @query("slice_inclusive", "select code, trade_date, close from bars where trade_date between date '1996-01-01' and date '1997-01-06'", "bars")
 def slice_inclusive(m):
-    return cal.inclusive(m.bars, "1996-01-01", "1997-01-06").select("code", "trade_date", "close")
+    return cal.inclusive(m.between("1996-01-01", "1997-01-06").bars, "1996-01-01", "1997-01-06").select("code", "trade_date", "close")
 
 
 @query("train_val_test_split", """select case when trade_date between date '1995-01-01' and date '1998-12-31' then 'train'
@@ -196,9 +197,18 @@ def feature_dispersion(m):
     return d.select("feature", r6("cv", 4).alias("cv"), r6("abs_mean").alias("abs_mean"))
 
 
-@query("feature_top_n", f"with {LONG}, r as (" + CORR.format(out="ic", v="value", f="fwd", src="long") + ") select feature, ic from r order by abs(ic) desc, feature limit 3", "panel calendar industry news_raw")
+EPOCHS = {1: ("1995-01-01", "1997-12-31"), 2: ("1998-01-01", "1999-12-31"), 3: ("2000-01-01", "2001-12-31")}
+
+
+@query("feature_top_n", f"with {LONG}, late as (select * from long where trade_date between date '{EPOCHS[3][0]}' and date '{EPOCHS[3][1]}'), r as (" + CORR.format(out="ic", v="value", f="fwd", src="late") + ") select feature, ic, 3 as epoch from r order by abs(ic) desc, feature limit 3", "panel calendar industry news_raw")
 def feature_top_n(m):
-    return ev.top_features(feature_ic(m).withColumn("epoch", F.lit(1)), 3, "ic").select("feature", "ic")
+    """The correlations of three epochs are kept; the last one names the best features."""
+    feats, fwd = store_once(all_features(m), "features"), store_once(lab.forward_returns(returns(m), 5), "forward")
+    history = None
+    for epoch, (start, end) in EPOCHS.items():
+        ic = ev.daily_correlation(cal.inclusive(feats, start, end), fwd, EVALUATED).select("feature", r6("ic").alias("ic"), F.lit(epoch).alias("epoch"))
+        history = ic if history is None else history.unionByName(ic)
+    return ev.top_features(history, 3, "ic").select("feature", "ic", "epoch")
 
 
 AUC_SQL = """r as (select label, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as rk from scores),
@@ -260,6 +270,7 @@ def signal_turnover(m):
   count(*) as n_steps, (select count(*) from signals) as n_signals, (select round(max_drawdown, 6) from dd) as max_drawdown,
   (select round(avg(turnover), 6) from sd join tv using (k) where k > 1) as turnover_avg from al""", "signals calendar")
 def signal_evaluation(m):
+    m = m.stored()
     out = ev.evaluate_signals(m.signals, returns(m), m.calendar, 5)
     return out.select("n_steps", "n_signals", *[r6(c).alias(c) for c in ("sharpe", "cum_return", "mean_per_step", "max_drawdown", "turnover_avg")])
 

@@ -33,7 +33,7 @@ def normalize(m):
 
 @query("load_code_range", "select trade_date, close from bars where code = 'N05' and trade_date between date '1997-01-01' and date '1999-12-27'", "bars")
 def load_code_range(m):
-    return tab.load(m.bars, "N05", "1997-01-01", "1999-12-27", ["trade_date", "close"])
+    return tab.load(m.between("1997-01-01", "1999-12-27").bars, "N05", "1997-01-01", "1999-12-27", ["trade_date", "close"])
 
 
 @query("date_ranges", "select code, min(trade_date) as first_date, max(trade_date) as last_date, count(*) as n from bars group by 1", "bars")
@@ -274,6 +274,7 @@ for _name, _mode, _fn, _how in (("adjust_qfq", "qfq", "last_value", "left"), ("a
 @query("load_klines_adjusted", """with w as (select * from bars where code = 'N07' and trade_date between date '1998-01-01' and date '2000-12-31'), j as (select w.*, adj_factor from w left join adj_factor using (code, trade_date)),
   k as (select *, coalesce(adj_factor / last_value(adj_factor ignore nulls) over (order by trade_date rows between unbounded preceding and unbounded following), 1) as q from j) select code, trade_date, close * q as close from k""", "bars adj_factor")
 def load_klines_adjusted(m):
+    m = m.between("1998-01-01", "2000-12-31")
     raw = tab.load(m.bars, "N07", "1998-01-01", "2000-12-31")
     return pan.adjust_prices(raw, m.adj_factor, "qfq").select("code", "trade_date", "close")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators.calendar import inclusive
+from tapeloom.session import store_once
 from tapeloom.sources.trades import bars_from_trades, trade_sequence, week_start
 
 EPOCH = "1995-01-02"
@@ -42,6 +43,14 @@ class Market:
         reach the scan; a trade date is a Monday and stands for the six days after it too."""
         return Market(self.spark, self.folder, start, end)
 
+    def stored(self, *names: str) -> Market:
+        """The same market with these of its tables (bars by default) written once, for queries that use them often; what is
+        derived from them follows."""
+        out = Market(self.spark, self.folder, self.start, self.end)
+        for name in names or ("bars",):
+            out.__dict__[name] = store_once(getattr(out, name), name)
+        return out
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
