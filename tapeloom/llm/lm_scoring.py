@@ -205,25 +205,24 @@ def order_counts(docs: DataFrame) -> list[DataFrame]:
 
 
 def least_count(counts: DataFrame, nodes: int) -> int:
-    """The least count that at most ``nodes`` windows have; 1 if these are all."""
-    by_count = counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("entries")).orderBy(F.desc("n")).collect()
-    held = np.cumsum([r.entries for r in by_count])
-    return by_count[int(np.searchsorted(held, nodes, side="right"))].n + 1 if len(held) and held[-1] > nodes else 1
-
-
-def trie_of(orders: list[DataFrame], least: int = 1) -> ByteTrie:
-    kept = [c.filter(F.col("n") >= least).toArrow() for c in orders]
+    """A count that at most ``nodes`` windows reach, about the least such; 1 if these are all. Counts are told by eighths of
+    powers of two, some five hundred rows at any size, so windows of about equal counts stay in or out together."""
+    eighth = F.floor(F.log2("n") * 8).alias("eighth")
+    told = counts.groupBy(eighth).agg(F.count("*").alias("entries"), F.min("n").alias("least"), F.max("n").alias("most")).orderBy(F.desc("eighth")).collect()
+    held = np.cumsum([r.entries for r in told])
+    if not len(held) or held[-1] <= nodes:
+        return 1
+    fitting = int(np.searchsorted(held, nodes, side="right"))
+    return told[fitting - 1].least if fitting else told[0].most + 1
+
+
+def trie_of(orders: list[DataFrame]) -> ByteTrie:
+    kept = [c.toArrow() for c in orders]
     keys = [np.asarray(t.column("window")).astype(np.uint64) for t in kept]
     order = [np.argsort(k) for k in keys]
     return ByteTrie([k[o] for k, o in zip(keys, order)], [np.asarray(t.column("n")).astype(np.int64)[o] for t, o in zip(kept, order)])
 
 
-def learn_trie(docs: DataFrame, nodes: int = 1 << 20) -> ByteTrie:
-    """A sketch of the model in at most ``nodes`` entries per order; the whole model if it fits."""
-    orders = order_counts(docs)
-    return trie_of(orders, max(least_count(c, nodes) for c in orders[1:]))  # order 0 has 256 entries at most
-
-
 def _suffix(column: str, size: int) -> Column:
     return F.col(column).bitwiseAND((1 << (8 * size)) - 1)
 
@@ -288,12 +287,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
+        size = 0
         for batch in text_slices(batches):
             for text in byte_texts(batch):
                 seen.update(text.lower().split())
-            if len(seen) > 1_000_000:
+                size += len(text)
+            if len(seen) > 1_000_000 or size > 256 << 20:  # the words are no longer than their texts
                 yield from _pairs(seen)
                 seen.clear()
+                size = 0
         yield from _pairs(seen)
 
     return docs.select("text").mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -349,7 +351,9 @@ def score_documents(docs: DataFrame, held_out: Column, frequent: int = 1 << 18,
     told, ends = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first(), train.count()
     tokens, distinct = told.n + ends, told.v + (ends > 0)
     unit, end_log = float(np.log10(tokens + distinct + 1)), float(np.log10(ends + 1))
-    top = counts.filter(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+    # of short words many, of longer ones some, so that the table's bytes are bounded and a frequent ruler line is no hot key
+    best = lambda words, most: words.orderBy(F.desc("n"), "word").limit(most)
+    top = best(counts.filter(F.length("word") <= 64), frequent).unionByName(best(counts.filter(F.length("word").between(65, 4096)), frequent >> 8)).toArrow()
     table = spark.sparkContext.broadcast((b" ".join(top.column("word").to_pylist()), np.asarray(top.column("n")).astype(np.int64)))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -432,15 +432,24 @@ def test_scores_are_exact_beyond_the_broadcast_windows(odd, docs, nodes):
         assert all(math.isclose(g[3], w[3], rel_tol=1e-9) for g, w in zip(got, want))
 
 
-def test_a_bounded_trie_keeps_probabilities(docs):
-    """With few nodes the costs of all 256 symbols after a context still sum to one."""
-    trie = lm_scoring.learn_trie(docs, nodes=400)
-    assert max(map(len, trie.entries)) <= 400
+def test_costs_of_all_symbols_sum_to_one(docs):
+    trie = lm_scoring.trie_of(lm_scoring.order_counts(docs))
     for context in (b"the ", b"zzzz", lm_scoring.START * 4, b" de "):
         keys = np.array([(int.from_bytes(context, "big") << 8) | s for s in range(256)], np.uint64)
         assert math.isclose((10 ** trie.costs(keys)).sum(), 1, rel_tol=1e-9)
 
 
+def test_what_is_broadcast_stays_within_its_bound(spark):
+    """However many windows share a count, no more than ``nodes`` reach the least one."""
+    cases = [[70_000] * 5_000, [70_000] * 5_000 + [10**9] * 3, list(range(1, 3_000)), [1] * 20, []]
+    for n in cases:
+        counts = spark.createDataFrame([(k, x) for k, x in enumerate(n)], "window long, n long")
+        for nodes in (1, 10, 700, 10_000):
+            least = lm_scoring.least_count(counts, nodes)
+            assert sum(x >= least for x in n) <= nodes and (least == 1) == (len(n) <= nodes)
+    assert lm_scoring.least_count(spark.createDataFrame([(k, x) for k, x in enumerate(cases[1])], "window long, n long"), 10) == 10**9
+
+
 # --- 10: URL rules and trust --------------------------------------------------------------
 
 
