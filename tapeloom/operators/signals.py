@@ -29,12 +29,26 @@ def ma_cross(bars: DataFrame, short: int = 5, long: int = 20) -> DataFrame:
     """signal 1 when the short average crosses above the long one, -1 below, else 0. The side
     before is the last one on which the averages differed."""
     t = Clock()
-    df = add(bars, {"_d": f"{t.mean('close', short)} - {t.mean('close', long)}"})
+    return _crossing(add(bars, {"_d": f"{t.mean('close', short)} - {t.mean('close', long)}"}), t)
+
+
+def _crossing(df: DataFrame, t: Clock) -> DataFrame:
     df = add(df, {"_was": f"last(nullif(_d, 0), true) {t.before}"})
     side = "case when _was < 0 and _d > 0 then 1 when _was > 0 and _d < 0 then -1 else 0 end"
     return add(df, {"signal": side}).drop("_d", "_was")
 
 
+def ma_cross_grid(bars: DataFrame, params: list[dict]) -> DataFrame:
+    """``ma_cross`` for every parameter set at once, ``param`` being its number: a window per distinct length over one
+    chain of bars, which is then spelled out once per set."""
+    t = Clock()
+    lengths = sorted({n for p in params for n in (p["short"], p["long"])})
+    df = add(bars, {f"_m{n}": t.mean("close", n) for n in lengths})
+    sides = [F.struct(F.lit(i).alias("param"), (F.col(f"_m{p['short']}") - F.col(f"_m{p['long']}")).alias("_d")) for i, p in enumerate(params)]
+    df = df.select(*bars.columns, F.explode(F.array(*sides)).alias("_p")).select(*bars.columns, "_p.*")
+    return _crossing(df, Clock("code, param"))
+
+
 @strategy("dual_thrust")
 def dual_thrust(bars: DataFrame, lookback: int = 5, k1: float = 0.5, k2: float = 0.5) -> DataFrame:
     """Breakout bands around the open from the range of the bars that end yesterday."""
@@ -57,10 +71,10 @@ def weight_targets(signals: DataFrame, calendar: DataFrame, k: int = 10, period:
     return top.select("trade_date", "day_idx", "token_id", "rank", share.alias("target"))
 
 
-def next_bar_positions(signals: DataFrame, capital: float, fraction: float = 0.9, lot: int = 100) -> DataFrame:
+def next_bar_positions(signals: DataFrame, capital: float, fraction: float = 0.9, lot: int = 100, keys: str = "code") -> DataFrame:
     """Shares held after each bar's open: a signal acts at the next bar's open, buys whole lots
     and holds them until the opposite signal."""
-    t = Clock()
+    t = Clock(keys)
     df = add(signals, {"_state": f"coalesce(last(case when signal <> 0 then signal end, true) {t.so_far}, 0) > 0"})
     df = add(df, {"_on": f"coalesce({t.lag('_state')}, false)"})
     df = add(df, {"_enter": f"_on and not coalesce({t.lag('_on')}, false)"})
@@ -77,7 +91,7 @@ def next_bar_pnl(positions: DataFrame, capital: float) -> DataFrame:
     fee = F.when(traded != 0, trade_fee(amount, traded < 0)).otherwise(0.0)
     gross = F.col("prev_shares") * (F.col("open") - F.coalesce("prev_close", "open")) + F.col("shares") * (F.col("close") - F.col("open"))
     return positions.select(
-        "code", "trade_date", "shares", traded.alias("traded"), F.col("open").alias("price"), fee.alias("fee"),
+        *(c for c in ("param",) if c in positions.columns), "code", "trade_date", "shares", traded.alias("traded"), F.col("open").alias("price"), fee.alias("fee"),
         (gross - fee).alias("pnl"), ((gross - fee) / capital).alias("r"),
     )
 
@@ -170,15 +184,12 @@ def attribution(weights: DataFrame, fwd: DataFrame, industry_fwd: DataFrame, mar
         (F.col("excess") - F.col("charge")).alias("reward_stock"))
 
 
-def grid_evaluation(bars: DataFrame, splits: DataFrame, params: list[dict], make: Callable[..., DataFrame], capital: float = 1e5) -> DataFrame:
-    """Every parameter set on every train and test range: (split_id, phase, param, measures, score)."""
+def grid_evaluation(bars: DataFrame, splits: DataFrame, params: list[dict], make: Callable[[DataFrame, list[dict]], DataFrame], capital: float = 1e5) -> DataFrame:
+    """Every parameter set on every train and test range: (split_id, phase, param, measures, score). ``make`` gives the
+    signals of all sets, a row per (param, code, trade_date), so the bars are read once for any number of sets."""
     from tapeloom.operators.perf import composite_score, performance
 
-    daily = None
-    for i, p in enumerate(params):
-        pnl = next_bar_pnl(next_bar_positions(make(bars, **p), capital), capital)
-        one = pnl.withColumn("param", F.lit(i))
-        daily = one if daily is None else daily.unionByName(one)
+    daily = next_bar_pnl(next_bar_positions(make(bars, params), capital, keys="code, param"), capital)
     # all codes of a day form one portfolio; a day spells out the splits it belongs to
     per_day = daily.groupBy("param", "trade_date").agg(F.avg("r").alias("r"), F.count_if(F.col("traded") != 0).alias("trades"))
     phases = splits.select("split_id", F.explode(F.array(

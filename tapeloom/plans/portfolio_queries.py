@@ -218,8 +218,8 @@ ATTR = f"""{RETURNS}, {forward_sql(5)}, ri as (select l1_code as code, trade_dat
  round(timing - c, 6) + 0.0 as reward_industry, round(selection + 0.3 * timing - c, 6) + 0.0 as reward_selection, round(excess - c, 6) + 0.0 as reward_stock
  from p join (select trade_date, 0.001 * case when k = 1 then 0 else coalesce(turnover, 0) end as c from sd left join tv using (k)) using (trade_date)""", "signals calendar industry")
 def reward_attribution(m):
-    m = m.stored()
-    r = returns(m)
+    m = m.stored("bars", "calendar", "signals")
+    r = store_once(returns(m), "returns")
     fwd = lab.forward_returns(r, 5)
     by_industry = r.join(m.industry.select("code", "l1_code"), "code").groupBy("l1_code", "trade_date", "day_idx").agg(F.avg("ret").alias("ret"))
     ind = lab.forward_returns(by_industry.withColumnRenamed("l1_code", "code"), 5).withColumnRenamed("code", "l1_code")
@@ -233,9 +233,10 @@ PARAMS = [{"short": 3, "long": 10}, {"short": 5, "long": 20}, {"short": 5, "long
 
 
 def evaluated(m):
+    m = m.stored()
     # fourth roots tame the wild test prices, so that no portfolio loses more than it has
     scaled = m.bars.withColumns({c: F.sqrt(F.sqrt(c)) for c in ("open", "high", "low", "close")})
-    return sig.grid_evaluation(scaled, cal.walk_forward_splits(span(m)), PARAMS, sig.ma_cross)
+    return sig.grid_evaluation(scaled, cal.walk_forward_splits(span(m)), PARAMS, sig.ma_cross_grid)
 
 
 def _grid_sql() -> str:
@@ -287,7 +288,8 @@ SECTOR_VIEWS = "bars calendar industry"
 
 
 def sector_grid(m):
-    """The industries' index bars on every day."""
+    """The industries' index bars on every day, from bars that are stored."""
+    m = m.stored()
     return cal.dense_grid(index_bars(m.bars, m.industry), m.industry.select(F.col("l1_code").alias("code")), m.calendar)
 
 
@@ -335,7 +337,7 @@ LIFT = f"""{SR}, b as (select code, min(lo) as lo, max(hi) as hi, count(*) filte
 
 
 def lift(m):
-    return sec.contagion_lift(sector_returns(m), 0.02, 3)
+    return sec.contagion_lift(store_once(sector_returns(m), "sector_returns"), 0.02, 3)
 
 
 @query("contagion_lift", f"with {LIFT} select leader, follower, round(lift, 6) + 0.0 as lift from lf", SECTOR_VIEWS)

@@ -270,8 +270,8 @@ def signal_turnover(m):
   count(*) as n_steps, (select count(*) from signals) as n_signals, (select round(max_drawdown, 6) from dd) as max_drawdown,
   (select round(avg(turnover), 6) from sd join tv using (k) where k > 1) as turnover_avg from al""", "signals calendar")
 def signal_evaluation(m):
-    m = m.stored()
-    out = ev.evaluate_signals(m.signals, returns(m), m.calendar, 5)
+    m = m.stored("bars", "calendar", "signals")
+    out = ev.evaluate_signals(m.signals, store_once(returns(m), "returns"), m.calendar, 5)
     return out.select("n_steps", "n_signals", *[r6(c).alias(c) for c in ("sharpe", "cum_return", "mean_per_step", "max_drawdown", "turnover_avg")])
 
 

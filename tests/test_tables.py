@@ -84,6 +84,48 @@ def test_a_key_that_comes_twice_needs_a_sequence(make):
         tables.upsert(none, [make(schema, ("A", day, 1.0), ("A", day, 2.0))], rec).collect()
 
 
+def test_auc_over_millions_of_distinct_scores(spark):
+    rows = spark.range(2_000_000, numPartitions=8).selectExpr("xxhash64(id) as score", "int(pmod(xxhash64(id, 5), 1000) < 300 + id % 200) as label", "id")
+    rows = rows.unionByName(rows.where("id % 3 = 0").selectExpr("0L as score", "label", "id"))  # and one score that a quarter of all rows share
+    got = evaluate.auc(rows).first()
+    pdf = rows.toPandas()
+    rank = pdf["score"].rank(method="average").to_numpy()
+    pos = pdf["label"].to_numpy() == 1
+    want = (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+    assert (got.n_pos, got.n_neg) == (pos.sum(), (~pos).sum()) and got.auc == pytest.approx(want, rel=1e-12)
+
+
+def test_plans_read_the_trades_once(spark):
+    """However often a query uses bars or features, they are derived once, and no side is joined on a literal."""
+    from tapeloom.plans.catalog import QUERIES
+
+    for name in ("signal_evaluation", "reward_attribution", "walk_forward_best", "repair_day", "audit_report", "contagion_lift"):
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        text = df._jdf.queryExecution().toString()
+        assert "lineitem" not in text and "CartesianProduct" not in text and "NestedLoop" not in text, name
+
+
+def test_grid_of_averages_equals_single_runs(make):
+    from tapeloom.operators import signals as sig
+
+    rng = np.random.default_rng(8)
+    rows = [(c, D(2024, 1, 1) + dt.timedelta(days=i), float(p)) for c in "AB" for i, p in enumerate(np.round(100 + rng.normal(0, 2, 80).cumsum(), 1))]
+    bars = make("code string, trade_date date, close double", *rows)
+    params = [{"short": 2, "long": 5}, {"short": 3, "long": 8}, {"short": 2, "long": 8}]
+    got = {(r.param, r.code, r.trade_date): r.signal for r in sig.ma_cross_grid(bars, params).collect()}
+    want = {(i, r.code, r.trade_date): r.signal for i, p in enumerate(params) for r in sig.ma_cross(bars, **p).collect()}
+    assert got == want and {-1, 1} <= set(got.values())
+
+
+def test_industry_map_levels(make):
+    from tapeloom.operators import universe as uni
+
+    tree = make("code string, l1_code string, l1_name string, l2_code string, l2_name string, l3_code string, l3_name string", ("A", "1", "a", "2", "b", "3", "c"))
+    assert [tuple(uni.industry_map(tree, k).first()) for k in (1, 2, 3)] == [("A", "1", "a"), ("A", "2", "b"), ("A", "3", "c")]
+    with pytest.raises(ValueError):
+        uni.industry_map(tree, 4)
+
+
 def test_late_rows_are_dropped(spark):
     """Of the arrivals some are late and some repeated, and each query's twin leaves some out."""
     from tapeloom.plans import stream_queries as sq
