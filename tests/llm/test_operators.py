@@ -357,6 +357,24 @@ def test_classifier(spark, odd, none):
     assert rows_of(quality_classifier.score_quality(none, labels, F.lit(False))) == []
 
 
+def test_compiled_rules_equal_rules_in_python(spark, docs, odd):
+    """The ensemble's column against its rules applied one by one to the statistics of each text."""
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    texts = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    measured = quality_classifier.staged(quality_classifier.text_statistics(texts), "statistics")
+    model = quality_classifier.learn_quality(measured, labels, fold(F.col("doc_id"), 4, 2))
+    assert len(model.rules) > 3
+
+    def score(text):
+        t = Text(text)
+        s = {name: float(f(t)) for name, f in quality_classifier.STATISTICS.items()}
+        fired = [w for w, rule in model.rules if all(s[x.statistic] > x.threshold if x.above else s[x.statistic] <= x.threshold for x in rule)]
+        return 1 / (1 + math.exp(-(model.intercept + sum(fired))))
+
+    want = sorted(round(score(r.text), 9) for r in texts.collect())
+    assert np.allclose(sorted(r.score for r in measured.select(model.score().alias("score")).collect()), want, atol=1e-8)
+
+
 # --- 9: language-model scores -------------------------------------------------------------
 
 
