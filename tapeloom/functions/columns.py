@@ -12,15 +12,6 @@ def r6(c: Column | str, digits: int = 6) -> Column:
     return F.round(c.cast("double"), digits) + F.lit(0.0)
 
 
-def null_if(c: Column, bad) -> Column:
-    return F.when(c != F.lit(bad), c)
-
-
-def nan_to_null(c: Column) -> Column:
-    """The data model has one missing value: NULL."""
-    return F.when(~F.isnan(c), c)
-
-
 def at_least(c: Column, low: float) -> Column:
     """Lower clamp that keeps NULL (``greatest`` would replace it)."""
     return F.when(c < low, F.lit(float(low))).otherwise(c)
@@ -33,10 +24,6 @@ def clamp(c: Column, low, high) -> Column:
     ).otherwise(c)
 
 
-def log_ratio(now: Column, before: Column) -> Column:
-    return F.ln(F.try_divide(now, before))
-
-
 def nan_safe(c: Column, default: float = 0.0) -> Column:
     """NaN or NULL becomes the default."""
     return F.coalesce(F.nanvl(c, F.lit(None).cast("double")), F.lit(float(default)))

@@ -325,10 +325,13 @@ def spot_check(panel: DataFrame, feats: DataFrame, trade_date, tolerance: float
     made = made.selectExpr("code", *plain, *[f"{exprs[n]} as {n}" for n in SPOT_RECURSIVE])
     expected = unpivot(made, ["code"], list(exprs)).withColumnRenamed("value", "expected")
     actual = unpivot(feats.where(F.col("trade_date") == day), ["code"], list(exprs))
-    both = expected.join(actual, ["code", "feature"]).where(F.col("expected").isNotNull() & F.col("value").isNotNull())
+    both = expected.join(actual, ["code", "feature"])
+    known = F.col("expected").isNotNull() & F.col("value").isNotNull()
+    one = F.col("expected").isNull() != F.col("value").isNull()
     limit = F.when(F.col("feature").isin(*SPOT_RECURSIVE), 1e-5).otherwise(tolerance)
     off = F.abs(F.col("value") - F.col("expected")) > limit * F.greatest(F.abs("expected"), F.lit(1.0))
-    return both.groupBy("feature").agg(F.count(F.lit(1)).alias("compared"), F.count_if(off).alias("mismatches"))
+    told = both.groupBy("feature").agg(F.count_if(known).alias("compared"), F.count_if(known & off).alias("mismatches"), F.count_if(one).alias("one_sided"))
+    return told.where("compared + one_sided > 0")
 
 
 # Tolerances of the vendor comparison.

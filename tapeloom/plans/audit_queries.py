@@ -141,7 +141,7 @@ SPOT_COLS = list(au._spot_expressions())
 
 @query("spot_check", f"""with {SPOT_FEATS}, ok as (select code from panel where trade_date <= date '{DAY}' group by 1 having count(*) > 61 and max(trade_date) = date '{DAY}'),
   long as (select * from (unpivot (select {', '.join(SPOT_COLS)} from feats join ok using (code) where trade_date = date '{DAY}') on {', '.join(SPOT_COLS)} into name feature value value))
-  select feature, count(*) as compared, 0 as mismatches from long group by 1""", "panel")
+  select feature, count(*) as compared, 0 as mismatches, 0 as one_sided from long group by 1""", "panel")
 def spot_check(m):
     panel = attach_forward_adjusted(m.panel)
     return au.spot_check(panel, feat.compute_features(panel, SPOT), DAY)

@@ -11,7 +11,7 @@ _TYPES = {
         "features_all": "is_yi_zi news_mentioned_t news_mentioned_t1",
     },
     "bigint": {
-        "causality_audit": "look_ahead", "spot_check": "mismatches", "integrity_summary": "issues",
+        "causality_audit": "look_ahead", "spot_check": "mismatches one_sided", "integrity_summary": "issues",
         "news_day_summary": "text_length", "news_ingest_report": "text_length", "news_baseline": "mentions_total",
         "news_monthly_baselines": "mentions_total", "news_covered_industries": "mentions_total", "trade_fees": "lots",
         "grid_evaluation": "trades", "walk_forward_best": "oos_trades", "repair_counts": "deleted",
