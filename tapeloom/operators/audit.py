@@ -212,6 +212,9 @@ def _spot_expressions() -> dict[str, str]:
     def over(fn, x, n):
         return f"{fn}(case when k < {n} then {x} end)"
 
+    def whole(x, n):
+        return f"case when {over('count', x, n)} = {n} then {over('sum', x, n)} end"
+
     def corr(n, need):
         pair = f"k < {n} and r is not null and volume is not null"
         x, y = f"case when {pair} then r end", f"case when {pair} then volume end"
@@ -236,10 +239,10 @@ def _spot_expressions() -> dict[str, str]:
         "ret_20d": f"ln(try_divide({c}, {at('close', 20)}))",
         "range_pct": f"try_divide({at('high', 0)} - {at('low', 0)}, {c})",
         "gap": f"try_divide({at('open', 0)}, {at('close', 1)}) - 1",
-        "ma5_dev": f"try_divide({c} * 5, {over('sum', 'close', 5)}) - 1",
-        "ma20_dev": f"try_divide({c} * 20, {over('sum', 'close', 20)}) - 1",
-        "ma60_dev": f"try_divide({c} * 60, {over('sum', 'close', 60)}) - 1",
-        "ma_short_long": f"try_divide({over('sum', 'close', 5)} * 4, {over('sum', 'close', 20)}) - 1",
+        "ma5_dev": f"try_divide({c} * 5, {whole('close', 5)}) - 1",
+        "ma20_dev": f"try_divide({c} * 20, {whole('close', 20)}) - 1",
+        "ma60_dev": f"try_divide({c} * 60, {whole('close', 60)}) - 1",
+        "ma_short_long": f"try_divide({whole('close', 5)} * 4, {whole('close', 20)}) - 1",
         "vol_ratio_5": f"try_divide({v} * 5, {over('sum', 'volume', 5)})",
         "vol_z20": f"try_divide({v} - {over('avg', 'volume', 20)}, {over('stddev_pop', 'volume', 20)})",
         "vol_ret_corr20": corr(20, 20),
