@@ -94,17 +94,14 @@ MONTH_PRICE = Record("month_prices", ("code", "trade_date"), "code string, trade
 def stream_upsert(m):
     """Three batches of rows with repeated keys go into one table, each in the order of its own sequence;
     then all of them are delivered once more, from a fresh checkpoint."""
-    folder, checks = scratch_dir(m.spark, "prices"), [scratch_dir(m.spark, "prices-checkpoint") for _ in range(2)]
     store = DayStore(m.spark, scratch_dir(m.spark, "month_prices"), MONTH_PRICE.schema)
     key = F.col("l_orderkey")
     rows = m.table("lineitem").select(
         F.concat(F.lit("P"), (F.col("l_partkey") % 200).cast("string")).alias("code"), F.trunc(F.col("l_shipdate").cast("date"), "month").alias("trade_date"),
         F.col("l_extendedprice").alias("price"), key.alias("orderkey"), (key % 1000).alias("seq"), (F.col("l_linenumber") % 3).alias("batch"))
-    for k in range(3):
-        rows.where(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(folder)
-    stream = jobs.read_files(m.spark, folder, rows.drop("batch").schema, files_per_batch=1)
-    for check in checks:
-        jobs.upsert_files(stream, store, MONTH_PRICE, check, "seq")
+    parts = [rows.where(F.col("batch") == k).drop("batch") for k in range(3)]
+    for _ in range(2):
+        jobs.upsert_in_parts(parts, store, MONTH_PRICE, "prices", "seq")
     return store.read()
 
 

@@ -70,6 +70,16 @@ def upsert_files(stream: DataFrame, store: DayStore, record: Record, checkpoint:
     query.awaitTermination()
 
 
+def upsert_in_parts(parts: list[DataFrame], store: DayStore, record: Record, label: str, sequence: str | None = None, source: str = "files") -> None:
+    """One delivery of the parts, from a fresh checkpoint: the files of a part, as many as tasks wrote, are one micro-batch,
+    for the stream ends when it has read a part and is started again for the next one."""
+    spark = parts[0].sparkSession
+    base = scratch_dir(spark, label)
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/arrived")
+        upsert_files(read_files(spark, f"{base}/arrived", part.schema), store, record, f"{base}/checkpoint", sequence, source)
+
+
 def counter_kpis(events: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Count, sum and mean per scope, name and tumbling window; events later than the delay
     are dropped."""

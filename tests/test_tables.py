@@ -12,6 +12,8 @@ from tapeloom.functions.quantiles import exact_quantiles
 from tapeloom.functions.ranks import running_totals
 from tapeloom.operators import evaluate, integrity, labels, ledger, news, sync, universe
 from tapeloom.operators import calendar as cal
+from tapeloom.plans import stream_queries
+from tapeloom.plans.catalog import QUERIES
 from tapeloom.sources import tables, vendor
 from tapeloom.sources.trades import bars_from_trades, trade_sequence, week_start
 from tapeloom.sources.day_store import DayStore
@@ -72,6 +74,26 @@ def test_stream_upsert_follows_sequence_and_ignores_replays(spark, make, tmp_pat
     assert not store.upsert(make(schema, ("A", d[1], 8.0, 1)), rec, "seq", "other", 0) and read()[("A", 3)] == 7.0
 
 
+def test_stream_upsert_query_writes_its_parts_by_several_tasks(spark, tmp_path, monkeypatch):
+    folders = []
+
+    def scratch(_, label):
+        folders.append(str(tmp_path / f"{label}-{len(folders)}"))
+        return folders[-1]
+
+    for module in (jobs, stream_queries):
+        monkeypatch.setattr(module, "scratch_dir", scratch)
+    trades = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    trades.repartition(4).write.parquet(str(tmp_path / "in/lineitem.parquet"))
+    got = QUERIES["stream_upsert"](spark, str(tmp_path / "in"))
+    # a part is one micro-batch whatever the number of its files, and no task writes a whole part
+    store = next(f for f in folders if "month_prices" in f)
+    assert {(r.version, r.batch) for r in DayStore(spark, store, got.schema).versions().collect()} == {(k, k) for k in range(3)}
+    arrived = [p for p in tmp_path.rglob("*.parquet") if p.is_file() and p.relative_to(tmp_path).parts[0].startswith("prices-")]
+    assert len(arrived) == 2 * 3 * 4
+    assert got.exceptAll(QUERIES["stream_upsert"](spark, "/root/testdata/sf0.001")).isEmpty()
+
+
 def test_a_key_that_comes_twice_needs_a_sequence(make):
     rec = schemas.RECORDS["adj_factor"]
     schema, day = "code string, trade_date date, adj_factor double", D(2024, 1, 2)
