@@ -11,6 +11,7 @@ from tapeloom.functions.quantiles import exact_quantiles
 from tapeloom.functions.rolling import Clock, add, pick
 from tapeloom.operators.evaluate import unpivot
 from tapeloom.operators.features import LIMIT_UP, FeatureSource, compute_features
+from tapeloom.session import store_once
 
 WINDOW_DAYS = 252
 MIN_SAMPLES = 1000
@@ -86,12 +87,13 @@ def rule_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
 
 def rolling_thresholds(feats: DataFrame, trade_date, columns: list[str]) -> DataFrame:
     """0.5 % and 99.5 % quantiles per feature over the last panel dates up to ``trade_date``,
-    where enough values exist."""
+    where enough values exist. Stored: they are two numbers per feature, and the buffers of their derivation would
+    else be held once more by the task of every statistic that uses them."""
     past = feats.where(F.col("trade_date") <= F.lit(trade_date).cast("date"))
     dates = past.select("trade_date").distinct().orderBy(F.col("trade_date").desc()).limit(WINDOW_DAYS)
     long = unpivot(past.join(dates, "trade_date", "left_semi"), [], columns)
     q = exact_quantiles(long, ["feature"], "value", {"q_low": 0.005, "q_high": 0.995})
-    return q.where(F.col("n") >= MIN_SAMPLES).select("feature", "q_low", "q_high")
+    return store_once(q.where(F.col("n") >= MIN_SAMPLES).select("feature", "q_low", "q_high"), "thresholds")
 
 
 def _bounds(rules: DataFrame, thresholds: DataFrame) -> DataFrame:

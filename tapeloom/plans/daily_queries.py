@@ -16,7 +16,7 @@ from tapeloom.plans.dictionary import ENTRIES
 from tapeloom.plans.feature_queries import ALL_FEATURES_SQL
 from tapeloom.plans.registry import query
 from tapeloom.plans.view_sql import VIEWS
-from tapeloom.session import scratch_dir
+from tapeloom.session import scratch_dir, store_once
 from tapeloom.sources.day_store import DayStore
 
 #: What is stored before the first run, and the days that are then run one after the other.
@@ -75,7 +75,8 @@ def daily_job(m):
     shown = []
     for day, stats, report in run_days(m)[1]:
         both = stats.join(report.select("feature", F.col("alerts").cast("bigint").alias("alerts")), "feature")
-        shown.append(both.select(F.lit(day).alias("run_day"), "feature", "source", "n", "n_missing", "n_below", "n_above", r6("lo").alias("lo"), r6("hi").alias("hi"), "alerts"))
+        told = both.select(F.lit(day).alias("run_day"), "feature", "source", "n", "n_missing", "n_below", "n_above", r6("lo").alias("lo"), r6("hi").alias("hi"), "alerts")
+        shown.append(store_once(told, "day_report"))  # a union would hold the buffers of all days in one task
     return reduce(DataFrame.unionByName, shown)
 
 

@@ -5,10 +5,12 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tapeloom.operators import audit
 from tapeloom.operators import cube as cu
 from tapeloom.operators import daily
 from tapeloom.operators.features import FEATURES
 from tapeloom.plans import daily_queries
+from tapeloom.plans.catalog import QUERIES
 from tapeloom.plans.cube_queries import cube
 from tapeloom.session import scratch_dir
 from tapeloom.sources.market_views import Market
@@ -112,3 +114,14 @@ def test_the_year_reaches_the_scan(market):
 def test_year_before():
     assert daily.year_before(D(2024, 3, 31)) == D(2023, 3, 31)
     assert daily.year_before(D(2024, 2, 10)) == D(2023, 1, 1)
+
+
+def test_thresholds_and_daily_reports_are_stored(spark):
+    day = D(2024, 1, 8)
+    rows = spark.range(2001).select(F.lit("A").alias("code"), F.lit(day).alias("trade_date"), F.col("id").cast("double").alias("x"))
+    thresholds = audit.rolling_thresholds(rows, day, ["x"])
+    assert [tuple(r) for r in thresholds.collect()] == [("x", 10.0, 1990.0)]
+    # their users read two numbers per feature; sorts and windows of the quantiles are no part of their tasks
+    assert not any(step in plan(thresholds) for step in ("Exchange", "Sort", "Window"))
+    shown = plan(QUERIES["daily_job"](spark, FOLDER))
+    assert not any(step in shown for step in ("Exchange", "Sort", "Aggregate", "Join"))
