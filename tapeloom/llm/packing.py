@@ -51,17 +51,32 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
-        new = list(set().union(*words).difference(self.known))
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        ids = [_packed(e.ids) for e in found]
-        self.known.update(zip(new, ids))
-        out = [b"".join(map(self.known.__getitem__, w)) for w in words]
+        found = [list(map(self.known.get, w)) for w in words]  # the one look-up of a known word
+        missing = [[k for k, i in enumerate(f) if i is None] for f in found]
+        new = list({w[k] for w, at in zip(words, missing) for k in at})
+        ids = self._encode_new([w.decode("utf-8", "replace") for w in new])
+        fresh = dict(zip(new, ids))
+        for w, f, at in zip(words, found, missing):
+            for k in at:
+                f[k] = fresh[w[k]]
+        out = [b"".join(f) for f in found]
         for w, i in zip(new, ids):
             size = len(w) + len(i) + ENTRY_BYTES
             if size <= self.room:
                 self.room -= size
-            else:
-                del self.known[w]
+                self.known[w] = i
+        return out
+
+
+    def _encode_new(self, words: list[str]) -> list[bytes]:
+        """A thousand words are one pretokenized sequence: each is still normalised and split on its own, and its
+        ids are told from its neighbours' by the number of the word."""
+        chunks = [words[k : k + 1000] for k in range(0, len(words), 1000)]
+        out = []
+        for chunk, e in zip(chunks, self.tokenizer.encode_batch(chunks, is_pretokenized=True, add_special_tokens=False)):
+            ends = 4 * np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(chunk)))
+            ends, ids = ends.tolist(), _packed(e.ids)
+            out += [ids[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
 
@@ -88,7 +103,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_ids(vocabulary)
-        for batch in text_slices(batches, 2 << 20):
+        for batch in text_slices(batches, 8 << 20):
             rows, piece, start, length, crc = [], [], [], [], []
             for row, ids in enumerate(words.encode(byte_texts(batch))):
                 ids += last
