@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,18 @@ def staged(frame: DataFrame, label: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+_KEPT: dict[Hashable, Any] = {}
+
+
+def worker_keeps(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What this Python worker keeps between tasks under ``key``, made if it isn't there. It keeps one thing at a
+    time: workers outlive a query, and what the operator before kept would stay beside the next one's."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``limit`` bytes (one row at least)."""
     for batch in batches:

@@ -12,106 +12,128 @@ saves nothing. Only (row, length) pairs move; each partition's memory is bounded
 from __future__ import annotations
 
 import os
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import byte_texts, staged, text_slices
+from tapeloom.llm.common import staged, text_slices, worker_keeps
 from tapeloom.llm.token_counts import vocabulary_bytes
 
-#: Bytes that a worker's cache holds between batches, and what a word costs there besides its own bytes and its ids'.
-CACHE_BYTES, ENTRY_BYTES = 120 << 20, 170
-
-
-def _packed(ids: list[int]) -> bytes:
-    numbers = array("I", ids)
-    if sys.byteorder == "big":
-        numbers.byteswap()
-    return numbers.tobytes()
+#: Bytes of words, of their ids and of what finds both that a worker keeps between batches.
+CACHE_BYTES = 32 << 20
+#: A control character that stands alone between new words, so that one sequence holds many of them.
+MARK = "\x01"
 
 
 class WordIds:
-    """Texts -> their token ids as little-endian unsigned 32-bit bytes, word by word.
+    """Texts -> their token ids, word by word.
 
     For a tokenizer that drops white space, no token and no normalisation crosses an ASCII blank,
-    so a text's ids are the ids of its words in order. New words of a batch are encoded together;
-    they are kept until the cache is full (frequent words come early) and else serve that batch.
+    so a text's ids are the ids of its words in order. A batch is split and its words are numbered by
+    Arrow, known words first: only new ones are encoded, together. They are kept until the cache is full
+    (frequent words come early) and else serve that batch.
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.known, self.room = tokenizer, {}, CACHE_BYTES
+        self.tokenizer = tokenizer
+        self.known = pa.array([], pa.string())
+        self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)  # word k has ids[ends[k] : ends[k + 1]]
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: none) one after the other, and each text's number of ids."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        before = len(self.known)
+        numbered = pa.chunked_array([self.known, split.flatten()]).dictionary_encode()
+        coded = numbered.chunk(numbered.num_chunks - 1)  # a text has a word at least, if only an empty one
+        words, code = coded.dictionary, coded.indices.to_numpy()
+        new, n = self._encode_new(words.slice(before).cast(pa.binary()))
+        ids, ends = np.concatenate([self.ids, new]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
+        self._keep(words, ids, ends)
+        sizes = np.diff(ends)
+        stops = np.concatenate([[0], np.cumsum(sizes[code])])
+        out = np.empty(stops[-1], "<u4")
+        for k in range(0, len(code), 1 << 17):  # portions, so that places of ids take little memory
+            part, first, stop = code[k : k + (1 << 17)], stops[k], stops[min(k + (1 << 17), len(code))]
+            at = np.repeat(ends[part] - (stops[k : k + len(part)] - first), sizes[part])
+            at += np.arange(len(at))
+            out[first:stop] = ids[at]
+        return out, np.diff(stops[np.asarray(split.offsets) - split.offsets[0].as_py()])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        found = [list(map(self.known.get, w)) for w in words]  # the one look-up of a known word
-        missing = [[k for k, i in enumerate(f) if i is None] for f in found]
-        new = list({w[k] for w, at in zip(words, missing) for k in at})
-        ids = self._encode_new([w.decode("utf-8", "replace") for w in new])
-        fresh = dict(zip(new, ids))
-        for w, f, at in zip(words, found, missing):
-            for k in at:
-                f[k] = fresh[w[k]]
-        out = [b"".join(f) for f in found]
-        for w, i in zip(new, ids):
-            size = len(w) + len(i) + ENTRY_BYTES
-            if size <= self.room:
-                self.room -= size
-                self.known[w] = i
-        return out
-
-
-    def _encode_new(self, words: list[str]) -> list[bytes]:
-        """A thousand words are one pretokenized sequence: each is still normalised and split on its own, and its
-        ids are told from its neighbours' by the number of the word."""
-        chunks = [words[k : k + 1000] for k in range(0, len(words), 1000)]
-        out = []
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch(chunks, is_pretokenized=True, add_special_tokens=False)):
-            ends = 4 * np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(chunk)))
-            ends, ids = ends.tolist(), _packed(e.ids)
-            out += [ids[a:b] for a, b in zip([0, *ends], ends)]
-        return out
-
-
-_WORKER: dict[int, tuple[WordIds, bytes]] = {}
+        """The ids of each text as little-endian unsigned 32-bit bytes."""
+        ids, lengths = self.batch(pa.array(texts, pa.binary()).view(pa.string()))
+        return [part.tobytes() for part in np.split(ids, np.cumsum(lengths)[:-1])]
+
+    def _keep(self, words: pa.Array, ids: np.ndarray, ends: np.ndarray) -> None:
+        """The first of the words that fit in the cache; the known ones always do."""
+        starts = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        room = int(np.searchsorted(starts[1:] - starts[0] + 4 * ends[1:] + 24 * np.arange(1, len(words) + 1), CACHE_BYTES, side="right"))
+        if room > len(self.known):
+            self.known = pa.concat_arrays([words.slice(0, room)])
+            self.ids, self.ends = ids[: ends[room]].copy(), ends[: room + 1].copy()
+
+    def _encode_new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids, and how many each has. A hundred words are one sequence with the mark behind each. Where
+        the mark is no token of its own, or not found once per word, the words are told apart by their number."""
+        if not len(words):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        firsts = np.append(np.arange(0, len(words), 100), len(words))
+        chunks = pc.binary_join(pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), words), f" {MARK} ".encode()).to_pylist()
+        alone, *found = self.tokenizer.encode_batch_fast([MARK, *(f"{c.decode('utf-8', 'replace')} {MARK}" for c in chunks)], add_special_tokens=False)
+        ids, counts, apart = [], [], []
+        for k, (size, e) in enumerate(zip(np.diff(firsts).tolist(), found)):
+            got = np.array(e.ids, "<u4")
+            marks = np.flatnonzero(got == alone.ids[0]) if len(alone.ids) == 1 else np.zeros(0, np.int64)
+            if len(marks) != size:
+                apart.append(k)
+            ids.append(np.delete(got, marks))
+            counts.append(np.diff(marks, prepend=-1) - 1)
+        if apart:
+            told = [[w.decode("utf-8", "replace") for w in words[firsts[k] : firsts[k + 1]].to_pylist()] for k in apart]
+            for k, e in zip(apart, self.tokenizer.encode_batch(told, is_pretokenized=True, add_special_tokens=False)):
+                ids[k] = np.array(e.ids, "<u4")
+                counts[k] = np.bincount(np.array(e.word_ids, np.int64), minlength=firsts[k + 1] - firsts[k])
+        return np.concatenate(ids), np.concatenate(counts)
 
 
 def _word_ids(vocabulary: Broadcast) -> WordIds:
     """This worker's words, kept between tasks."""
-    key = id(vocabulary.value)
-    if key not in _WORKER:
+
+    def made() -> tuple[WordIds, bytes]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        _WORKER.clear()
-        _WORKER[key] = (WordIds(Tokenizer.from_buffer(vocabulary.value)), vocabulary.value)
-    return _WORKER[key][0]
+        return WordIds(Tokenizer.from_buffer(vocabulary.value)), vocabulary.value
+
+    return worker_keeps(("packing", id(vocabulary.value)), made)[0]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) for every row of ``docs`` (doc_id, text): its ids, then
     ``end``, cut into pieces of ``capacity`` if longer. A null text is empty: one piece of length 1."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(tokenizer_path))
-    last, step = int(end).to_bytes(4, "little"), 4 * capacity
+    step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_ids(vocabulary)
-        for batch in text_slices(batches, 8 << 20):
+        for batch in text_slices(batches, 4 << 20):
+            ids, lengths = words.batch(batch.column("text"))
+            stops = np.cumsum(lengths)
+            ids, stops = memoryview(np.insert(ids, stops, end)).cast("B"), (4 * (stops + np.arange(1, len(stops) + 1))).tolist()
             rows, piece, start, length, crc = [], [], [], [], []
-            for row, ids in enumerate(words.encode(byte_texts(batch))):
-                ids += last
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
+            for row, (first, stop) in enumerate(zip([0, *stops], stops)):
+                for k, at in enumerate(range(first, stop, step)):
+                    part = ids[at : min(stop, at + step)]
                     rows.append(row)
                     piece.append(k)
-                    start.append(at // 4)
+                    start.append((at - first) // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays(

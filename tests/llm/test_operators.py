@@ -536,3 +536,26 @@ def test_new_words_are_encoded_together_and_told_apart():
     words = WordIds(Counting())
     want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert words.encode([t.encode() for t in texts]) == want and Counting.calls == 1
+
+
+def test_words_are_told_apart_with_and_without_the_mark(monkeypatch):
+    """Words that hold the mark, or are empty or broken, keep their ids; kept words stay within the cache and are not encoded anew."""
+    from tokenizers import Tokenizer
+
+    from tapeloom.llm.packing import MARK, WordIds
+    from tapeloom.llm.queries import tokenizer as path_of
+
+    plain = Tokenizer.from_file(path_of("word_bpe_49k.json"))
+    texts = [f" a{MARK}b  {MARK} {MARK * 3}c ", "", " \n ", f"x{MARK}", "\u0301 a\u0301 I\u0307 \u1e9e <|endoftext|>{MARK}", "d " * 250 + f"{MARK}d", "\u4e2d\u6587 caf\u00e9 caf\u00e9."]
+    texts += [" ".join(f"k{n}" for n in range(5_000))]
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    monkeypatch.setattr(packing, "CACHE_BYTES", 50_000)
+    words = WordIds(plain)
+    for part in (slice(None, 4), slice(4, None), slice(None)):
+        assert words.encode([t.encode() for t in texts[part]]) == want[part]
+        assert 0 < words.known.get_total_buffer_size() + words.ids.nbytes + words.ends.nbytes <= 50_000 + 64
+    assert words.encode([b"\xff x", b"x"]) == [np.array(plain.encode("\ufffd x", add_special_tokens=False).ids, "<u4").tobytes(), words.encode([b"x"])[0]]
+    table = np.random.default_rng(5).integers(0, 90, 2_000)
+    again = [" ".join(f"k{n}" for n in table)]
+    monkeypatch.setattr(WordIds, "_encode_new", lambda self, new: (np.zeros(0, "<u4"), np.zeros(0, np.int64)) if not len(new) else pytest.fail("a kept word was encoded anew"))
+    assert len(words.encode([t.encode() for t in again])) == 1
