@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import byte_texts, staged, text_slices
+from tapeloom.llm.common import byte_texts, staged, text_slices, worker_keeps
 
 #: Odd multipliers of a window's words (fixed values, any odd numbers do), repeating for longer windows.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -58,16 +58,13 @@ class WordHashes(dict):
         return h
 
 
-_WORDS = WordHashes()
-
-
 def shingles(text: bytes, width: int) -> np.ndarray:
     """The set of ``width``-word windows of a text (A-Z lower-cased) as sorted 64-bit hashes; a shorter
     text is one window."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    a = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    a = np.fromiter(map(worker_keeps("word hashes", WordHashes).__getitem__, words), np.uint64, len(words))
     n, m = max(1, len(a) - width + 1), min(width, len(a))
     h = np.zeros(n, np.uint64)
     for k in range(m):
@@ -223,7 +220,7 @@ def seats(opened: DataFrame, percent: int, weight: int) -> DataFrame:
     return light.unionByName(heavy)
 
 
-def _pairs(sizes: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(sizes: np.ndarray, limit: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of positions inside each of the consecutive runs of these sizes, in portions."""
     starts = np.cumsum(sizes) - sizes
     for d in np.unique(sizes[sizes > 1]):
@@ -261,8 +258,8 @@ def bounded_seats(placed: DataFrame, percent: int) -> DataFrame:
             for w in np.unique(words[j]):
                 for v in (w, 2 * w):
                     at = np.flatnonzero((words[j] == w) & (words[i] == v))
-                    for k in range(0, len(at), max(1, 4_000_000 // v)):
-                        p = at[k : k + max(1, 4_000_000 // v)]
+                    for k in range(0, len(at), max(1, 1_000_000 // v)):  # a portion's bitmaps take 8 MB a side
+                        p = at[k : k + max(1, 1_000_000 // v)]
                         a = own[v][slot[i[p]]]
                         a = a if v == w else a[:, :w] ^ a[:, w:]
                         good = p[np.bitwise_count(a ^ own[w][slot[j[p]]]).sum(1, dtype=np.int64) <= most[p]]

@@ -559,3 +559,22 @@ def test_words_are_told_apart_with_and_without_the_mark(monkeypatch):
     again = [" ".join(f"k{n}" for n in table)]
     monkeypatch.setattr(WordIds, "_encode_new", lambda self, new: (np.zeros(0, "<u4"), np.zeros(0, np.int64)) if not len(new) else pytest.fail("a kept word was encoded anew"))
     assert len(words.encode([t.encode() for t in again])) == 1
+
+
+def test_a_worker_keeps_one_operators_cache():
+    """A Python worker that packed and then joins holds no tokenizer and no words of the packing."""
+    import gc
+    import weakref
+
+    from tapeloom.llm.queries import tokenizer as path_of
+
+    class Shared:
+        value = token_counts.vocabulary_bytes(path_of("word_bpe_49k.json"))
+
+    words = packing._word_ids(Shared)
+    assert packing._word_ids(Shared) is words
+    gone = weakref.ref(words)
+    del words
+    jaccard_join.shingles(b"one two three four five", 4)
+    gc.collect()
+    assert gone() is None
